@@ -1,9 +1,11 @@
 """Queries and SQL of this subpackage, for __spark_entry__.py."""
 
-from ferrule.llm import line_dedup, simhash
+from ferrule.llm import line_dedup, packing, piece_bpe, simhash
 
 QUERIES = {
+    "op4_piece_bpe": piece_bpe.op4_piece_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op8_kk_packing": packing.op8_kk_packing,
 }
 ORACLE_SQL = {"op5_line_dedup": line_dedup.SQL}
