@@ -34,8 +34,7 @@ def new_path(spark: SparkSession, what: str) -> str:
 def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     path = new_path(df.sparkSession, what)
-    w = df.write.option("compression", "zstd")
-    (w.partitionBy(by) if by else w).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -45,7 +45,7 @@ class RunStore:
 
     def _write(self, df: DataFrame, level: int) -> None:
         path = new_path(self.spark, f"run-{level}")
-        df.sortWithinPartitions("h1", "h2").write.option("compression", "zstd").parquet(path)
+        df.sortWithinPartitions("h1", "h2").write.parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
