@@ -1,11 +1,12 @@
 """Queries and SQL of this subpackage, for __spark_entry__.py."""
 
-from ferrule.llm import line_dedup, packing, piece_bpe, simhash
+from ferrule.llm import line_dedup, packing, piece_bpe, simhash, warc
 
 QUERIES = {
+    "op2_legacy_warc": warc.op2_legacy_warc,
     "op4_piece_bpe": piece_bpe.op4_piece_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op8_kk_packing": packing.op8_kk_packing,
 }
-ORACLE_SQL = {"op5_line_dedup": line_dedup.SQL}
+ORACLE_SQL = {"op2_legacy_warc": warc.SQL, "op5_line_dedup": line_dedup.SQL}
