@@ -13,6 +13,8 @@ NO_ID = -(2**63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Rows hold whole texts; a reader's batch of 4096 of them is tens of MB in single arrays.
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,10 +33,10 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/ferrule/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, what: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     path = new_path(df.sparkSession, what)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

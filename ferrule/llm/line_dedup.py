@@ -83,7 +83,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("th"))
     keys = F.transform(F.transform(lines_of(F.col("text")), line_key), lambda k, i: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"), i.alias("pos"))))
     hashed = docs.select("doc", "th", F.sort_array(F.filter(keys, lambda x: x.isNotNull())).alias("hs"), F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int").alias("batch"))
-    hashed = written(hashed.where(F.size("hs") > 0), "lines", "batch")
+    hashed = written(hashed.where(F.size("hs") > 0), "lines")
 
     # hs is sorted, so a key's first line in its document is where the key before differs.
     once = F.filter(F.col("hs"), lambda x, i: (i == 0) | (F.get(F.col("hs"), i - 1)["h1"] != x["h1"]) | (F.get(F.col("hs"), i - 1)["h2"] != x["h2"]))
