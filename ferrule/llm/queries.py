@@ -1,12 +1,14 @@
 """Queries and SQL of this subpackage, for __spark_entry__.py."""
 
-from ferrule.llm import line_dedup, packing, piece_bpe, simhash, warc
+from ferrule.llm import ann_mih, line_dedup, packing, piece_bpe, simhash, topk_exact, warc
 
 QUERIES = {
+    "op1_mih_neighbours": ann_mih.op1_mih_neighbours,
     "op2_legacy_warc": warc.op2_legacy_warc,
     "op4_piece_bpe": piece_bpe.op4_piece_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op8_kk_packing": packing.op8_kk_packing,
+    "op10_segment_top_k": topk_exact.op10_segment_top_k,
 }
-ORACLE_SQL = {"op2_legacy_warc": warc.SQL, "op5_line_dedup": line_dedup.SQL}
+ORACLE_SQL = {"op2_legacy_warc": warc.SQL, "op5_line_dedup": line_dedup.SQL, "op10_segment_top_k": topk_exact.SQL}
