@@ -1,13 +1,15 @@
 """Queries and SQL of this subpackage, for __spark_entry__.py."""
 
-from ferrule.llm import ann_mih, line_dedup, packing, piece_bpe, simhash, topk_exact, warc
+from ferrule.llm import ann_mih, langid, line_dedup, packing, piece_bpe, simhash, topk_exact, toxicity, warc
 
 QUERIES = {
     "op1_mih_neighbours": ann_mih.op1_mih_neighbours,
     "op2_legacy_warc": warc.op2_legacy_warc,
+    "op3_language_mixture": langid.op3_language_mixture,
     "op4_piece_bpe": piece_bpe.op4_piece_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_subword_toxicity": toxicity.op7_subword_toxicity,
     "op8_kk_packing": packing.op8_kk_packing,
     "op10_segment_top_k": topk_exact.op10_segment_top_k,
 }
