@@ -99,7 +99,7 @@ def search_block(model: Codes, ids: np.ndarray, x: np.ndarray, qids: np.ndarray,
             yield own[i], ids[rows[top]], s[top]
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, bits: int = 256, share: float = 0.04, sample: int = 8192, block_rows: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, bits: int = 256, share: float = 0.04, sample: int = 8192, block_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, its k nearest found by inner product."""
     rows = clean(vectors, zero=False)
     # Bounded: at most `sample` rows come to the driver, of each number of components in proportion.
