@@ -10,7 +10,7 @@ radius grows until at least `least` codes of the block are within it. These are
 precision. The radius to start from is measured on the sample; it only saves rounds.
 
 A fixed share of each block is ranked, so recall doesn't fall as the table grows. Every row is indexed; only the rotations are fitted on the
-sample, at most `sample` rows with the smallest hashes of their ids. See vectors.py for the defined cases; zero vectors take no part.
+sample, about `sample` rows chosen by the hashes of their ids. See vectors.py for the defined cases; zero vectors take no part.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm.common import table
-from ferrule.llm.vectors import best, chunks, clean, matrix, search
+from ferrule.llm.vectors import best, chunks, clean, matrix, sampled, search
 
 
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = 15) -> np.ndarray:
@@ -102,8 +102,8 @@ def search_block(model: Codes, ids: np.ndarray, x: np.ndarray, qids: np.ndarray,
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, bits: int = 256, share: float = 0.04, sample: int = 8192, block_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, its k nearest found by inner product."""
     rows = clean(vectors, zero=False)
-    # Bounded: at most `sample` rows come to the driver, of each number of components in proportion.
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()["embedding"]
+    # Bounded: about `sample` rows come to the driver, of each number of components in proportion.
+    some = sampled(rows, sample).orderBy("vec_id").toPandas()["embedding"]
     models = {}
     for d in {len(v) for v in some}:
         models[d] = Codes(np.array([v for v in some if len(v) == d], float), bits, share)

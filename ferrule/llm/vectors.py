@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.llm.common import written
+
 
 def clean(vectors: DataFrame, zero: bool) -> DataFrame:
     """vec_id, embedding (array of double); zero: whether zero vectors take part."""
@@ -26,7 +28,13 @@ def clean(vectors: DataFrame, zero: bool) -> DataFrame:
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, bad))
     if not zero:
         v = v.where(F.exists(x, lambda y: y != 0))
-    return v.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return written(v.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
+
+
+def sampled(rows: DataFrame, size: int) -> DataFrame:
+    """About `size` rows, chosen by the hash of their ids alone; all of a table that has no more."""
+    n = rows.count()
+    return rows if n <= size else rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < (1 << 40) * size // n)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -50,7 +58,7 @@ def search(rows: DataFrame, is_query, k: int, answer: Callable, block_rows: int,
 
     Returns query_id, rank, vec_id, score.
     """
-    n = rows.count()
+    n = rows.count()  # of a table that clean() has written
     blocks = max(1, -(-n // block_rows))
     dims = F.size("embedding").alias("dims")
     own = rows.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), dims)
