@@ -101,6 +101,29 @@ def mixture(n: np.ndarray, p: np.ndarray, penalty: float = 3.0) -> np.ndarray:
     return out
 
 
+def shares(text: str | None, p: np.ndarray) -> np.ndarray | None:
+    """A text's proportions; None without letters."""
+    if text is None or not _LETTER.search(text):
+        return None
+    n = trigram_counts(text)
+    at = np.flatnonzero(n)
+    return mixture(n[at].astype(float), p[at])
+
+
+def kept(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5) -> DataFrame:
+    """The rows of docs of which a language makes up at least so much, with all their columns."""
+    at = docs.columns.index("text")
+    sent = docs.sparkSession.sparkContext.broadcast(model[1].astype(np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = sent.value.astype(float)
+        for b in batches:
+            found = [shares(t.as_py(), p) for t in b.column(at)]
+            yield b.filter(pa.array([x is not None and x.max() >= least for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score, languages (map of the set's proportions)."""
     langs, p = model
@@ -111,19 +134,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
         for b in batches:
             pred, score, sets = [], [], []
             for text in b.column(1):
-                text = text.as_py()
-                if not langs or text is None or not _LETTER.search(text):
-                    pred.append(NONE)
-                    score.append(0.0)
-                    sets.append([])
-                    continue
-                n = trigram_counts(text)
-                at = np.flatnonzero(n)
-                share = mixture(n[at].astype(float), p[at])
-                i = int(share.argmax())
-                pred.append(langs[i])
-                score.append(float(min(1.0, share[i])))
-                sets.append([(langs[j], float(share[j])) for j in np.flatnonzero(share)])
+                share = shares(text.as_py(), p) if langs else None
+                i = NONE if share is None else int(share.argmax())
+                pred.append(NONE if share is None else langs[i])
+                score.append(0.0 if share is None else float(min(1.0, share[i])))
+                sets.append([] if share is None else [(langs[j], float(share[j])) for j in np.flatnonzero(share)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.map_(pa.string(), pa.float64()))], names=["doc_id", "lang_pred", "score", "languages"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, languages map<string,double>")

@@ -9,7 +9,7 @@ the runs so far (what the anti-join keeps is new) and added as a run of level 0;
 
 Defined results: a null or empty text is one empty line. A null doc_id counts as a document and ranks below all others. Rows that share a
 doc_id count as documents of their own, and all rows with the largest doc_id keep their lines. An empty table gives an empty result. Only
-doc_id and text are read, so other columns may have any name.
+doc_id and text are read; other columns go through, whatever their names.
 """
 
 from __future__ import annotations
@@ -77,10 +77,11 @@ class RunStore:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 3, fanout: int = 3) -> DataFrame:
-    """doc_id, text (the lines that stay), n_lines, n_dropped: a row for each row of docs."""
+    """All columns of docs, with the lines that stay as text, and n_lines, n_dropped (in the place of columns of these names): a row for each row."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("th"))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    whole = docs.select(*[F.coalesce("text", F.lit("")).alias("text") if c == "text" else docs[c] for c in own], F.coalesce(docs["doc_id"], F.lit(NO_ID)).alias("_ferrule_doc"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_ferrule_th"))
+    docs = whole.select("text", F.col("_ferrule_doc").alias("doc"), F.col("_ferrule_th").alias("th"))
     keys = F.transform(F.transform(lines_of(F.col("text")), line_key), lambda k, i: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"), i.alias("pos"))))
     hashed = docs.select("doc", "th", F.sort_array(F.filter(keys, lambda x: x.isNotNull())).alias("hs"), F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int").alias("batch"))
     hashed = written(hashed.where(F.size("hs") > 0), "lines")
@@ -95,23 +96,24 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     every = hashed.select("doc", "th", F.explode("hs").alias("x")).select("doc", "th", "x.h1", "x.h2", "x.pos")
     drops = every.join(hot, ["h1", "h2"]).where("doc < top").groupBy("doc", "th").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
-    j = docs.join(drops, ["doc", "th"], "left").select("doc_id", "text", "drop")
+    drops = drops.select(F.col("doc").alias("_ferrule_doc"), F.col("th").alias("_ferrule_th"), F.col("drop").alias("_ferrule_drop"))
+    j = whole.join(drops, ["_ferrule_doc", "_ferrule_th"], "left")
     n = F.size(lines_of(F.col("text")))
 
     def kept(lines: Column) -> Column:
         """The slices between dropped positions."""
-        drop, size = F.col("drop"), F.size("drop")
+        drop, size = F.col("_ferrule_drop"), F.size("_ferrule_drop")
         before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(drop, k - 1))
         until = lambda k: F.when(k == size, F.size(lines)).otherwise(F.get(drop, k))
         return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), size), lambda k: F.slice(lines, before(k) + 2, until(k) - before(k) - 1))), "\n")
 
     # Through transform() the lines are split once for each row, not for each slice.
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(lines_of(F.col("text"))), kept), F.lit(0)))
-    return j.select("doc_id", text.alias("text"), n.cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    text = F.when(F.col("_ferrule_drop").isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(lines_of(F.col("text"))), kept), F.lit(0)))
+    return j.select(*[text.alias("text") if c == "text" else c for c in own], n.cast("long").alias("n_lines"), F.coalesce(F.size("_ferrule_drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -62,14 +62,14 @@ def _fingerprints(words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [signed(fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", words, seed)) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(2)], names=["doc_id", "fp", "th"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp (long)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints(words, seed), "doc_id long, fp long")
+    """doc_id, fp (long), th (xxhash64 of the text)."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("th")).mapInArrow(_fingerprints(words, seed), "doc_id long, fp long, th long")
 
 
 def links(fps: DataFrame, bucket: int = 32) -> DataFrame:
@@ -88,7 +88,7 @@ def links(fps: DataFrame, bucket: int = 32) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, bucket: int = 32) -> DataFrame:
-    """doc_id, fp, component_id: a row for each row of docs."""
+    """doc_id, fp, th, component_id: a row for each row of docs."""
     of = written(fingerprints(docs, words, seed), "fingerprints")
     nodes = written(of.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     root = components(links(nodes.select("fp"), bucket))
@@ -96,7 +96,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, bucket: int
     lows = written(linked.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component_id")), "lows")
     own = linked.join(lows, "root").select("fp", "component_id")
     of_fp = written(nodes.join(own, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
-    return of.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return of.join(of_fp, "fp").select("doc_id", "fp", "th", "component_id")
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ def train(texts: list[str], labels: list[int], span: int = 8, rounds: int = 6, e
 
 
 class Scorer:
-    """Scores texts: a line over the worst passage's logit, fitted on the training documents' own worst passages."""
+    """Scores texts: the worst passage's probability, shifted so that the training documents are parted best at 0.3."""
 
     def __init__(self, model: Bags | None, constant: float = 0.0, span: int = 8):
         self.constant, self.span = constant, span
@@ -220,6 +220,18 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def kept(docs: DataFrame, scorer: Scorer, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns."""
+    at = docs.columns.index("text")
+    sent = docs.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([sent.value.score(t.as_py()) < threshold for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_subword_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score(docs, learn(docs, table(spark, sf_dir, "labels")))
