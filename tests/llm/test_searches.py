@@ -1,0 +1,102 @@
+import math
+import random
+
+import numpy as np
+import pytest
+
+from ferrule.llm import ann_mih, topk_exact
+from ferrule.llm.vectors import best
+
+SCHEMA = "vec_id long, embedding array<float>, label int, block string, score string"
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    def make(rows):
+        return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], 0, "b", "s") for i, v in rows], SCHEMA)
+
+    return make
+
+
+def some(n=700, d=24, seed=0):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, d)).astype(np.float32)
+    x[100:160] = x[100]  # equal vectors: ties
+    return [(i, x[i].tolist()) for i in range(n)]
+
+
+def brute_top(rows, every, k, zero=True):
+    f = lambda v: v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and (zero or any(v))
+    rows = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and f(v)]
+    out = {}
+    for i, v in rows:
+        if i % every == 0:
+            s = [(-int(np.floor(1024 * v).astype(int) @ np.floor(1024 * w).astype(int)), j) for j, w in rows if j != i and len(w) == len(v)]
+            out[i] = [(j, -x) for x, j in sorted(s)[:k]]
+    return out
+
+
+def rows_of(df):
+    out = {}
+    for x in sorted(df.collect(), key=lambda x: (x.query_id, x.rank)):
+        out.setdefault(x.query_id, []).append((x.vec_id, x.score))
+        assert len(out[x.query_id]) == x.rank
+    return out
+
+
+STRANGE = [(9000, None), (9100, []), (9200, [float("nan")] * 24), (9300, [float("inf")] + [0.0] * 23), (9400, [None] + [1.0] * 23), (9500, [0.0] * 24), (9600, [1.0, 2.0]), (9601, [2.0, 1.0]), (None, [1.0] * 24)]
+
+
+@pytest.mark.parametrize("block_rows", [90, 5000])
+def test_exact_top_k_is_brute_force(vectors, block_rows):
+    rows = some() + STRANGE
+    got = rows_of(topk_exact.top_k(vectors(rows), 100, 10, block_rows=block_rows))
+    want = {q: v for q, v in brute_top(rows, 100, 10).items() if v}
+    assert got == want
+
+
+def test_bounds_hold():
+    r = np.random.default_rng(2)
+    x, q = r.integers(-900, 900, (200, 30)), r.integers(-900, 900, 30)
+    for s in topk_exact.LEVELS:
+        assert (topk_exact.statistics(x.astype(float), s) @ topk_exact.statistics(q[None].astype(float), s)[0] >= x @ q - 1e-6).all()
+
+
+def test_pigeonhole_finds_all_codes_within_the_radius():
+    r = np.random.default_rng(4)
+    codes = r.integers(0, 256, (400, 16), dtype=np.uint8)
+    codes[:50] = codes[50] ^ (r.random((50, 16)) < 0.2).astype(np.uint8)
+    for radius in (0, 5, 15, 16, 40, 70):
+        near = ann_mih.distances(codes[:60], codes) <= radius
+        assert not (near & ~ann_mih.probe(codes[:60], codes, radius)).any()
+
+
+def test_recall_scores_and_order(vectors):
+    rows = some(1500, 32) + STRANGE
+    got = rows_of(ann_mih.nearest(vectors(rows), 20, 20, block_rows=600))
+    clean = [(i, np.array(v, np.float32).astype(float)) for i, v in rows[:1500]]
+    ids, x = np.array([i for i, _ in clean]), np.stack([v for _, v in clean])
+    hits = []
+    for q in range(0, 1500, 20):
+        s = (x * x[q]).sum(axis=1)
+        want = [int(i) for i in ids[np.lexsort((ids, -s))] if i != q][:20]
+        hits.append(len({i for i, _ in got[q]} & set(want)) / 20)
+        assert all(abs(s[i] - v) == 0 for i, v in got[q])
+        assert got[q] == sorted(got[q], key=lambda t: (-t[1], t[0]))
+    assert np.mean(hits) >= 0.9
+    assert not {9000, 9100, 9200, 9300, 9400, 9500} & set(got) and got[9600] == [(9601, 4.0)]
+
+
+def test_few_and_no_vectors(vectors):
+    two = vectors([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (20, [0.5, 0.5])])
+    assert rows_of(ann_mih.nearest(two)) == {0: [(20, 0.5)], 20: [(0, 0.5)]}
+    assert rows_of(topk_exact.top_k(two, 20)) == {0: [(20, 512 * 1024)], 20: [(0, 512 * 1024)]}
+    assert ann_mih.nearest(two.where("false")).count() == topk_exact.top_k(two.where("false")).count() == 0
+
+
+def test_best_breaks_ties_by_id():
+    r = random.Random(0)
+    for _ in range(200):
+        s = np.array([r.randint(0, 3) for _ in range(12)])
+        ids = np.array(r.sample(range(100), 12))
+        assert [int(ids[i]) for i in best(s, ids, 4)] == [i for _, i in sorted((-a, b) for a, b in zip(s.tolist(), ids.tolist()))[:4]]

@@ -1,0 +1,107 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from ferrule.llm import packing, piece_bpe
+
+PIECE, BYTE, RANKS = (public_tokenizers.path(x) for x in ("piece_bpe_32k.model", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+ODD = ["", "a", " a", "  a  b ", "\n", "\n\n a\n", "▁", "a▁b", "日本語テキスト", "<s>hi</s>", "\x00x", "a b", "éé", "🙂🙂", "a" * 500, "-" * 80, " " * 70 + "x", " \n \n", "<0x0A>", "ﬁ ½", "<|endoftext|> x"]
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return piece_bpe.PieceEncoder(PIECE, remember=50)
+
+
+def test_piece_ids_are_the_librarys(encoder):
+    r = random.Random(5)
+    alphabet = "abcdeth inng\n  ,.é日🙂▁-=_0123"
+    for t in [*ODD, *("".join(r.choice(alphabet) for _ in range(r.randint(1, 40))) for _ in range(3000))]:
+        assert encoder.encode(t) == encoder.sp.encode(t), repr(t)
+
+
+def test_prefix_table_is_the_merge_definition(encoder):
+    r = random.Random(6)
+    for _ in range(500):
+        t = "".join(r.choice("▁theinrasdo") for _ in range(r.randint(1, 15)))
+        assert [encoder.text[i] for i in encoder.tokens(t)] == encoder.merged(t)
+
+
+def test_piece_documents(documents):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    texts = [None, *ODD, "word " * 30_000, "same", "same"]
+    got = {x.doc_id: x for x in piece_bpe.encode_documents(documents(texts, extra="ids"), PIECE, with_ids=True).collect()}
+    for i, t in enumerate(texts):
+        ids = sp.encode(t or "")
+        assert got[i].ids == ids and got[i].n_tokens == len(ids) and got[i].decoded == sp.decode(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+    assert piece_bpe.encode_documents(documents(["a"]).where("false"), PIECE).count() == 0
+
+
+def test_fast_tokens_are_the_slow_ones():
+    fast, slow = packing._tokenizer(BYTE, RANKS), packing._tokenizer(BYTE, None)
+    chars = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028), 0x20AC, 0x4E00]]
+    for c in chars:
+        for t in (c, "a" + c, " " + c + " a", "1" + c + "1", c + c + " x" + c, "  " + c + "  "):
+            assert fast(t).tolist() == slow(t).tolist(), repr(t)
+    for t in ODD[1:]:
+        assert fast(t).tolist() == slow(t).tolist(), repr(t)
+
+
+def test_differencing_assigns_every_piece_and_balances():
+    r = random.Random(7)
+    for n, m in ((0, 3), (1, 1), (5, 8), (400, 20)):
+        sizes = [r.randint(1, 300) for _ in range(n)]
+        at = packing.difference(sizes, m)
+        assert len(at) == n and all(0 <= w < m for w in at)
+        if n > 20 * m - 1:
+            loads = np.bincount(at, weights=sizes, minlength=m)
+            assert loads.max() - loads.min() < 20
+
+
+def test_packs_are_whole_and_tight():
+    r = random.Random(8)
+    for n in (0, 1, 2, 50, 250):
+        rests = [r.randint(1, 2047) for _ in range(n)]
+        windows = packing.pack(rests, 2048)
+        cover = [[0] * x for x in rests]
+        for w in windows:
+            assert 0 < sum(p[2] for p in w) <= 2048
+            for i, a, k in w:
+                for j in range(a, a + k):
+                    cover[i][j] += 1
+        assert all(c == 1 for x in cover for c in x)
+        assert len(windows) <= max(1, -(-sum(rests) // 2048)) + 1 + n // 100
+
+
+def test_packed_documents(documents):
+    t = Tokenizer.from_file(BYTE)
+    r = random.Random(9)
+    texts = [None, "", *ODD, "long text " * 9000, *(" ".join(r.choice(["tree", "Haus", "été", "x"]) for _ in range(r.randint(1, 900))) for _ in range(150))]
+    rows = packing.pack_documents(documents(texts, extra="offset"), BYTE, RANKS).collect()
+    ids = [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+    got, sequences = {}, {}
+    for x in rows:
+        got.setdefault(x.doc_id, []).append(x)
+        sequences.setdefault(x.sequence_id, []).append(x)
+    for i, want in enumerate(ids):
+        at = 0
+        for x in sorted(got[i], key=lambda x: x.start):
+            assert x.start == at and x.doc_tokens == len(want)
+            assert x.ids_crc32 == zlib.crc32(np.array(want[at : at + x.length], "<u4").tobytes())
+            at += x.length
+        assert at == len(want)
+    for pieces in sequences.values():
+        at = 0
+        for x in sorted(pieces, key=lambda x: x.offset):
+            assert x.offset == at
+            at += x.length
+        assert at <= 2048
+    assert packing.pack_documents(documents(["a"]).where("false"), BYTE).count() == 0
