@@ -24,7 +24,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.trim(line, F.lit(BLANKS)), UPPER, LOWER)
+    # Where all characters are ASCII, lower() is the same and makes no string for each character.
+    ascii_only = F.octet_length(line) == F.char_length(line)
+    trimmed = F.trim(line, F.lit(BLANKS))
+    return F.when(ascii_only, F.lower(trimmed)).otherwise(F.translate(trimmed, UPPER, LOWER))
 
 
 def lines_of(text: Column) -> Column:
