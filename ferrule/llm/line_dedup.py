@@ -39,8 +39,9 @@ class RunStore:
 
     SCHEMA = "h1 long, h2 long, n long, top long, first boolean"
 
-    def __init__(self, spark, fanout: int = 3):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+    def __init__(self, spark, fanout: int = 3, files: int = 1):
+        """files: how many files a run of level 0 has; one of level n has as many more as runs go into it."""
+        self.spark, self.fanout, self.files, self.levels = spark, fanout, files, [[]]
 
     def runs(self) -> DataFrame | None:
         paths = [p for level in self.levels for p in level]
@@ -48,7 +49,7 @@ class RunStore:
 
     def _write(self, df: DataFrame, level: int) -> None:
         path = new_path(self.spark, f"run-{level}")
-        df.sortWithinPartitions("h1", "h2").write.parquet(path)
+        df.coalesce(self.files * self.fanout**level).sortWithinPartitions("h1", "h2").write.parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
@@ -91,17 +92,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
 
     # hs is sorted, so a key's first line in its document is where the key before differs.
     once = F.filter(F.col("hs"), lambda x, i: (i == 0) | (F.get(F.col("hs"), i - 1)["h1"] != x["h1"]) | (F.get(F.col("hs"), i - 1)["h2"] != x["h2"]))
-    store = RunStore(spark, fanout)
+    # About a million keys to a file, whatever the number of shuffle partitions is.
+    per_batch = (hashed.agg(F.sum(F.size("hs"))).first()[0] or 0) // batches
+    store = RunStore(spark, fanout, 1 + per_batch // 1_000_000)
     for b in range(batches):
         store.add(hashed.where(F.col("batch") == b).select("doc", F.explode(once).alias("x")).select("x.h1", "x.h2", "doc"))
-    hot = written(RunStore.merged(store.runs()).where(F.col("n") >= min_docs).select("h1", "h2", "top"), "hot")
+    hot = written(RunStore.merged(store.runs()).where(F.col("n") >= min_docs).select("h1", "h2", "top").coalesce(store.files * batches), "hot")
 
     every = hashed.select("doc", "th", F.explode("hs").alias("x")).select("doc", "th", "x.h1", "x.h2", "x.pos")
     drops = every.join(hot, ["h1", "h2"]).where("doc < top").groupBy("doc", "th").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
     drops = drops.select(F.col("doc").alias("_ferrule_doc"), F.col("th").alias("_ferrule_th"), F.col("drop").alias("_ferrule_drop"))
     j = whole.join(drops, ["_ferrule_doc", "_ferrule_th"], "left")
-    n = F.size(lines_of(F.col("text")))
+    n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1  # without making the lines
 
     def kept(lines: Column) -> Column:
         """The slices between dropped positions."""
