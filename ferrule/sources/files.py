@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +19,26 @@ SKIP_KNOWN = ".git .hg .svn .venv venv __pycache__ node_modules .tox .mypy_cache
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative, with slashes), content: all files under root."""
-    base = root.rstrip("/")
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    # The reader names files with a scheme; what follows the root is the path.
-    name = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
-    at = base.split(":", 1)[-1] if ":" in base.split("/")[0] else base
-    return df.select(F.substring(name, len("/" + at.lstrip("/")) + 2, 1 << 30).alias("path"), "content")
+def read_tree(spark: SparkSession, root: str, batch: int = 512) -> DataFrame:
+    """path (relative, with slashes), content: all files under root, a folder or a URI that driver and executors see.
+
+    Spark's own readers pass over empty files and names that start with a dot or an underscore, so __init__.py too; here names are listed on
+    the driver and contents are read on the executors.
+    """
+    at = root if "://" in root else os.path.abspath(root)
+    store, base = fs.FileSystem.from_uri(at)
+    base = base.rstrip("/")
+    names = sorted(i.path[len(base) + 1 :] for i in store.get_file_info(fs.FileSelector(base, recursive=True)) if i.type == fs.FileType.File)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(at)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                with store.open_input_stream(f"{base.rstrip('/')}/{name}", compression=None) as f:
+                    yield pa.RecordBatch.from_pydict({"path": [name], "content": pa.array([f.read()], pa.binary())})
+
+    listed = spark.createDataFrame([(n,) for n in names], "path string")
+    return listed.repartition(max(1, -(-len(names) // batch))).mapInArrow(read, "path string, content binary")
 
 
 def _under(path: Column, names) -> Column:
