@@ -92,9 +92,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
 
     # hs is sorted, so a key's first line in its document is where the key before differs.
     once = F.filter(F.col("hs"), lambda x, i: (i == 0) | (F.get(F.col("hs"), i - 1)["h1"] != x["h1"]) | (F.get(F.col("hs"), i - 1)["h2"] != x["h2"]))
-    # About a million keys to a file, whatever the number of shuffle partitions is.
+    # About 200,000 keys to a file, whatever the number of shuffle partitions is.
     per_batch = (hashed.agg(F.sum(F.size("hs"))).first()[0] or 0) // batches
-    store = RunStore(spark, fanout, 1 + per_batch // 1_000_000)
+    store = RunStore(spark, fanout, 1 + per_batch // 200_000)
     for b in range(batches):
         store.add(hashed.where(F.col("batch") == b).select("doc", F.explode(once).alias("x")).select("x.h1", "x.h2", "doc"))
     hot = written(RunStore.merged(store.runs()).where(F.col("n") >= min_docs).select("h1", "h2", "top").coalesce(store.files * batches), "hot")
@@ -103,7 +103,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     drops = every.join(hot, ["h1", "h2"]).where("doc < top").groupBy("doc", "th").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
     drops = drops.select(F.col("doc").alias("_ferrule_doc"), F.col("th").alias("_ferrule_th"), F.col("drop").alias("_ferrule_drop"))
-    j = whole.join(drops, ["_ferrule_doc", "_ferrule_th"], "left")
+    # Positions are small beside the texts and their keys unique, so they are hashed and the texts need no sort.
+    j = whole.join(drops.hint("shuffle_hash"), ["_ferrule_doc", "_ferrule_th"], "left")
     n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1  # without making the lines
 
     def kept(lines: Column) -> Column:
