@@ -1,33 +1,55 @@
 """Points bound to code: the tightest span around a line, the nearest definition before it, or the file.
 
-Spans of one file are few beside the table, so range conditions ride on an equality of files; what wins is chosen by an aggregate, which is
-summed before it is shuffled.
+Range conditions are turned into equalities of grid cells or of stretches of lines, so that a file with very many rows is spread over tasks;
+what wins is chosen by an aggregate, which is summed before it is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _level(start: Column, end: Column) -> Column:
+    """The least n with end - start < 2^n."""
+    return F.when(end <= start, 0).otherwise(F.char_length(F.bin((end - start).cast("long")))).cast("int")
+
+
 def tightest_span(points: DataFrame, spans: DataFrame, key: str = "file") -> DataFrame:
-    """points: id, file, line. spans: file, start, end, node. id, node: of the spans around the line the one that starts last; ties to the smallest node."""
-    j = points.join(spans, key).where((F.col("start") <= F.col("line")) & (F.col("line") <= F.col("end")))
+    """points: id, file, line. spans: file, start, end, node. id, node: of the spans around the line the one that starts last; ties to the smallest node.
+
+    An interval join on equalities: a span lies in one or two cells of the grid of its own size, and a point looks into one cell of each size
+    that occurs (64 at most). So a point meets the spans near it and not all of its file, and one file's rows are spread over its cells.
+    """
+    s = spans.where("start <= end").withColumn("level", _level(F.col("start"), F.col("end")))
+    sizes = sorted(r.level for r in s.select("level").distinct().collect())  # 64 numbers at most
+    if not sizes:
+        return points.select("id", F.lit(None).cast(spans.schema["node"].dataType).alias("node")).where("false")
+    cell = lambda x: F.expr(f"shiftright(CAST({x} AS BIGINT), level)")
+    s = s.withColumn("cell", F.explode(F.array_distinct(F.array(cell("start"), cell("end")))))
+    p = points.select("id", key, "line", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("level")).withColumn("cell", cell("line"))
+    j = p.join(s, [key, "level", "cell"]).where((F.col("start") <= F.col("line")) & (F.col("line") <= F.col("end")))
     return j.groupBy("id").agg(F.min_by("node", F.struct(-F.col("start"), F.col("node"))).alias("node"))
 
 
-def nearest_preceding(points: DataFrame, definitions: DataFrame, key: str = "file") -> DataFrame:
+def nearest_preceding(points: DataFrame, definitions: DataFrame, key: str = "file", width: int = 1 << 14) -> DataFrame:
     """points: id, file, line. definitions: file, def_line, node. id, node: the last definition at or before the line.
 
-    An as-of join by one sort: points and definitions of a file are put in one order and the last definition is carried forward.
+    An as-of join by sorting stretches of `width` lines: within a stretch the last definition is carried forward, and what a stretch starts
+    with comes from a summary of one row per stretch. So a key with very many rows is not one task's.
     """
-    from pyspark.sql import Window
-
     d = definitions.groupBy(key, "def_line").agg(F.min("node").alias("node"))
-    both = points.select(key, F.col("line").alias("at"), F.lit(1).alias("asks"), "id", F.lit(None).cast(d.schema["node"].dataType).alias("node"))
-    both = both.unionByName(d.select(key, F.col("def_line").alias("at"), F.lit(0).alias("asks"), F.lit(None).cast(points.schema["id"].dataType).alias("id"), "node"))
-    w = Window.partitionBy(key).orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("node", F.last("node", ignorenulls=True).over(w)).where("asks = 1 and node is not null").select("id", "node")
+    node, ids = d.schema["node"].dataType, points.schema["id"].dataType
+    stretch = lambda c: F.floor(F.col(c) / width).alias("stretch")
+    both = points.select(key, stretch("line"), F.col("line").alias("at"), F.lit(1).alias("asks"), "id", F.lit(None).cast(node).alias("node"))
+    both = both.unionByName(d.select(key, stretch("def_line"), F.col("def_line").alias("at"), F.lit(0).alias("asks"), F.lit(None).cast(ids).alias("id"), "node"))
+    ends = d.select(key, stretch("def_line"), "def_line", "node").groupBy(key, "stretch").agg(F.max_by("node", "def_line").alias("last"))
+    asked = both.select(key, "stretch").distinct().join(ends, [key, "stretch"], "left")
+    before = Window.partitionBy(key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = asked.select(key, "stretch", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    w = Window.partitionBy(key, "stretch").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = both.withColumn("node", F.last("node", ignorenulls=True).over(w)).where("asks = 1")
+    return own.join(carried, [key, "stretch"], "left").select("id", F.coalesce("node", "carried").alias("node")).where("node is not null")
 
 
 def bind(points: DataFrame, spans: DataFrame, definitions: DataFrame, files: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions.labels import ident_layers, identifiers, literals, secret
+from ferrule.operators.binding import tightest_span
 from ferrule.operators.findings import at_lines
 from ferrule.operators.lowering import facts
 from ferrule.sources.rules import Rules
@@ -34,8 +35,9 @@ def guard_verdicts(findings: DataFrame, lowered: DataFrame, rules: Rules, key: s
     """findings with guards, unguarded and guard_status=analyzed where the sink lies in a function that could be read; the others stay unknown."""
     f = facts(lowered, "function").select("fn", F.col("file").alias("sink_file"), F.col("line").alias("start"), F.col("end_line").alias("end"), "decorators", "guards")
     s = findings.select(key, "sink_file", "sink_line").where(F.col("sink_file").endswith(".py"))
-    inside = s.join(f, "sink_file").where("start <= sink_line and sink_line <= end")
-    best = inside.groupBy(key).agg(F.max_by(F.struct("fn", "sink_line", "decorators", "guards"), "start").alias("f")).select(key, "f.*")
+    points = s.select(F.col(key).alias("id"), F.col("sink_file").alias("file"), F.col("sink_line").alias("line"))
+    inside = tightest_span(points, f.select(F.col("sink_file").alias("file"), "start", "end", F.col("fn").alias("node")))
+    best = inside.select(F.col("id").alias(key), F.col("node").alias("fn")).join(s.select(key, "sink_line"), key).join(f.select("fn", "decorators", "guards"), "fn")
     st = facts(lowered, "stmt").select("fn", "sid", "start_line", "end_line")
     around = best.select(key, "fn", "sink_line").join(st, "fn").where("start_line <= sink_line and sink_line <= end_line")
     # The innermost statement; of several on one line the deepest, which has the largest number.

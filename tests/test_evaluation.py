@@ -63,3 +63,22 @@ def test_closure(spark):
     assert {r.node: r.component for r in strong_components(e).collect()} == {1: 1, 2: 1, 3: 1, 5: 5}
     with pytest.raises(RuntimeError):
         reachable(e, max_rounds=1)
+
+
+def test_binding_against_brute_force(spark):
+    import random
+
+    r = random.Random(2)
+    p = [(i, r.choice("fg"), r.randint(-5, 3000)) for i in range(400)]
+    s = [(r.choice("fg"), a := r.randint(0, 3000), a + r.choice([-1, 0, 1, 7, 8, 100, 2500]), f"n{i:03}") for i in range(200)]
+    d = [(r.choice("fg"), r.randint(0, 3000), f"d{i:03}") for i in range(60)]
+    points = spark.createDataFrame(p, "id int, file string, line int")
+    spans = {i: max(((a, n) for f, a, b, n in s if f == k and a <= x <= b), key=lambda t: (t[0], [-ord(c) for c in t[1]]), default=(0, None))[1] for i, k, x in p}
+    got = {x.id: x.node for x in tightest_span(points, spark.createDataFrame(s, "file string, start int, end int, node string")).collect()}
+    assert got == {i: n for i, n in spans.items() if n}
+    near = {i: min((n for f, a, n in d if f == k and a == max((b for g, b, _ in d if g == k and b <= x), default=None)), default=None) for i, k, x in p}
+    for width in (64, 1 << 14):
+        got = {x.id: x.node for x in nearest_preceding(points, spark.createDataFrame(d, "file string, def_line int, node string"), width=width).collect()}
+        assert got == {i: n for i, n in near.items() if n}
+    none = spark.createDataFrame([], "file string, start int, end int, node string")
+    assert tightest_span(points, none).count() == 0
