@@ -18,6 +18,7 @@ no labels). Repeated rows stay repeated. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,9 +81,14 @@ def train(texts: list[str], labels: list[int], span: int = 8, rounds: int = 6, e
     docs = []
     for t in texts:
         docs.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64))
-    grams = [subwords(w) for w in vocabulary]
-    sizes = np.array([len(g) for g in grams] or [1], np.int64)
-    flat = np.array([x for g in grams for x in g] or [0], np.int64)
+    # N-grams of all words in one array: a list for each word would take most of the driver's memory.
+    packed, lengths = array("i"), array("i")
+    for w in vocabulary:
+        own = subwords(w)
+        packed.extend(own)
+        lengths.append(len(own))
+    sizes, flat = np.array(lengths or [1], np.int64), np.array(packed or [0], np.int32)
+    del vocabulary, packed, lengths
     first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
 
     def spans(d: np.ndarray) -> list[np.ndarray]:
