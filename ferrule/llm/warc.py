@@ -65,27 +65,28 @@ def write_arc(records: Iterable[tuple[dict[str, str], bytes]], name: str, versio
     return out.getvalue()
 
 
-def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records after the version block. Raises ValueError on a header line or a length that doesn't hold."""
+def read_arc(source) -> Iterator[ArcRecord]:
+    """The records after the version block of a stream (or bytes), one at a time. Raises ValueError on a header line or a length that doesn't hold."""
+    stream = io.BytesIO(source) if isinstance(source, (bytes, bytearray)) else source
     version, names, at = 0, (), 0
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":
-            at += 1
+    while line := stream.readline():
+        start, at = at, at + len(line)
+        if line in (b"\n", b"\r\n"):
             continue
-        end = data.find(b"\n", at)
-        if end < 0:
-            raise ValueError(f"no header line at {at}")
-        parts = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
+        if not line.endswith(b"\n"):
+            raise ValueError(f"no header line at {start}")
+        parts = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
         first = not version
         if not first and len(parts) != len(names):
-            raise ValueError(f"{len(parts)} header fields at {at}; version {version} has {len(names)}")
+            raise ValueError(f"{len(parts)} header fields at {start}; version {version} has {len(names)}")
         try:
             length = int(parts[-1])
         except ValueError:
-            raise ValueError(f"no length at {at}") from None
-        content = data[end + 1 : end + 1 + length]
+            raise ValueError(f"no length at {start}") from None
+        content = stream.read(max(length, 0))
+        at += len(content)
         if length < 0 or len(content) < length:
-            raise ValueError(f"the record at {at} is cut off")
+            raise ValueError(f"the record at {start} is cut off")
         if first:
             lines = content.decode("utf-8", "replace").splitlines()
             if not parts[0].startswith("filedesc:") or len(lines) < 2 or not lines[0][:1].isdigit():
@@ -94,8 +95,7 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
             if version not in ARC_FIELDS or len(names) != len(ARC_FIELDS[version]):
                 raise ValueError(f"unknown version {lines[0]!r}")
         else:
-            yield ArcRecord(version, {k: "" if v == "-" else v for k, v in zip(names, parts)}, content, at)
-        at = end + 1 + length
+            yield ArcRecord(version, {k: "" if v == "-" else v for k, v in zip(names, parts)}, content, start)
 
 
 def sha1_base32(data: bytes) -> str:
@@ -158,6 +158,42 @@ def _http(page_html: bytes) -> bytes:
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % len(page_html) + page_html
 
 
+def member(headers: dict[str, str], block: bytes) -> bytes:
+    """A record as a gzip member of its own."""
+    z = zlib.compressobj(3, zlib.DEFLATED, 31)
+    return z.compress(warc_bytes(headers, block)) + z.flush()
+
+
+def convert_archives(archives: DataFrame, root: str) -> DataFrame:
+    """archives: path of ARC files, gzipped (.gz) or not. Writes one WARC file for each under root; returns source, path, records, problem.
+
+    A file is read as a stream, so a task holds one record. A damaged file gives the records before the damage and says what it is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, base = fs.FileSystem.from_uri(root)
+        target.create_dir(base, recursive=True)
+        task = TaskContext.get()
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(path)
+                name = f"{hashlib.sha1(path.encode()).hexdigest()[:16]}-{re.sub(r'(.arc)?(.gz)?$', '', path.rsplit('/', 1)[-1])}.warc.gz"
+                n, problem = 0, None
+                temporary = f"{base}/_temporary-{task.taskAttemptId() if task else 0}-{name}"
+                with store.open_input_stream(at, compression=None) as raw, target.open_output_stream(temporary, compression=None) as out:
+                    stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw)
+                    try:
+                        for rec in read_arc(stream):
+                            out.write(member(*to_warc(rec, f"{path} {rec.offset}")))
+                            n += 1
+                    except (ValueError, EOFError, zlib.error, gzip.BadGzipFile) as e:
+                        problem = str(e)
+                target.move(temporary, f"{base}/{name}")
+                yield pa.RecordBatch.from_pydict({"source": [path], "path": [f"{root}/{name}"], "records": [n], "problem": pa.array([problem], pa.string())})
+
+    return written(archives.select("path").mapInArrow(run, "source string, path string, records long, problem string"), "converted")
+
+
 #: ARC bytes that a task holds at once, besides one page.
 SEGMENT = 4 << 20
 
@@ -179,8 +215,7 @@ def _write_task(root: str, version: int):
             arc = write_arc(held, f"part-{part:06d}-{done}.arc", version)
             for rec, (page, top) in zip(read_arc(arc), links):
                 more = {"Ferrule-Page": page} | ({"Ferrule-Refers-To-Page": top} if top is not None else {})
-                z = zlib.compressobj(3, zlib.DEFLATED, 31)
-                data = z.compress(warc_bytes(*to_warc(rec, f"page {page}", None if top is None else f"page {top}", more))) + z.flush()
+                data = member(*to_warc(rec, f"page {page}", None if top is None else f"page {top}", more))
                 out.write(data)
                 size += len(data)
                 done += 1

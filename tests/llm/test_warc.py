@@ -39,6 +39,23 @@ def test_malformed_archives_are_refused():
     assert warc.iso_date("2010") == "1970-01-01T00:00:00Z" and warc.iso_date("20100101") == "2010-01-01T00:00:00Z"
 
 
+def test_archives_in_a_folder(spark, tmp_path):
+    import gzip
+
+    contents = [b"HTTP/1.1 200 OK\r\n\r\n<p>a</p>", b"plain", b"z" * 100_000]
+    one, two = (warc.write_arc([(fields(), c) for c in contents], "t", v) for v in (1, 2))
+    (tmp_path / "a.arc").write_bytes(one)
+    (tmp_path / "b.arc.gz").write_bytes(gzip.compress(two[:60]) + gzip.compress(two[60:]))
+    (tmp_path / "cut.arc").write_bytes(one[:-50_000])
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{n}",) for n in ("a.arc", "b.arc.gz", "cut.arc")], "path string")
+    done = {x.source.rsplit("/", 1)[-1]: x for x in warc.convert_archives(paths, f"file://{tmp_path}/out").collect()}
+    assert [done[n].records for n in ("a.arc", "b.arc.gz", "cut.arc")] == [3, 3, 2] and done["a.arc"].problem is None and "cut off" in done["cut.arc"].problem
+    with gzip.open(done["b.arc.gz"].path.removeprefix("file://")) as f:
+        got = list(warc.read_warc(f))
+    assert [b for _, b in got] == contents and [h["WARC-Type"] for h, _ in got] == ["response", "resource", "resource"]
+    assert len({h["WARC-Record-ID"] for h, _ in got}) == 3
+
+
 def test_pages_round_trip(spark, tmp_path):
     big, other = "é" * 600, "x" * 1000
     rows = [(1, "u", big), (5, None, big), (3, "u v", big), (7, "u", other), (8, "", "x" * 999), (9, "", "x" * 999), (10, "", None), (11, "", ""), (12, "q", "long " * 100_000), (None, "n", other), (5, "again", big)]
