@@ -17,7 +17,8 @@ from ferrule.operators.closure import reachable, strong_components
 from ferrule.operators.findings import dedup_first, merge_guards, numbered
 from ferrule.operators.lowering import facts
 from ferrule.plans import fixtures
-from ferrule.plans.project import analyze_files, ingest
+from ferrule.plans.project import analyze_files, call_statistics, ingest, scan_lines
+from ferrule.sources.reports import read_reports
 from ferrule.sources.rules import Rules, default_rules
 
 QUERIES: dict = {}
@@ -313,12 +314,13 @@ def nearest_preceding(spark, d):
 @query(f"""
 WITH {_SPANS}, i AS (SELECT id, arg_min(node, (-a, node)) AS node FROM p JOIN (SELECT * FROM s WHERE node % 3 = 0) s ON p.file = s.file AND a <= line AND line <= b GROUP BY id),
 q AS (SELECT file, a, min(node) AS node FROM s WHERE a > 500 GROUP BY ALL), n AS (SELECT id, node FROM p ASOF JOIN q ON p.file = q.file AND p.line >= q.a), f AS (SELECT file, min(node) AS node FROM s WHERE file % 2 = 0 GROUP BY 1)
-SELECT p.id, coalesce(i.node, n.node, f.node) AS node, CASE WHEN i.node IS NOT NULL THEN 'span' WHEN n.node IS NOT NULL THEN 'nearest-def' WHEN f.node IS NOT NULL THEN 'file' ELSE 'none' END AS method
+SELECT p.id, coalesce(i.node, n.node, f.node, -1) AS node, CASE WHEN i.node IS NOT NULL THEN 'span' WHEN n.node IS NOT NULL THEN 'nearest-def' WHEN f.node IS NOT NULL THEN 'file' ELSE 'none' END AS method
 FROM p LEFT JOIN i USING (id) LEFT JOIN n USING (id) LEFT JOIN f ON p.file = f.file
 """)
 def bind_cascade(spark, d):
     s = spans(spark, d)
-    return binding.bind(points(spark, d), s.where("node % 3 = 0"), s.where("start > 500").select("file", F.col("start").alias("def_line"), "node"), s.where("file % 2 = 0").select("file", "node"))
+    b = binding.bind(points(spark, d), s.where("node % 3 = 0"), s.where("start > 500").select("file", F.col("start").alias("def_line"), "node"), s.where("file % 2 = 0").select("file", "node"))
+    return b.select("id", F.coalesce("node", F.lit(-1)).alias("node"), "method")
 
 
 _PAGE_PATHS = "k AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages), p AS (SELECT DISTINCT 'work/x/' || regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS name FROM pages)"
@@ -592,6 +594,84 @@ def node_roll_up(spark, d):
     return serving.roll_up(built_in(spark).findings)
 
 
+@query(_values("total, bound, unresolved_project, unknown_receiver, method_sites, pcr, unk, tainted_sites, resolved, trr", [(13, 7, 0, 0, 6, 1.0, 0.0, 11, 11, 1.0)]).replace("1.0", "CAST(1 AS DOUBLE)").replace("0.0", "CAST(0 AS DOUBLE)"))
+def call_rates(spark, d):
+    rate, _, trr = call_statistics(built_in(spark))
+    r = rate.select("total", "bound", "unresolved_project", "unknown_receiver", "method_sites", F.col("PCR").alias("pcr"), F.col("UNK").alias("unk"))
+    return r.crossJoin(trr.select("tainted_sites", "resolved", F.col("TRR").alias("trr")))  # two single rows
+
+
+@query(_values("source, target, confidence", [
+    ("shop/store.py:13", "shop/store.py:18", "EXTRACTED"), ("shop/store.py:9", "shop/store.py:18", "EXTRACTED"), ("shop/web.py:13", "shop/store.py:13", "EXTRACTED"), ("shop/web.py:19", "shop/store.py:13", "EXTRACTED"),
+    ("shop/web.py:34", "shop/store.py:6", "EXTRACTED"), ("shop/web.py:34", "shop/store.py:9", "INFERRED"), ("shop/web.py:8", "shop/store.py:13", "EXTRACTED"),
+]))
+def call_links(spark, d):
+    return built_in(spark).links.where("relation = 'calls'").select("source", "target", "confidence")
+
+
+@query(_values("id, sec_layers", [
+    ("shop/__init__.py", ""), ("shop/store.py", ""), ("shop/store.py:13", ""), ("shop/store.py:18", f"{_SINK},{_INPUT}"), ("shop/store.py:23", f"credentials,{_SINK}"), ("shop/store.py:6", ""), ("shop/store.py:9", ""), ("shop/web.py", ""),
+    ("shop/web.py:13", ""), ("shop/web.py:19", f"{_SINK},{_INPUT}"), ("shop/web.py:23", f"{_SINK},{_INPUT}"), ("shop/web.py:29", f"{_SINK},{_INPUT}"), ("shop/web.py:34", ""), ("shop/web.py:8", f"{_SINK},{_INPUT}"),
+]))
+def annotated_nodes(spark, d):
+    return built_in(spark).nodes.select("id", joined("sec_layers").alias("sec_layers"))
+
+
+@query(_values("id, label, nodes", [("sec-path-3", "flask-request-input -> py-sql-exec (CWE-89)", "shop/store.py:18,shop/web.py:19"), ("sec-path-4", "flask-request-input -> py-sql-exec (CWE-89)", "shop/store.py:18,shop/web.py:8")]))
+def path_edges(spark, d):
+    return built_in(spark).hyperedges.select("id", "label", joined("nodes").alias("nodes"))
+
+
+@query(_values("fn, param, sink_id, line, via", [("shop/store.py:13", 0, "py-sql-exec", 20, "query"), ("shop/store.py:18", 0, "py-sql-exec", 20, ""), ("shop/store.py:23", 1, "py-os-command", 28, ""), ("shop/store.py:9", 1, "py-sql-exec", 20, "query")]))
+def sink_summaries(spark, d):
+    return built_in(spark).analysis.sink_params.select("fn", "param", "sink.sink_id", "sink.line", joined("via").alias("via"))
+
+
+@query(_values("fn, kind, label", [("shop/store.py:13", "P", 0), ("shop/store.py:18", "P", 0), ("shop/store.py:9", "P", 1), ("shop/web.py:19", "O", 0), ("shop/web.py:8", "O", 0)]))
+def return_summaries(spark, d):
+    return built_in(spark).analysis.returns.select("fn", "kind", "label")
+
+
+@query(_values("fn, params, decorators, enclosing_class, field_escape, module", [
+    ("shop/store.py:13", "text", "", None, False, "shop.store"), ("shop/store.py:18", "sql", "", None, False, "shop.store"), ("shop/store.py:23", "name,password", "", None, False, "shop.store"), ("shop/store.py:6", "self,rows", "", "Basket", True, "shop.store"),
+    ("shop/store.py:9", "self,limit", "", "Basket", False, "shop.store"), ("shop/web.py:13", "", "", None, False, "shop.web"), ("shop/web.py:19", "", "login_required", None, False, "shop.web"), ("shop/web.py:23", "cur", "", None, False, "shop.web"),
+    ("shop/web.py:29", "cur,cached", "", None, False, "shop.web"), ("shop/web.py:34", "", "", None, False, "shop.web"), ("shop/web.py:8", "", "", None, False, "shop.web"),
+]))
+def function_facts(spark, d):
+    f = facts(built_in(spark).lowered, "function")
+    return f.select("fn", joined("params").alias("params"), joined("decorators").alias("decorators"), "enclosing_class", "field_escape", "module")
+
+
+@query(_values("file, local, fqn", [
+    ("shop/store.py", "os", "os"), ("shop/store.py", "sqlite3", "sqlite3"), ("shop/web.py", "Basket", "shop.store.Basket"), ("shop/web.py", "current_user", "flask_login.current_user"), ("shop/web.py", "find_items", "shop.store.find_items"),
+    ("shop/web.py", "login_required", "flask_login.login_required"), ("shop/web.py", "request", "flask.request"),
+]))
+def import_facts(spark, d):
+    return facts(built_in(spark).lowered, "import")
+
+
+@query(_values("line", [
+    ("[critical] CWE-78 shop/store.py:23 -> shop/store.py:28 py-os-command (credentials,dangerous-sink) UNGUARDED",), ("[high] CWE-89 shop/web.py:26 -> shop/web.py:26 py-sql-exec (dangerous-sink,untrusted-input) is_admin",),
+    ("[high] CWE-89 shop/web.py:31 -> shop/web.py:31 py-sql-exec (dangerous-sink,untrusted-input) UNGUARDED",), ("[high] CWE-89 shop/web.py:20 -> shop/store.py:20 py-sql-exec (dangerous-sink,untrusted-input) login_required",),
+    ("[high] CWE-89 shop/web.py:9 -> shop/store.py:20 py-sql-exec (dangerous-sink,untrusted-input) UNGUARDED",),
+]))
+def scan_text(spark, d):
+    return scan_lines(built_in(spark).findings)
+
+
+@query(_values("layer, kind, names, path_count", [("untrusted-input", "sources", "flask-request-input,env-secret", 4)]))
+def layer_provenance(spark, d):
+    r = built_in(spark)
+    e = serving.explain_layer(spark, "untrusted-input", default_rules(), r.nodes, r.findings)
+    return e.select("layer", F.explode("provenance").alias("kind", "names"), "path_count").select("layer", "kind", joined("names").alias("names"), "path_count")
+
+
+@query(_values("rule_id, file, line, ordinal, security_severity", [("py/sql-injection", "shop/store.py", 20, 0, "9.3"), ("py/sql-injection", "shop/web.py", 26, 1, "9.3"), ("js/xss", "web/app.js", 1, 2, None), ("py/lost", "../../etc/passwd", 1, 3, None), ("py/sql-injection", "shop/web.py", 26, 0, None)]))
+def truth_skeleton(spark, d):
+    raw = read_reports(fixtures.reports(spark)).where("kind = 'sarif'")
+    return evaluation.skeleton(raw).select("rule_id", "file", "line", "ordinal", "security_severity")
+
+
 @query("""
 WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{13,19}')) AS run FROM documents),
 s AS (SELECT doc_id, run, list_sum(list_transform(range(1, length(run) + 1), lambda i: CASE WHEN (length(run) - i) % 2 = 0 THEN CAST(substr(run, i, 1) AS INT) ELSE CASE WHEN CAST(substr(run, i, 1) AS INT) > 4 THEN 2 * CAST(substr(run, i, 1) AS INT) - 9 ELSE 2 * CAST(substr(run, i, 1) AS INT) END END)) % 10 = 0 AND run NOT IN ('"""
