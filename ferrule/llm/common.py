@@ -13,8 +13,9 @@ NO_ID = -(2**63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Rows hold whole texts; a reader's batch of 4096 of them is tens of MB in single arrays.
+    # Rows hold whole texts; a reader's batch of 4096 of them, or an Arrow batch of 10,000, is tens of MB in single arrays, several times over.
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
