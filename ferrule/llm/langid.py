@@ -41,8 +41,11 @@ def trigram_counts(text: str) -> np.ndarray:
     return out
 
 
-def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """docs: text, lang. Languages, and the probabilities (bucket, language)."""
+def learn(docs: DataFrame, most: int = 256) -> tuple[list[str], np.ndarray]:
+    """docs: text, lang. Languages, and the probabilities (bucket, language).
+
+    At most `most` languages are learned, those of the most documents, so the model's size is bounded whatever the column holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -55,7 +58,9 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": pa.array(at, pa.int32()), "n": pa.array(n[at], pa.int64())})
 
-    counts = docs.where("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "lang string, bucket int, n long")
+    rows = docs.where("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
+    known = [r.lang for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()]
+    counts = rows.where(F.col("lang").isin(known)).mapInArrow(run, "lang string, bucket int, n long")
     rows = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     p = np.full((BUCKETS, max(1, len(langs))), 0.05)

@@ -76,6 +76,7 @@ def test_language_mixtures(spark):
     assert set(got[904].languages) == {"en", "fr"} and 0.5 < got[904].score < 0.85 and got[904].lang_pred == "en"
     kept = langid.kept(docs, model)
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {r[0] for r in rows} - {900, 901, 902}
+    assert langid.learn(docs, most=2)[0] == sorted(x.lang for x in docs.groupBy("lang").count().where("lang is not null").orderBy("count", "lang", ascending=[False, True]).limit(2).collect())
     nothing = langid.learn(docs.where("false"))
     assert {(x.lang_pred, x.score) for x in langid.predict(docs, nothing).collect()} == {("und", 0.0)}
 
