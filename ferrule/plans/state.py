@@ -5,16 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def kept(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder (spark.checkpoint.dir) and read again, so that plans don't grow and lost executors cost nothing."""
     spark = df.sparkSession
+    path = f"{_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="ferrule-")
         spark.sparkContext.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/ferrule/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{at.rstrip('/')}/ferrule/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the tables that this application wrote between its rounds; results that read them are gone then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
