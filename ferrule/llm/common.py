@@ -31,7 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/ferrule/{what}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/ferrule/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes what this application wrote between its steps; no result that is still to be computed may need it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/ferrule/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
