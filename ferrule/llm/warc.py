@@ -110,6 +110,11 @@ def iso_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path in it; Hadoop's names for S3 are S3's here."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 def record_id(key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(IDS, key)}>"
 
@@ -171,12 +176,12 @@ def convert_archives(archives: DataFrame, root: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, base = fs.FileSystem.from_uri(root)
+        target, base = store_of(root)
         target.create_dir(base, recursive=True)
         task = TaskContext.get()
         for b in batches:
             for path in b.column(0).to_pylist():
-                store, at = fs.FileSystem.from_uri(path)
+                store, at = store_of(path)
                 name = f"{hashlib.sha1(path.encode()).hexdigest()[:16]}-{re.sub(r'(.arc)?(.gz)?$', '', path.rsplit('/', 1)[-1])}.warc.gz"
                 n, problem = 0, None
                 temporary = f"{base}/_temporary-{task.taskAttemptId() if task else 0}-{name}"
@@ -202,7 +207,7 @@ def _write_task(root: str, version: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         part, attempt = (task.partitionId(), task.taskAttemptId()) if task else (0, 0)
-        store, base = fs.FileSystem.from_uri(root)
+        store, base = store_of(root)
         store.create_dir(base, recursive=True)
         temporary, final = f"{base}/_temporary-{part}-{attempt}", f"{base}/part-{part:06d}.warc.gz"
         done = size = 0
@@ -264,7 +269,7 @@ def read_archives(paths: DataFrame) -> DataFrame:
         for b in batches:
             for path in b.column(0).to_pylist():
                 rows = []
-                store, at = fs.FileSystem.from_uri(path)
+                store, at = store_of(path)
                 with store.open_input_stream(at, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
                     for h, block in read_warc(stream):
                         head, _, payload = block.partition(b"\r\n\r\n")
