@@ -6,7 +6,7 @@ substrings of one byte, and each substring is an index of its own: its 256 bucke
 
 Search within radius r: by the pigeonhole principle a code within r differs from the query's by at most r_j in some substring j, where the
 r_j + 1 add up to r + 1. Of each index the buckets within r_j are probed, what they list is verified by the full Hamming distance, and the
-radius grows until at least `least` codes of the block are within it. These are ranked by the inner product of the original vectors in double
+radius grows until a share of the block's codes, and ten times k, are within it. These are ranked by the inner product of the original vectors in double
 precision. The radius to start from is measured on the sample; it only saves rounds.
 
 A fixed share of each block is ranked, so recall doesn't fall as the table grows. Every row is indexed; only the rotations are fitted on the
@@ -78,7 +78,7 @@ def probe(queries: np.ndarray, codes: np.ndarray, r: int) -> np.ndarray:
 
 
 def search_block(model: Codes, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, qx: np.ndarray, k: int, share: float, chunk: int = 256):
-    codes, least = model.encode(x), max(2 * k, int(np.ceil(share * len(ids))))
+    codes, least = model.encode(x), max(10 * k, int(np.ceil(share * len(ids))))
     bits = codes.shape[1] * 8
     for at in chunks(len(qids), chunk):
         own, qc, v = qids[at], model.encode(qx[at]), qx[at]
