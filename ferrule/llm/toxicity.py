@@ -165,7 +165,7 @@ class Scorer:
         return self.__dict__ | {"young": {}, "old": {}}
 
     def forget(self) -> None:
-        """Workers outlive their tasks; what they remember need not."""
+        """Workers outlive their tasks; where other stages follow, what they remember need not."""
         self.young, self.old = {}, {}
 
     def word(self, w: str) -> float:
@@ -173,7 +173,7 @@ class Scorer:
         if s is None:
             s = float(self.slope[subwords(w)].mean())
         if len(w) <= 64:
-            if len(self.young) >= 150_000:
+            if len(self.young) >= 250_000:
                 self.young, self.old = {}, self.young
             self.young[w] = s
         return s
@@ -226,7 +226,6 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.3) -> DataFrame:
         for b in batches:
             s = [sent.value.score(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["doc_id", "score", "predicted"])
-        sent.value.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
 
