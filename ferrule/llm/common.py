@@ -47,6 +47,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, source: DataFrame, mb: int = 32) -> DataFrame:
+    """df in as many partitions as source has `mb` megabytes (by the planner's estimate), and at least as many as there are cores: few, full files."""
+    estimate = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(int(min(1 << 20, max(df.sparkSession.sparkContext.defaultParallelism, -(-estimate // (mb << 20))))))
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 4 is 2; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import NO_ID, new_path, table, written
+from ferrule.llm.common import NO_ID, new_path, sized, table, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,7 +88,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     docs = whole.select("text", F.col("_ferrule_doc").alias("doc"), F.col("_ferrule_th").alias("th"))
     keys = F.transform(F.transform(lines_of(F.col("text")), line_key), lambda k, i: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"), i.alias("pos"))))
     hashed = docs.select("doc", "th", F.sort_array(F.filter(keys, lambda x: x.isNotNull())).alias("hs"), F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int").alias("batch"))
-    hashed = written(hashed.where(F.size("hs") > 0), "lines")
+    hashed = written(sized(hashed.where(F.size("hs") > 0), whole), "lines")
 
     # hs is sorted, so a key's first line in its document is where the key before differs.
     once = F.filter(F.col("hs"), lambda x, i: (i == 0) | (F.get(F.col("hs"), i - 1)["h1"] != x["h1"]) | (F.get(F.col("hs"), i - 1)["h2"] != x["h2"]))
@@ -116,7 +116,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
 
     # Through transform() the lines are split once for each row, not for each slice.
     text = F.when(F.col("_ferrule_drop").isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(lines_of(F.col("text"))), kept), F.lit(0)))
-    return j.select(*[text.alias("text") if c == "text" else c for c in own], n.cast("long").alias("n_lines"), F.coalesce(F.size("_ferrule_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    return sized(j, whole).select(*[text.alias("text") if c == "text" else c for c in own], n.cast("long").alias("n_lines"), F.coalesce(F.size("_ferrule_drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import hex64, table, written
+from ferrule.llm.common import hex64, sized, table, written
 from ferrule.llm.components import components
 
 BLOCKS = (13, 13, 13, 13, 12)
@@ -89,7 +89,7 @@ def links(fps: DataFrame, bucket: int = 32) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, bucket: int = 32) -> DataFrame:
     """doc_id, fp, th, component_id: a row for each row of docs."""
-    of = written(fingerprints(docs, words, seed), "fingerprints")
+    of = written(sized(fingerprints(docs, words, seed), docs), "fingerprints")
     nodes = written(of.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     root = components(links(nodes.select("fp"), bucket))
     linked = written(root.select(F.col("node").alias("fp"), "root").union(root.select(F.col("root").alias("fp"), "root").distinct()), "linked")
