@@ -48,7 +48,10 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def sized(df: DataFrame, source: DataFrame, mb: int = 32) -> DataFrame:
-    """df in as many partitions as source has `mb` megabytes (by the planner's estimate), and at least as many as there are cores: few, full files."""
+    """df in as many partitions as source has `mb` megabytes (by the planner's estimate), and at least as many as there are cores: few, full files.
+
+    For what a scan feeds alone: behind a join one task would hold the hash tables of all the partitions that it was given.
+    """
     estimate = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.coalesce(int(min(1 << 20, max(df.sparkSession.sparkContext.defaultParallelism, -(-estimate // (mb << 20))))))
 
