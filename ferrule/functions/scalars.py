@@ -126,8 +126,11 @@ def shannon(text: Column) -> Column:
     """Bits per character; 0 for texts of at most one character."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     n = F.char_length(text)
-    term = lambda acc, c: acc - (F.char_length(text) - F.char_length(F.replace(text, c, F.lit("")))) / n * F.log2((F.char_length(text) - F.char_length(F.replace(text, c, F.lit("")))) / n)
-    return F.when(n <= 1, F.lit(0.0)).otherwise(F.aggregate(F.array_distinct(chars), F.lit(0.0), term))
+    # What a character's removal takes away is how often it stands there.
+    counts = F.transform(F.array_distinct(chars), lambda c: n - F.char_length(F.replace(text, c, F.lit(""))))
+    # -sum(k/n log(k/n)) = log n - sum(k log k) / n: one pass over the counts, without the text.
+    mass = F.aggregate(counts, F.lit(0.0), lambda acc, k: acc + k * F.log2(k.cast("double")))
+    return F.when(n <= 1, F.lit(0.0)).otherwise(F.log2(n.cast("double")) - mass / n)
 
 
 def file_hash(content: Column) -> Column:
