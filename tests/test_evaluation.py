@@ -25,6 +25,16 @@ def test_bootstrap_holds_the_mean(spark):
     assert tuple(E.bootstrap_ci(df.where("false"), "x").first()) == (0.0, 0.0, 0.0)
 
 
+def test_bootstrap_of_the_whole_table(spark, tmp_path):
+    """Ids beyond any first few decide, and many items cost no more than few."""
+    from ferrule.plans import queries
+
+    spark.range(2_000_000).selectExpr("id AS doc_id", "CASE WHEN id < 60 THEN 0 ELSE id % 4 END AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    r = queries.bootstrap_interval(spark, str(tmp_path)).first()
+    assert r.point == 1.5 and 1.49 < r.lo < r.point < r.hi < 1.51  # 1.96 standard errors are 0.0015
+    assert 0.002 < r.hi - r.lo < 0.004
+
+
 def test_rankings_and_audit(spark):
     r = spark.createDataFrame([(1, False), (2, True), (3, True)], "pos int, hit boolean")
     assert E.rank_of_first(r).first().first == 2 and tuple(E.precision_at(r, 2).first()) == (1, 2) and tuple(E.precision_at(r, 10).first()) == (2, 3)
