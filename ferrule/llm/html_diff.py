@@ -6,8 +6,8 @@ beginning. Their lines are aligned by a longest common subsequence, and shared l
 its template. A page at the edge of a partition has the one neighbour on the inner side.
 
 Differencing alone cannot give right results here, so two rules stand beside it. Lines inside an article that the page itself declares
-(article, main) are not deleted for being shared: exact copies and quoted passages would lose their text. And lines that no other page shares
-are deleted where the markup says that they are not the article: menus, headers, footers, sidebars, notices, adverts, forms, comments.
+(article, main) are not deleted for being shared: exact copies and quoted passages would lose their text. Lines outside of it stay if the
+neighbour doesn't share them; a page without a neighbour keeps its declared article alone. And lines that no other page shares are deleted where the markup says that they are not the article: menus, headers, footers, sidebars, notices, adverts, forms, comments.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by two line feeds.
 
@@ -185,7 +185,8 @@ def main_text(own: list[tuple[str, int]], other: list[tuple[str, int]] | None) -
     shared = common([x[0] for x in own], [x[0] for x in other]) if other else set()
     keep = []
     for i, (line, zone) in enumerate(own):
-        if zone == ARTICLE or zone == BODY and not declared and i not in shared:
+        # Outside of a declared article the neighbour decides; without one there is nothing to tell text from template, and the article is all.
+        if zone == ARTICLE or zone == BODY and i not in shared and (other or not declared):
             keep.append(line)
     return "\n\n".join(keep)
 

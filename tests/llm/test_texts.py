@@ -52,6 +52,12 @@ def test_pages_lose_what_neighbours_share(spark):
     assert html_diff.extract(pages.where("false")).count() == 0
 
 
+def test_a_teaser_does_not_replace_the_main_text():
+    page = lambda t: html_diff.lines_of(f"<body><div>Top bar</div><article>Teaser {t}</article><div>Main text {t}</div><nav>Menu {t}</nav></body>")
+    assert html_diff.main_text(page("one"), page("two")) == "Teaser one\n\nMain text one"
+    assert html_diff.main_text(page("one"), None) == html_diff.main_text(page("one"), []) == "Teaser one"
+
+
 WORDS = {"en": "the and of tree house water", "de": "der und das baum haus wasser über", "fr": "le et des arbre maison eau été"}
 
 
