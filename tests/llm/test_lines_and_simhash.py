@@ -4,7 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ferrule.llm.components import components
-from ferrule.llm.line_dedup import dedup_lines
+from ferrule.llm.line_dedup import RunStore, dedup_lines
 from ferrule.llm.simhash import fingerprint, links, near_duplicates, signed
 
 LINE = "This line is longer than twenty."
@@ -45,6 +45,27 @@ def test_lines_of_repeated_rows_and_of_no_rows(documents):
     assert dedup_lines(documents([LINE]).where("false")).count() == 0
 
 
+def test_without_the_anti_join_lines_are_lost(documents, monkeypatch):
+    """The anti-join with the runs decides which document keeps a line: without it a key is in several runs."""
+    texts = [LINE, f"{LINE}\nfirst", "second", LINE, f"third\n{LINE}", "fourth", LINE, "fifth"]
+    docs = documents(texts)
+    rows = lambda: sorted((x.doc_id, x.text) for x in dedup_lines(docs, batches=4).collect())
+    want = sorted((i, t) for i, t, _, _ in brute_lines(list(enumerate(texts))))
+    assert rows() == want
+    monkeypatch.setattr(RunStore, "new", lambda self, own: own)
+    assert rows() != want
+
+
+def test_runs_hold_a_key_once(spark):
+    store = RunStore(spark, fanout=2)
+    batches = [[(1, 1, 90), (2, 2, 91)], [(1, 1, 80), (3, 3, 81)], [(1, 1, 70), (2, 2, 71)], [(4, 4, 60)]]
+    for b in batches:
+        store.add(spark.createDataFrame(b, "h1 long, h2 long, doc long"), len(b))
+    assert sorted(tuple(x) for x in store.runs().collect()) == [(1, 1, 1, 90), (2, 2, 1, 91), (3, 3, 1, 81), (4, 4, 1, 60)]
+    assert [len(x) for x in store.levels] == [0, 0, 1]
+    assert [(x.h1, x.top, x.n) for x in store.frequent(3).collect()] == [(1, 90, 3)]
+
+
 def test_line_dedup_plan_is_native(documents):
     out = dedup_lines(documents([LINE, LINE, LINE]))
     plan = out._jdf.queryExecution().executedPlan().toString()
