@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,6 +20,9 @@ def kept(df: DataFrame, what: str) -> DataFrame:
 def _folder(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        # Only a local session's tasks see a folder of this machine.
+        if not re.match(r"local(\[[^-]|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="ferrule-")
         spark.sparkContext.setCheckpointDir(at)
     return f"{at.rstrip('/')}/ferrule/{spark.sparkContext.applicationId}"
