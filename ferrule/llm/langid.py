@@ -5,11 +5,13 @@ languages: expectation-maximisation finds the proportions under which its trigra
 likelihood: from the best single language on, the language that raises the likelihood most is added as long as the rise exceeds
 `penalty` times the logarithm of the number of trigrams. The prediction is the language of the largest proportion.
 
-Counts are summed on the executors; what reaches the driver is one number per language and bucket (65,536 buckets), whatever the table holds.
+Counts are summed on the executors; what reaches the driver, and each task, is one number per language and bucket. Every language is learned:
+there are 65,536 buckets for up to 256 languages, and for more as many fewer (256 at least) as keep the model at 2^24 numbers.
 
-Defined results: `und` with score 0 for a null text and a text without letters, and for every text if there is nothing to learn from. Rows
-with a null doc_id are predicted, not learned from. Repeated rows stay repeated. An empty table gives an empty result. lang, source and doc_id
-are never inputs of a prediction.
+Defined results: `und` with score 0 for a null text and a text without letters (as str.isalpha has them), and for every text if there is nothing
+to learn from. Of equal proportions the language that sorts first counts. Rows with a null doc_id are predicted, not learned from. Repeated rows
+stay repeated. A very long text is counted in chunks, whole. An empty table gives an empty result. Only doc_id, text and, to learn, lang are
+read; lang, source and doc_id are never inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -30,42 +32,52 @@ _LETTER = re.compile(r"[^\W\d_]")
 CHUNK = 1 << 20
 
 
-def trigram_counts(text: str) -> np.ndarray:
-    """Counts of hashed byte trigrams of the text in lower case, with blanks at its ends."""
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; the pattern also finds digits that aren't decimal."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
+def trigram_counts(text: str, buckets: int = BUCKETS) -> np.ndarray:
+    """Counts of hashed byte trigrams of the text in lower case, with blanks at its ends; buckets: a power of two."""
     b = np.frombuffer(f" {text.lower()} ".encode(), np.uint8)
-    out = np.zeros(BUCKETS, np.int64)
+    out = np.zeros(buckets, np.int64)
+    shift = np.uint32(33 - buckets.bit_length())
     for at in range(0, len(b) - 2, CHUNK):
         x = b[at : at + CHUNK + 2].astype(np.uint32)
-        code = (x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(2654435761) >> np.uint32(16)
-        out += np.bincount(code, minlength=BUCKETS)
+        code = (x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(2654435761) >> shift
+        out += np.bincount(code, minlength=buckets)
     return out
 
 
-def learn(docs: DataFrame, most: int = 256) -> tuple[list[str], np.ndarray]:
-    """docs: text, lang. Languages, and the probabilities (bucket, language).
+def buckets_for(languages: int, most: int = 1 << 24) -> int:
+    """How many buckets keep the model at `most` numbers: a power of two from 256 to 65,536."""
+    return min(BUCKETS, max(256, 1 << (most // max(1, languages)).bit_length() - 1))
 
-    At most `most` languages are learned, those of the most documents, so the model's size is bounded whatever the column holds.
-    """
+
+def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """docs: text, lang. All languages, and the probabilities (bucket, language)."""
+    rows = docs.where("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
+    buckets = buckets_for(rows.select("lang").distinct().count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column(1).to_pylist(), b.column(0)):
                 if lang not in sums:
-                    sums[lang] = np.zeros(BUCKETS, np.int64)
-                sums[lang] += trigram_counts(text.as_py())
+                    sums[lang] = np.zeros(buckets, np.int64)
+                sums[lang] += trigram_counts(text.as_py(), buckets)
         for lang, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": pa.array(at, pa.int32()), "n": pa.array(n[at], pa.int64())})
 
-    rows = docs.where("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    known = [r.lang for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()]
-    counts = rows.where(F.col("lang").isin(known)).mapInArrow(run, "lang string, bucket int, n long")
-    rows = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(rows["lang"].unique())
-    p = np.full((BUCKETS, max(1, len(langs))), 0.05)
+    counts = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # A row per language, of at most as many numbers as there are buckets.
+    packed = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("all")).select("lang", F.col("all.bucket").alias("bucket"), F.col("all.n").alias("n")).toArrow()
+    langs = sorted(packed.column("lang").to_pylist())
+    p = np.full((buckets, max(1, len(langs))), 0.05)
     at = {x: i for i, x in enumerate(langs)}
-    p[rows["bucket"].to_numpy(int), rows["lang"].map(at).to_numpy(int)] += rows["n"].to_numpy(float)
+    for lang, bucket, n in zip(packed.column("lang").to_pylist(), packed.column("bucket"), packed.column("n")):
+        p[bucket.values.to_numpy(), at[lang]] += n.values.to_numpy()
     return langs, p / p.sum(axis=0)
 
 
@@ -108,9 +120,9 @@ def mixture(n: np.ndarray, p: np.ndarray, penalty: float = 3.0) -> np.ndarray:
 
 def shares(text: str | None, p: np.ndarray) -> np.ndarray | None:
     """A text's proportions; None without letters."""
-    if text is None or not _LETTER.search(text):
+    if text is None or not has_letter(text):
         return None
-    n = trigram_counts(text)
+    n = trigram_counts(text, len(p))
     at = np.flatnonzero(n)
     return mixture(n[at].astype(float), p[at])
 

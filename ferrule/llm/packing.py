@@ -1,19 +1,21 @@
 """Packing of token sequences by Karmarkar-Karp multiway differencing.
 
 Documents are tokenised where they lie and packed in the same task, group by group, so token ids are never shuffled and a task holds one
-group and one document. A document's full windows of `size` tokens are sequences of their own. What is left of each goes into a pool; a pool
-of about `group` tokens is cut into pieces and divided among windows by differencing: every piece starts as a partial partition of its own,
-and the two partial partitions with the largest imbalance are merged, large sums against small ones, until one is left. Its windows are
-nearly equal. If one exceeds the capacity, the window count rises by one; when that has not helped within 1 %, pieces are cut finer.
-
-Defined results: a null or empty text is the end id alone. Repeated rows and rows with a null doc_id are packed one by one. An empty table
-gives an empty result. Only doc_id and text are read. sequence_id holds the task's partition in its upper bits: ids are unique in a run, but
+group and one document. A document's full windows of `size` tokens are sequences of their own. What is left of each goes whole into a pool; a
+pool of about `group` tokens is divided among windows by differencing: every rest starts as a partial partition of its own, and the two partial
+partitions with the largest imbalance are merged, large sums against small ones, until one is left. Its windows are nearly equal. While one
+exceeds the capacity, the window count rises; when a part in 256 more has not helped, the windows that are still too full give up what is beyond
+the capacity, and that alone is cut to the room which others have.
+
+Defined results: a null or empty text is the end id alone. Repeated rows and rows with a null doc_id are packed one by one. Equal lengths are
+told apart by their order in the partition. A very long text is tokenised whole, in its row. An empty table gives an empty result. Only doc_id and text are read. sequence_id holds the task's partition in its upper bits: ids are unique in a run, but
 not dense.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import heapq
 import os
 import re
@@ -103,30 +105,42 @@ def difference(sizes: list[int], m: int) -> list[int]:
     return out
 
 
-def pack(rests: list[int], size: int, finest: int = 32) -> list[list[tuple[int, int, int]]]:
+def pack(rests: list[int], size: int) -> list[list[tuple[int, int, int]]]:
     """rests: tokens left of each document, under `size`. Windows of (document, start in the rest, length)."""
-    total = sum(rests)
-    least = -(-total // size)
-    cut = max(size // 8, 1)
-    while True:
-        pieces = [(i, a, min(cut, n - a)) for i, n in enumerate(rests) for a in range(0, n, cut)]
-        last = cut // 2 < finest
-        m = least
-        while m <= least + max(1, least // 100) or last:
-            at = difference([p[2] for p in pieces], m)
-            if np.bincount(at, weights=[p[2] for p in pieces], minlength=m).max(initial=0) <= size:
-                windows: list[list] = [[] for _ in range(m)]
-                for p, w in zip(pieces, at):
-                    if windows[w] and windows[w][-1][0] == p[0] and windows[w][-1][1] + windows[w][-1][2] == p[1]:
-                        i, a, n = windows[w].pop()  # neighbours meet again
-                        p = (i, a, n + p[2])
-                    windows[w].append(p)
-                return [w for w in windows if w]
-            m += 1
-        cut //= 2
-
-
-def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = None, size: int = 2048, group: int = 1 << 18) -> DataFrame:
+    least = -(-sum(rests) // size)
+    for m in (least, least + max(1, least // 256)):
+        at = difference(rests, m)
+        windows: list[list[tuple[int, int, int]]] = [[] for _ in range(m)]
+        for i, w in enumerate(at):
+            windows[w].append((i, 0, rests[i]))
+        room = [size - sum(p[2] for p in w) for w in windows]
+        if min(room, default=0) >= 0:
+            return [w for w in windows if w]
+    # Too full: the end of the longest piece goes, to where it fits tightly, or else into the widest room as far as that goes.
+    loose: list[tuple[int, int, int]] = []
+    for w, r in zip(windows, room):
+        while r < 0:
+            i, a, n = max(w, key=lambda p: p[2])
+            w.remove((i, a, n))
+            over = min(n, -r)
+            if over < n:
+                w.append((i, a, n - over))
+            loose.append((i, a + n - over, over))
+            r += over
+    free = sorted((r, k) for k, r in enumerate(room) if r > 0)
+    for i, a, n in sorted(loose, key=lambda p: -p[2]):
+        while n:
+            j = bisect.bisect_left(free, (n, -1))
+            r, k = free.pop(min(j, len(free) - 1))
+            part = min(n, r)
+            windows[k].append((i, a, part))
+            a, n = a + part, n - part
+            if r > part:
+                bisect.insort(free, (r - part, k))
+    return [w for w in windows if w]
+
+
+def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = None, size: int = 2048, group: int = 1 << 19) -> DataFrame:
     """A row per piece, as SCHEMA; each id of each document lies in exactly one piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -82,11 +83,39 @@ def test_language_mixtures(spark):
     assert set(got[904].languages) == {"en", "fr"} and 0.5 < got[904].score < 0.85 and got[904].lang_pred == "en"
     kept = langid.kept(docs, model)
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {r[0] for r in rows} - {900, 901, 902}
-    assert langid.learn(docs, most=2)[0] == sorted(x.lang for x in docs.groupBy("lang").count().where("lang is not null").orderBy("count", "lang", ascending=[False, True]).limit(2).collect())
+    assert langid.learn(docs)[0] == ["de", "en", "fr"]
     nothing = langid.learn(docs.where("false"))
     assert {(x.lang_pred, x.score) for x in langid.predict(docs, nothing).collect()} == {("und", 0.0)}
 
 
+def test_all_of_many_languages_are_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} word{i} text" * 20, f"l{i:03d}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, p = langid.learn(docs)
+    assert langs == [x[2] for x in rows] and p.shape == (langid.buckets_for(400), 400) and p.size <= 1 << 24 and langid.buckets_for(256) == 1 << 16
+    assert {x.doc_id: x.lang_pred for x in langid.predict(docs, (langs, p)).where("doc_id % 40 = 7").collect()} == {i: rows[i][2] for i in range(7, 400, 40)}
+
+
+def test_letters():
+    for t in ("²", "½ 3", "Ⅷ", "_", "١", ""):
+        assert not langid.has_letter(t)
+    for t in ("² a", "½ʰ", "é", "中"):
+        assert langid.has_letter(t)
+
+
+def test_languages_are_the_best_set_of_all():
+    """Against every subset, fitted to the end, by the same penalised likelihood."""
+    r = np.random.default_rng(3)
+    p = r.dirichlet(np.full(60, 0.3), 4).T + 1e-4
+    p /= p.sum(axis=0)
+    for shares in ([1, 0, 0, 0], [0, 0.7, 0.3, 0], [0.5, 0, 0.2, 0.3], [0.25] * 4, [0, 0, 0.02, 0.98]):
+        n = r.multinomial(3000, p @ shares).astype(float)
+        need = 3 * np.log(n.sum() + 1)
+        best = max((langid.fit(n, p[:, s], np.full(len(s), 1 / len(s)), rounds=500, tolerance=1e-9)[1] - need * (len(s) - 1), s) for k in (1, 2, 3, 4) for s in itertools.combinations(range(4), k))
+        got = langid.mixture(n, p)
+        assert tuple(np.flatnonzero(got)) == best[1] and abs(got - shares).max() < 0.08
+
+
 def test_em_raises_the_likelihood():
     r = np.random.default_rng(0)
     p = r.dirichlet(np.ones(50), 3).T
@@ -122,6 +151,42 @@ def toxic_corpus(n=500, seed=1):
     return rows, labels
 
 
+def test_gradients_are_differences():
+    model = toxicity.Bags(dim=3, seed=1)
+    sizes, flat = np.array([2, 3, 1]), np.array([5, 9, 9, 2, 7, 5])
+    first = np.array([0, 2, 5])
+    batch, y, weight = [np.array([0, 1, 0]), np.array([2]), np.array([1, 2])], np.array([1, 0, 1]), np.array([0.5, 2.0, 1.0])
+    args = (batch, y, weight, flat, first, sizes)
+    loss, d_w, d_b, touched, d_e = toxicity.gradients(model, *args)
+    # The forward step by hand.
+    bag = lambda words: np.mean([model.e[flat[first[w] : first[w] + sizes[w]]].mean(axis=0) for w in words], axis=0)
+    z = np.array([bag(b) for b in batch]) @ model.w + model.b
+    assert np.isclose(loss, -(weight * (z[np.arange(3), y] - np.log(np.exp(z).sum(axis=1)))).sum())
+    for x, d, places in ((model.w, d_w, np.ndindex(3, 2)), (model.b, d_b, np.ndindex(2)), (model.e, {(t, j): d_e[i, j] for i, t in enumerate(touched) for j in range(3)}, [(t, j) for t in touched for j in range(3)])):
+        for at in places:
+            x[at] += 1e-6
+            up = toxicity.gradients(model, *args)[0]
+            x[at] -= 2e-6
+            down = toxicity.gradients(model, *args)[0]
+            x[at] += 1e-6
+            assert np.isclose((up - down) / 2e-6, d[at], atol=1e-6)
+
+
+def test_scores_are_the_worst_passages(spark):
+    """The scorer's remembered sums against the model's own forward step on every passage."""
+    model = toxicity.Bags(seed=4)
+    scorer = toxicity.Scorer(model)
+    r = random.Random(2)
+    for n in (1, 5, 8, 9, 40):
+        words = ["".join(r.choice("abcxyz") for _ in range(r.randint(1, 7))) for _ in range(n)]
+        of = [words] if n <= 8 else [words[a : a + 8] for a in [*range(0, n - 8, 4), n - 8]]
+        probability = []
+        for passage in of:
+            z = np.mean([model.e[toxicity.subwords(w)].mean(axis=0) for w in passage], axis=0) @ model.w + model.b
+            probability.append(1 / (1 + np.exp(z[0] - z[1])))
+        assert np.isclose(scorer.score(" ".join(words)), max(probability), atol=1e-5)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rows, labels = toxic_corpus()
     extra = [(9000, None), (9001, ""), (None, "grumph"), (9002, "clean words only " * 20_000 + " a grumphish one")]

@@ -1,9 +1,11 @@
 import hashlib
+import os
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -53,6 +55,20 @@ def test_fast_tokens_are_the_slow_ones():
             assert fast(t).tolist() == slow(t).tolist(), repr(t)
     for t in ODD[1:]:
         assert fast(t).tolist() == slow(t).tolist(), repr(t)
+    r = random.Random(11)
+    common = " \n\t\r'  ’.,-0aBé1\x85\xa0\x1c\x0b"
+    for _ in range(20_000):
+        t = "".join(r.choice(chars[:-1] if r.random() < 0.5 else common) for _ in range(r.randint(1, 20)))
+        assert fast(t).tolist() == slow(t).tolist(), repr(t)
+
+
+def test_fast_tokens_on_whole_documents():
+    at = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no documents here")
+    fast, slow = packing._tokenizer(BYTE, RANKS), packing._tokenizer(BYTE, None)
+    for t in pq.read_table(at, columns=["text"]).column(0).to_pylist():
+        assert t is None or fast(t).tolist() == slow(t).tolist(), repr(t[:80])
 
 
 def test_differencing_assigns_every_piece_and_balances():
@@ -79,6 +95,8 @@ def test_packs_are_whole_and_tight():
                     cover[i][j] += 1
         assert all(c == 1 for x in cover for c in x)
         assert len(windows) <= max(1, -(-sum(rests) // 2048)) + 1 + n // 100
+        # Most documents stay whole: only what overflows is cut.
+        assert sum(map(len, windows)) <= 1.4 * n + 2
 
 
 def test_packed_documents(documents):
