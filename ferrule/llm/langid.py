@@ -128,7 +128,7 @@ def shares(text: str | None, p: np.ndarray) -> np.ndarray | None:
 
 
 def kept(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5) -> DataFrame:
-    """The rows of docs of which a language makes up at least so much, with all their columns."""
+    """The rows of docs of which a language makes up at least so much, with all their columns; if no language was learned, all rows with letters."""
     at = docs.columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(model[1].astype(np.float32))
 

@@ -1,25 +1,34 @@
 """Exact top-k by inner product over multi-resolution segment statistics.
 
-A vector is cut into 1, 4 and 16 segments (as far as it has components); of each segment the mean and the deviation are kept. With n values,
-means a and b and deviations s and t (root of the summed squares about the mean), a segment's squared distance is at least
+A vector is cut into 1, 4, 16 and 32 segments (as far as it has components); of each segment the mean and the deviation are kept. With n
+values, means a and b and deviations s and t (root of the summed squares about the mean), a segment's squared distance is at least
 n (a - b)^2 + (s - t)^2, so its inner product is at most n a b + s t. Summed over segments, and with the vectors' norms known, a lower bound
-of the distance and an upper bound of the inner product are the same statement; the second is used. Bounds are computed coarse to fine for the rows that are left; rows whose bound is
-below the k-th best score so far go. What survives is scored exactly, in integers.
+of the distance and an upper bound of the inner product are the same statement; the second is used.
 
-Components are floor(1024 x), as integers. Bounds are widened by a part in 10^9 for rounding; scores are exact (int64). See vectors.py for the
-defined cases; zero vectors take part.
+Two passes over the tiles of vectors.py. The first gives each query a threshold: in each block the rows of the highest products of finest means
+are scored exactly, and the k-th best of all blocks is a lower bound of the k-th best of all rows. The second goes coarse to fine: at each
+level rows whose bound is below the query's threshold go, and those that survive all levels are scored exactly.
+
+Components are floor(1024 x), as integers. Where products of a row and a query can't reach 2^53, bounds and scores are computed in doubles:
+scores are then exact, and bounds are widened by a part in 10^9 of the product of the two norms. Larger ones are not pruned and are scored in
+integers of any size; a score beyond 64 bits becomes the nearest that a long holds, and such scores tie. See vectors.py for the other defined
+cases; zero vectors take part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import table
-from ferrule.llm.vectors import best, clean, matrix, search
+from ferrule.llm.common import table, written
+from ferrule.llm.vectors import best, clean, matrix, ranked, search
 
-LEVELS = (1, 4, 16)
+LEVELS = (1, 4, 16, 32)
+#: Between norms, for the rounding of bounds.
+SLACK = 1e-9
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -30,31 +39,107 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([means * np.sqrt([len(p) for p in parts]), devs], axis=1)
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, qx: np.ndarray, k: int):
-    levels = [(statistics(x.astype(float), s), statistics(qx.astype(float), s)) for s in LEVELS]
-    for i, own in enumerate(qids):
-        rows = np.flatnonzero(ids != own)
-        bound = levels[0][0][rows] @ levels[0][1][i]
-        # The rows of the highest coarse bounds give a first k-th best.
-        first = rows[np.argpartition(-bound, min(4 * k, len(rows)) - 1)[: 4 * k]] if len(rows) else rows
-        exact = x[first] @ qx[i]
-        kth = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
-        for stats, queries in levels:
-            bound = stats[rows] @ queries[i]
-            rows = rows[bound + 1e-9 * np.abs(bound) + 1e-6 >= kth]
-        scores = x[rows] @ qx[i]
-        top = best(scores, ids[rows], k)
-        yield own, ids[rows[top]], scores[top]
-
-
-def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, block_rows: int = 2048) -> DataFrame:
-    """query_id, rank, vec_id, score (long): for each row whose vec_id is divisible by `every`, the k highest inner products with other rows."""
+def whole(x: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
+    """floor(scale x) as doubles, zero in rows that are too large; which are, and their integers."""
+    with np.errstate(over="ignore"):
+        f = np.floor(scale * x)
+    limit = np.sqrt(2.0**53 / x.shape[1])
+    large = ~(np.abs(f).max(axis=1) <= limit)
+    # From 2^43 on a double is an integer times 1024 or more, so this is the floor.
+    exact = {int(i): [int(np.floor(scale * v)) if abs(v) < 2.0**43 else int(v) * scale for v in x[i].tolist()] for i in np.flatnonzero(large)}
+    f[large] = 0
+    return f, large, exact
+
+
+def saturated(n: int) -> int:
+    return max(-(2**63), min(2**63 - 1, n))
+
+
+class Block:
+    """A tile's rows or queries: integers as doubles, statistics of all levels, norms."""
+
+    def __init__(self, x: np.ndarray, scale: int):
+        self.x, self.large, self.exact = whole(x, scale)
+        self.levels = [statistics(self.x, s) for s in LEVELS]
+        self.norm = np.sqrt((self.x**2).sum(axis=1))
 
-    def answer(block, queries):
-        whole = lambda t: np.floor(scale * matrix(t.column("embedding"))).astype(np.int64)
-        yield from search_block(block.column("vec_id").to_numpy(), whole(block), queries.column("vec_id").to_numpy(), whole(queries), k)
+    def ints(self, i: int) -> list[int]:
+        return self.exact.get(i) or [int(v) for v in self.x[i].tolist()]
 
-    return search(clean(vectors, zero=True), F.col("vec_id") % every == 0, k, answer, block_rows, "long")
+
+def survivors(rows: Block, queries: Block, i: int, floor: float, at: np.ndarray) -> Iterator[np.ndarray]:
+    """Of rows `at` those that are left after each level."""
+    slack = SLACK * rows.norm * queries.norm[i] + 1e-6
+    for stats, asked in zip(rows.levels, queries.levels):
+        part = stats if len(at) == len(stats) else stats[at]
+        at = at[part @ asked[i] + slack[at] >= floor]
+        yield at
+
+
+def scored(rows: Block, queries: Block, i: int, at: np.ndarray) -> np.ndarray:
+    """Exact scores (long) of rows `at`."""
+    if queries.large[i]:
+        q = queries.ints(i)
+        return np.array([saturated(sum(a * b for a, b in zip(q, rows.ints(int(j))))) for j in at], np.int64)
+    out = ((rows.x if len(at) == len(rows.x) else rows.x[at]) @ queries.x[i]).astype(np.int64)
+    for k in np.flatnonzero(rows.large[at]):
+        out[k] = saturated(sum(a * b for a, b in zip(queries.ints(i), rows.ints(int(at[k])))))
+    return out
+
+
+def first_block(ids: np.ndarray, rows: Block, qids: np.ndarray, queries: Block, k: int):
+    """Exact scores of the rows whose finest means promise most."""
+    s = rows.levels[-1].shape[1] // 2
+    means = rows.levels[-1][:, :s]
+    for i, own in enumerate(qids):
+        promise = means @ queries.levels[-1][i, :s]
+        promise[ids == own] = -np.inf
+        n = min(4 * k, len(ids))
+        at = np.argpartition(-promise, n - 1)[:n]
+        at = at[ids[at] != own]
+        scores = scored(rows, queries, i, at)
+        top = best(scores, ids[at], k)
+        yield own, ids[at[top]], scores[top]
+
+
+def search_block(ids: np.ndarray, rows: Block, qids: np.ndarray, queries: Block, floors: np.ndarray, k: int):
+    every = np.arange(len(ids))
+    for i, own in enumerate(qids):
+        if queries.large[i]:
+            at = every
+        else:
+            for at in survivors(rows, queries, i, floors[i], every):
+                pass
+            if rows.exact:
+                at = np.union1d(at, np.flatnonzero(rows.large))
+        at = at[ids[at] != own]
+        scores = scored(rows, queries, i, at)
+        good = scores >= floors[i]
+        at, scores = at[good], scores[good]
+        top = best(scores, ids[at], k)
+        yield own, ids[at[top]], scores[top]
+
+
+def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, block_rows: int = 16384) -> DataFrame:
+    """query_id, rank, vec_id, score (long): for each row whose vec_id is divisible by `every`, the k highest inner products with other rows."""
+    rows = clean(vectors, zero=True)
+    queries = rows.where(F.col("vec_id") % every == 0)
+    parts = lambda t: (t.column("vec_id").to_numpy(), Block(matrix(t.column("embedding")), scale))
+
+    def first(block, asked):
+        yield from first_block(*parts(block), *parts(asked), k)
+
+    def second(block, asked):
+        # A query of fewer than k scores has no threshold.
+        floors = asked.column("floor").to_numpy(zero_copy_only=False).astype(float)
+        yield from search_block(*parts(block), *parts(asked), np.where(np.isnan(floors), -np.inf, floors), k)
+
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    kth = search(rows, queries, first, block_rows, "long").withColumn("nth", F.row_number().over(w)).where(F.col("nth") == k)
+    # Rounded down to a double: a threshold may be lower than it needs to be.
+    kth = kth.select(F.col("query_id").alias("vec_id"), (F.col("score").cast("double") - F.abs(F.col("score").cast("double")) * 1e-15).alias("floor"))
+    asked = written(queries.join(kth, "vec_id", "left"), "asked")
+    return ranked(search(rows, asked, second, block_rows, "long"), k)
 
 
 def op10_segment_top_k(spark, sf_dir: str) -> DataFrame:

@@ -1,17 +1,18 @@
-"""What the two vector searches share: clean vectors, blocks of rows that every query meets, and the merge of the blocks' answers.
+"""What the two vector searches share: clean vectors, tiles of rows and queries, and the merge of the tiles' answers.
 
-Rows are dealt to blocks of about `block_rows` by a hash of their id; every query goes to every block once. A task holds one block and its
-queries; each block answers with its own best k, and the best of these are the answer. Queries are rows of the table themselves, so the work of
-an exact answer is queries times rows; it is spread over blocks and no task grows with the table, save by its queries, which are handled in
-chunks.
+Rows are dealt to blocks of about `block_rows` by a hash of their id, queries to as many blocks as they fill; a task holds one tile, a block of
+rows and a block of queries, whatever the table's size, and answers with its own best k for each of its queries. The best of these are the
+answer. Queries are rows of the table themselves, so an answer without loss takes queries times rows where vectors have no structure; it is
+spread over the tiles, and each row is copied once for each block of queries.
 
 Defined for both: vec_id is a key; of repeated rows of a vec_id the least vector counts; rows with a null vec_id take no part; a query meets
-only candidates of its own number of components. An empty table gives an empty result. Only vec_id and embedding are read.
+only candidates of its own number of components; ties go to the smaller vec_id. An empty table gives an empty result. Only vec_id and embedding
+are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -53,16 +54,18 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def search(rows: DataFrame, is_query, k: int, answer: Callable, block_rows: int, score: str) -> DataFrame:
-    """rows: vec_id, embedding and what else the answer needs. answer(block, queries) yields (query_id, vec_ids, scores) with both as Arrow tables.
+def search(rows: DataFrame, queries: DataFrame, answer: Callable, block_rows: int, score: str) -> DataFrame:
+    """rows: vec_id, embedding. queries: the same, and what else the answer needs. answer(block, queries) yields (query_id, vec_ids, scores), both given as Arrow tables.
 
-    Returns query_id, rank, vec_id, score.
+    Returns query_id, vec_id, score of what the tiles answer.
     """
-    n = rows.count()  # of a table that clean() has written
-    blocks = max(1, -(-n // block_rows))
+    blocks, parts = (max(1, -(-x.count() // block_rows)) for x in (rows, queries))  # of tables that are written
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dims = F.size("embedding").alias("dims")
-    own = rows.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), dims)
-    every = rows.where(is_query).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), dims)
+    more = [c for c in queries.columns if c not in rows.columns]
+    own = rows.select("*", *[F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in more], dims, deal(blocks).alias("block"), copies(parts).alias("part"), F.lit(False).alias("asks"))
+    asked = queries.select(*rows.columns, *more, dims, copies(blocks).alias("block"), deal(parts).alias("part"), F.lit(True).alias("asks"))
     number = pa.float64() if score == "double" else pa.int64()
 
     def run(table: pa.Table) -> pa.Table:
@@ -76,11 +79,10 @@ def search(rows: DataFrame, is_query, k: int, answer: Callable, block_rows: int,
         cat = lambda x: np.concatenate(x) if x else np.array([], np.int64)
         return pa.table({"query_id": pa.array(cat(q), pa.int64()), "vec_id": pa.array(cat(ids), pa.int64()), "score": pa.array(cat(s), number)})
 
-    found = own.union(every).groupBy("dims", "block").applyInArrow(run, f"query_id long, vec_id long, score {score}")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return own.union(asked).groupBy("dims", "block", "part").applyInArrow(run, f"query_id long, vec_id long, score {score}")
 
 
-def chunks(n: int, size: int) -> Iterator[slice]:
-    for a in range(0, n, size):
-        yield slice(a, min(n, a + size))
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of each query."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

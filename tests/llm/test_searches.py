@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -55,6 +56,29 @@ def test_exact_top_k_is_brute_force(vectors, block_rows):
     assert got == want
 
 
+def test_huge_components_are_exact(vectors, spark):
+    rows = [(0, [1e300, 1.0, -3.0]), (100, [1e300, 1.0, 0.5]), (1, [-1e300, 2.0, 1.0]), (2, [3.0e7, -2.5, 1.25]), (3, [9.1e6, 0.0, 1e-3]), (4, [1.0, 1.0, 1.0]), (200, [2e8, 7.0, 0.001])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = rows_of(topk_exact.top_k(df, 100, 10))
+    ints = {i: [math.floor(Fraction(v) * 1024) for v in x] for i, x in rows}
+    for q in (0, 100, 200):
+        s = [(max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(ints[q], ints[i])))), i) for i in ints if i != q]
+        assert got[q] == [(i, v) for v, i in sorted(s, key=lambda t: (-t[0], t[1]))]
+
+
+def test_infinite_products_rank_first(spark):
+    rows = [(20, [1e200, 1.0]), (1, [1e200, 1.0]), (2, [-1e200, 1.0]), (3, [1.0, 1.0]), (4, [0.5, 1.0])]
+    got = rows_of(ann_mih.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert [i for i, _ in got[20]] == [1, 3, 4, 2] and got[20][0][1] == math.inf and got[20][-1][1] == -math.inf
+
+
+def grouped(n=6000, d=64, groups=60, seed=3):
+    """Unit vectors in groups, as learned embeddings lie."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(groups, d))[r.integers(0, groups, n)] + 0.25 * r.normal(size=(n, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def test_bounds_hold():
     r = np.random.default_rng(2)
     x, q = r.integers(-900, 900, (200, 30)), r.integers(-900, 900, 30)
@@ -62,13 +86,55 @@ def test_bounds_hold():
         assert (topk_exact.statistics(x.astype(float), s) @ topk_exact.statistics(q[None].astype(float), s)[0] >= x @ q - 1e-6).all()
 
 
+def test_levels_prune():
+    """Coarse to fine fewer rows are left, and nearly none of vectors in groups; no row above the threshold goes."""
+    x = grouped()
+    rows, asked = topk_exact.Block(x, 1024), topk_exact.Block(x[:40], 1024)
+    left = []
+    for i in range(40):
+        scores = np.sort(rows.x @ asked.x[i])[::-1]
+        found = list(topk_exact.survivors(rows, asked, i, scores[10], np.arange(len(x))))
+        assert set(np.flatnonzero(rows.x @ asked.x[i] >= scores[10])) <= set(found[-1])
+        left.append([len(a) for a in found])
+    left = np.mean(left, axis=0) / len(x)
+    assert (np.diff(left) <= 0).all() and left[-1] < 0.1
+
+
 def test_pigeonhole_finds_all_codes_within_the_radius():
     r = np.random.default_rng(4)
     codes = r.integers(0, 256, (400, 16), dtype=np.uint8)
     codes[:50] = codes[50] ^ (r.random((50, 16)) < 0.2).astype(np.uint8)
-    for radius in (0, 5, 15, 16, 40, 70):
-        near = ann_mih.distances(codes[:60], codes) <= radius
-        assert not (near & ~ann_mih.probe(codes[:60], codes, radius)).any()
+    index = ann_mih.Index(codes)
+    for radius in (0, 5, 15, 16, 40, 70, 128):
+        for q in range(60):
+            near = np.flatnonzero(np.bitwise_count(codes[q] ^ codes).sum(axis=1) <= radius)
+            rows, far = index.within(codes[q], radius)
+            assert set(near) <= set(rows) and (far == np.bitwise_count(codes[q] ^ codes[rows]).sum(axis=1)).all()
+            # Ring by ring the same rows are listed as at once.
+            listed = np.zeros(400, bool)
+            for a, b in ((-1, radius // 2), (radius // 2, radius)):
+                again, _ = index.within(codes[q], b, listed, a)
+            assert set(again) == set(rows)
+
+
+def test_buckets_list_few_rows_of_vectors_in_groups():
+    """What the index saves: distances are computed for listed rows alone, and these are few, at a recall of 0.9 or more. A wider radius lists more."""
+    x = grouped()
+    ids = np.arange(len(x))
+    model = ann_mih.Codes(x[::2], 256, 20, 0.97)
+    index = ann_mih.Index(model.encode(x))
+    codes = model.encode(x[:60])
+    share = lambda r: np.mean([len(index.within(c, r)[0]) / len(x) for c in codes])
+    assert share(model.radius) < 0.1 < share(110)
+    hits = []
+    for own, found, _ in ann_mih.search_block(model, ids, x, ids[:60], x[:60], 20, False):
+        s = x @ x[own]
+        s[own] = -9
+        hits.append(len(set(np.argsort(-s)[:20]) & set(found)) / 20)
+    assert np.mean(hits) >= 0.9
+    # Without probing nothing is found: what is ranked comes from the buckets alone.
+    index.starts[:] = 0
+    assert len(index.within(codes[0], model.radius)[0]) == 0
 
 
 def test_recall_scores_and_order(vectors):
