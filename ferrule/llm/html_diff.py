@@ -1,18 +1,24 @@
 """Main text of web pages by differencing each page against its neighbour by URL.
 
 Pages are range-partitioned and sorted by host and path, so a site of any size is spread over tasks and a page's nearest neighbours by URL lie
-next to it. Each page is cut into lines (the text of a block) and paired with the neighbour of its host whose path shares the longest
-beginning. Their lines are aligned by a longest common subsequence, and shared lines are deleted: what two pages of a site have in common is
-its template. A page at the edge of a partition has the one neighbour on the inner side.
-
-Differencing alone cannot give right results here, so two rules stand beside it. Lines inside an article that the page itself declares
-(article, main) are not deleted for being shared: exact copies and quoted passages would lose their text. Lines outside of it stay if the
-neighbour doesn't share them; a page without a neighbour keeps its declared article alone. And lines that no other page shares are deleted where the markup says that they are not the article: menus, headers, footers, sidebars, notices, adverts, forms, comments.
+next to it. Each page is cut into lines (the text of a block). Pages in a row with the same html are copies and count as one: they are no
+template of each other. Each is paired with the neighbour of its host whose path shares the longest beginning; if the two share four fifths of
+their lines they are near copies, and the other neighbour is taken. At an edge of a partition the neighbour lies in the next one: the pages at
+the edges meet in a second, small step, so results do not depend on the partitions.
+
+The lines of a page and its neighbour are aligned by a longest common subsequence, and shared lines are deleted: what two pages of a site have
+in common is its template. Markup decides where differencing alone can't:
+- A line that stands in the page's declared article (article, main) stays. Quoted passages and revised copies are shared as well, and
+  differencing alone would lose them.
+- A line that the neighbour doesn't share goes if it stands in an element that is no part of an article (menus, headers, footers, sidebars,
+  notices, adverts, forms, comments): these may differ from page to page.
+- A page without a neighbour keeps its declared article, or else all that isn't set apart by markup.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by two line feeds.
 
-Defined results: a null or empty html gives the empty text. A null url counts as a host of its own. Repeated rows stay repeated. Markup that is
-cut off at the end of the page is dropped. An empty table gives an empty result. Only page_id, url and html are read.
+Defined results: a null or empty html gives the empty text. A null url counts as a host of its own. Repeated rows and equal urls stay, each with
+its text. Of neighbours with equally long beginnings the one before counts. Markup that is cut off at the end of the page is dropped. A very long page
+is read whole, in its row; the alignment takes memory in proportion to its lines. An empty table gives an empty result. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -22,6 +28,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +58,24 @@ WORDS = set(
     "nav navigation navbar menu menus menubar breadcrumb breadcrumbs sidebar sidebars aside footer header masthead contentinfo complementary comment comments commentlist reply replies disqus "
     "respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager toolbar widget widgets skip copyright dialog alertdialog".split()
 )
-NEGATES = {"with", "has", "no", "not", "without", "non", "is"}
+#: Those that say so at the end of any name, as in "article-comments".
+ENDS = set("ad ads advert adverts advertisement banner cookies nav navigation navbar menu breadcrumb breadcrumbs sidebar footer masthead comments newsletter popup pagination toolbar".split())
+#: Words that may follow one of these, as in "footer-links" or "comment-list"; other words name what the text is about.
+FORMS = set("area bar block body bottom box button buttons col column container content group holder icon inner item items left link links list main outer panel placement post posts region right row section slot top unit wrap wrapper".split())
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def names_apart(name: str) -> bool:
+    """Whether a class, id or role is such a word, ends in one ("cookie-notice") or starts with one and goes on with words of form alone. "share-price-news" is none; nor is "has-sidebar"."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    if not words or words[0] in ("has", "no", "not", "with", "without", "non", "is"):
+        return False
+    while len(words) > 1 and words[-1] in FORMS:
+        words.pop()
+    return words[-1] in WORDS and all(w in WORDS or w in FORMS or len(w) < 5 or w in ("site", "page") for w in words[:-1]) or words[-1] in ENDS
+
+
 def set_apart(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element is no part of the article; inside: it stands in a declared article, whose own header is kept."""
     if tag in APART and not (inside and tag == "header"):
@@ -66,11 +87,8 @@ def set_apart(tag: str, attributes: str, inside: bool) -> bool:
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
         if name in ("class", "id", "role"):
-            for one in value.split():
-                words = [w.lower() for w in _WORD.findall(one)]
-                for i, w in enumerate(words):
-                    if w in WORDS and not (i and words[i - 1] in NEGATES) and not (inside and w == "header"):
-                        return True
+            if any(names_apart(one) and not (inside and one.lower().endswith("header")) for one in value.split()):
+                return True
     return False
 
 
@@ -137,16 +155,37 @@ def lines_of(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def common(a: list, b: list) -> set[int]:
-    """Positions in a of a longest common subsequence with b, by rows of bits."""
-    head = 0
-    while head < len(a) and head < len(b) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < len(a) - head and tail < len(b) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    found = {*range(head), *range(len(a) - tail, len(a))}
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+#: Bits that an alignment holds at once.
+BITS = 1 << 25
+
+
+def _lengths(x: list, y: list) -> list[int]:
+    """The length of the longest common subsequence of x with each beginning of y."""
+    at: dict = {}
+    for j, v in enumerate(y):
+        at[v] = at.get(v, 0) | 1 << j
+    ones = s = (1 << len(y)) - 1
+    for v in x:
+        u = s & at.get(v, 0)
+        s = ((s + u) | (s - u)) & ones
+    out, n = [0], 0
+    for c in reversed(f"{s:0{len(y)}b}" if y else ""):
+        n += c == "0"
+        out.append(n)
+    return out
+
+
+def _aligned(x: list, y: list, i0: int, j0: int, out: list[tuple[int, int]], bits: int) -> None:
+    if not x or not y:
+        return
+    if len(x) > 1 and len(x) * len(y) > bits:
+        # Halves, by where the two parts' lengths add up to the most (Hirschberg): memory in proportion to the lines.
+        mid = len(x) // 2
+        a, b = _lengths(x[:mid], y), _lengths(x[mid:][::-1], y[::-1])
+        j = max(range(len(y) + 1), key=lambda k: a[k] + b[len(y) - k])
+        _aligned(x[:mid], y[:j], i0, j0, out, bits)
+        _aligned(x[mid:], y[j:], i0 + mid, j0 + j, out, bits)
+        return
     at: dict = {}
     for j, v in enumerate(y):
         at[v] = at.get(v, 0) | 1 << j
@@ -154,20 +193,32 @@ def common(a: list, b: list) -> set[int]:
     ones = (1 << len(y)) - 1
     rows = [ones]
     for v in x:
-        s, mask = rows[-1], at.get(v, 0)
-        u = s & mask
+        s = rows[-1]
+        u = s & at.get(v, 0)
         rows.append(((s + u) | (s - u)) & ones)
     length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
     i, j = len(x), len(y)
     while i and j:
         if x[i - 1] == y[j - 1]:
             i, j = i - 1, j - 1
-            found.add(head + i)
+            out.append((i0 + i, j0 + j))
         elif length(i - 1, j) >= length(i, j - 1):
             i -= 1
         else:
             j -= 1
-    return found
+
+
+def common(a: list, b: list, bits: int = BITS) -> dict[int, int]:
+    """A longest common subsequence: positions in a, with their partners in b."""
+    head = 0
+    while head < len(a) and head < len(b) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < len(a) - head and tail < len(b) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    found = [(i, i) for i in range(head)] + [(len(a) - 1 - i, len(b) - 1 - i) for i in range(tail)]
+    _aligned(a[head : len(a) - tail], b[head : len(b) - tail], head, head, found, bits)
+    return dict(found)
 
 
 def shared_start(a: str, b: str) -> int:
@@ -179,60 +230,161 @@ def shared_start(a: str, b: str) -> int:
     return n
 
 
-def main_text(own: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> str:
-    """The lines that stay of a page, given the lines of its neighbour."""
-    declared = any(z == ARTICLE for _, z in own)
-    shared = common([x[0] for x in own], [x[0] for x in other]) if other else set()
-    keep = []
-    for i, (line, zone) in enumerate(own):
-        # Outside of a declared article the neighbour decides; without one there is nothing to tell text from template, and the article is all.
-        if zone == ARTICLE or zone == BODY and i not in shared and (other or not declared):
-            keep.append(line)
+def pairing(own: list[tuple[str, int]], other: list[tuple[str, int]]) -> dict[int, int] | None:
+    """The lines that two pages share; None if they share so many that one is a copy of the other."""
+    shared = common([x[0] for x in own], [x[0] for x in other])
+    return None if 5 * len(shared) >= 4 * max(len(own), len(other)) else shared
+
+
+def main_text(own: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -> str:
+    """The lines that stay of a page, given the lines of its neighbours, the nearest first."""
+    shared = next((found for lines in others if (found := pairing(own, lines)) is not None), None)
+    if shared is None:
+        declared = any(z == ARTICLE for _, z in own)
+        keep = [line for line, z in own if z == ARTICLE or z == BODY and not declared]
+    else:
+        keep = [line for i, (line, z) in enumerate(own) if z == ARTICLE or z == BODY and i not in shared]
     return "\n\n".join(keep)
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted pages in, texts out; three pages are held at a time."""
+class Run:
+    """Pages in a row with the same html: their ids and urls, and the host and path of the first."""
 
-    def pages():
-        for b in batches:
-            for page, url, source, host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                yield page, url, host, path, lines_of(source.as_py() or "")
+    def __init__(self, host, path, html, members=()):
+        self.host, self.path, self.html, self.members = host, path, html, list(members)
+        self._lines: list | None = None
 
-    rows: list[tuple] = []
+    def lines(self) -> list[tuple[str, int]]:
+        if self._lines is None:
+            self._lines = lines_of(self.html or "")
+        return self._lines
+
+    def texts(self, before: Run | None, after: Run | None) -> Iterator[tuple]:
+        near = [(-shared_start(self.path, o.path), k, o) for k, o in enumerate((before, after)) if o is not None and o.host == self.host]
+        text = main_text(self.lines(), [o.lines() for *_, o in sorted(near, key=lambda x: x[:2])])
+        for page, url in self.members:
+            yield page, url, text, len(text)
 
-    def done(before, own, after):
-        near = [(shared_start(own[3], o[3]), -k, o[4]) for k, o in enumerate((before, after)) if o is not None and o[2] == own[2]]
-        text = main_text(own[4], max(near, key=lambda x: x[:2])[2] if near else None)
-        rows.append((own[0], own[1], text, len(text)))
 
-    def batch():
-        cols = list(zip(*rows))
-        rows.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "text", "n_chars"])
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Run]:
+    """page_id, url, html, host, path, in order."""
+    run = None
+    for b in batches:
+        for page, url, source, host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist()):
+            html = source.as_py()
+            if run is None or run.host != host or run.html != html:
+                if run is not None:
+                    yield run
+                run = Run(host, path, html)
+            run.members.append((page, url))
+    if run is not None:
+        yield run
 
+
+OUT = "page_id long, url string, text string, n_chars long"
+_OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+
+
+def _out(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
+
+
+def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of all runs of a sorted partition but the first and the last; three runs are held at a time."""
+    rows: list[tuple] = []
     before = own = None
-    for after in pages():
-        if own is not None:
-            done(before, own, after)
+    for after in runs(batches):
+        if before is not None:
+            for row in own.texts(before, after):
+                rows.append(row)
+                if len(rows) >= 512:
+                    yield _out(rows)
+                    rows = []
         before, own = own, after
-        if len(rows) >= 512:
-            yield batch()
-    if own is not None:
-        done(before, own, None)
     if rows:
-        yield batch()
+        yield _out(rows)
+
+
+#: i: the number of the run among the partition's n; key: tells apart what it holds.
+EDGE = "part int, i int, n int, key long, host string, path string, html string, pages array<long>, urls array<string>"
+_EDGE = pa.schema([("part", pa.int32()), ("i", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("html", pa.string()), ("pages", pa.list_(pa.int64())), ("urls", pa.list_(pa.string()))])
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars."""
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first two and the last two runs of a sorted partition. Nothing is parsed here."""
+    part = TaskContext.get().partitionId()
+    ends: dict[int, Run] = {}
+    n = 0
+    for run in runs(batches):
+        if n > 3:
+            del ends[n - 2]
+        ends[n] = run
+        n += 1
+    for i, r in ends.items():
+        key = xxhash.xxh64_intdigest(f"{r.host}\n{r.html is None}\n{r.html}".encode()) - (1 << 63)
+        yield pa.RecordBatch.from_pylist([{"part": part, "i": i, "n": n, "key": key, "host": r.host, "path": r.path, "html": r.html, "pages": [x[0] for x in r.members], "urls": [x[1] for x in r.members]}], schema=_EDGE)
+
+
+MEET = "of_part int, of_i int, role int, part int, i int"
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Which runs meet: for the first and the last run of each partition (role 0) the runs with other html before (1) and after (2), wherever they lie. Up to four small rows for each partition."""
+    of: dict[int, list] = {}
+    for x in sorted(table.select(["part", "i", "n", "key"]).to_pylist(), key=lambda x: (x["part"], x["i"])):
+        of.setdefault(x["part"], []).append(x)
+    parts = list(of)
+    place = lambda x: (x["part"], x["i"])
+
+    def across(step: int) -> dict[int, tuple | None]:
+        """For each partition the nearest run beyond its edge that differs from the run at the edge."""
+        out: dict[int, tuple | None] = {}
+        last = None
+        for p in parts[::step]:
+            own, out[p] = of[p][0 if step > 0 else -1], None
+            if last is not None:
+                beyond = of[last][::-step]
+                # A run that goes on over the edge: what is behind it in its partition, or what that partition found beyond.
+                out[p] = place(beyond[0]) if beyond[0]["key"] != own["key"] else place(beyond[1]) if len(beyond) > 1 else out[last]
+            last = p
+        return out
+
+    before, after = across(1), across(-1)
+    rows = []
+    for p in parts:
+        first, last = of[p][0], of[p][-1]
+        asks = [(first, before[p], place(of[p][1]) if len(of[p]) > 1 else after[p])]
+        if len(of[p]) > 1:
+            asks.append((last, place(of[p][-2]), after[p]))
+        for own, a, b in asks:
+            rows += [(*place(own), role, *at) for role, at in enumerate((place(own), a, b)) if at is not None]
+    return pa.table([pa.array(c, pa.int32()) for c in zip(*rows)] if rows else [pa.array([], pa.int32())] * 5, names=[x.split()[0] for x in MEET.split(", ")])
+
+
+def _resolve(table: pa.Table) -> pa.Table:
+    """Texts of a run at an edge, given its two neighbours (at most)."""
+    at = {x["role"]: Run(x["host"], x["path"], x["html"], zip(x["pages"] or [], x["urls"] or [])) for x in table.to_pylist()}
+    return pa.Table.from_batches([_out(list(at[0].texts(at.get(1), at.get(2))))], _OUT)
+
+
+def extract(pages: DataFrame, partitions: int | None = None, mb: int = 32) -> DataFrame:
+    """page_id, url, text, n_chars. partitions: by default one for each `mb` megabytes of the planner's estimate, and at least as many as there are cores."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     parts = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)"
     keyed = pages.select(
         F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), F.lower(F.regexp_extract(url, parts, 1)).alias("host"), F.regexp_extract(url, parts, 2).alias("path")
     )
-    ordered = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return ordered.mapInArrow(_run, "page_id long, url string, text string, n_chars long")
+    if partitions is None:
+        estimate = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        partitions = int(min(1 << 20, max(pages.sparkSession.sparkContext.defaultParallelism, -(-estimate // (mb << 20)))))
+    # A number that is given is kept by adaptive execution, and equal exchanges are done once, so all branches see the same partitions.
+    if pages.sparkSession.conf.get("spark.sql.exchange.reuse") != "true":
+        raise RuntimeError("spark.sql.exchange.reuse is needed: edges and insides of partitions must come from one shuffle")
+    ordered = keyed.repartitionByRange(partitions, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    edges = ordered.mapInArrow(_edges, EDGE)
+    meet = edges.select("part", "i", "n", "key", F.lit(0).alias("one")).groupBy("one").applyInArrow(_meet, MEET)
+    met = meet.join(edges, ["part", "i"]).select("of_part", "of_i", "role", "host", "path", "html", *[F.when(F.col("role") == 0, F.col(c)).alias(c) for c in ("pages", "urls")])
+    return ordered.mapInArrow(_inner, OUT).union(met.groupBy("of_part", "of_i").applyInArrow(_resolve, OUT))
 
 
 def op9_nearest_url_text(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ def test_html_lines_and_zones():
     )
     lines = html_diff.lines_of(page)
     assert [x for x, z in lines if z == html_diff.ARTICLE] == ["Head & line", "one <b>", "two three", "x", "z", "four"]
-    assert html_diff.main_text(lines, None) == "Head & line\n\none <b>\n\ntwo three\n\nx\n\nz\n\nfour"
+    assert html_diff.main_text(lines, []) == "Head & line\n\none <b>\n\ntwo three\n\nx\n\nz\n\nfour"
     assert html_diff.lines_of("") == [] and html_diff.lines_of("a < b & c") == [("a < b & c", html_diff.BODY)]
     assert len(html_diff.lines_of("<div>" * 20_000 + "x")) == 1 and html_diff.lines_of("<p a='" * 3000) == []
 
@@ -32,31 +32,75 @@ def test_common_lines_are_a_longest_subsequence():
     r = random.Random(0)
     for _ in range(1000):
         a, b = ([r.randint(0, 4) for _ in range(r.randint(0, 12))] for _ in range(2))
-        c = sorted(html_diff.common(a, b))
-        assert len(c) == length(a, b)
-        it = iter(b)
-        assert all(any(a[i] == y for y in it) for i in c)
+        for bits in (html_diff.BITS, 8):
+            c = sorted(html_diff.common(a, b, bits).items())
+            assert len(c) == length(a, b)
+            assert all(a[i] == b[j] for i, j in c) and [j for _, j in c] == sorted({j for _, j in c})
+    many = [r.randint(0, 50) for _ in range(4000)]
+    assert len(html_diff.common(many, many[::-1], 1 << 16)) == len(html_diff.common(many, many[::-1]))
+
+
+def site(t):
+    return f"<body><div>Top bar</div><p>{t}</p><p>More of {t}</p><p>Call us</p></body>"
 
 
 def test_pages_lose_what_neighbours_share(spark):
-    site = lambda t: f"<body><div>Top bar</div><p>{t}</p><p>Call us</p></body>"
     rows = [(1, "http://h.org/a/1", site("first text")), (2, "http://h.org/a/2", site("second text")), (3, "http://other.org/a/1", site("third")), (4, None, None), (5, "", ""), (6, "http://h.org/b", "<article>Call us</article>")]
-    pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, host int").coalesce(1)
-    got = {x.page_id: x for x in html_diff.extract(pages).collect()}
-    # One page of a host alone has no neighbour; edges of partitions may part neighbours, so few rows are sorted into one here.
-    batch = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
-    got = {x.page_id: x for x in html_diff.extract(pages).collect()}
-    spark.conf.set("spark.sql.shuffle.partitions", batch)
-    assert got[1].text == "first text" and got[2].text == "second text" and got[3].text == "Top bar\n\nthird\n\nCall us"
-    assert got[4].text == got[5].text == "" and got[6].text == "Call us" and got[6].n_chars == 7 and got[4].url is None
+    pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, host int")
+    for partitions in (1, 3, 6, None):
+        got = {x.page_id: x for x in html_diff.extract(pages, partitions).collect()}
+        assert got[1].text == "first text\n\nMore of first text" and got[2].text == "second text\n\nMore of second text" and got[3].text == "Top bar\n\nthird\n\nMore of third\n\nCall us"
+        assert got[4].text == got[5].text == "" and got[4].url is None
+        assert got[6].text == "Call us"
     assert html_diff.extract(pages.where("false")).count() == 0
 
 
+def test_differencing_decides_whatever_the_partitions(spark):
+    """Without an article in the markup all that goes goes because a neighbour shares it; alone, each page keeps its template."""
+    rows = [(i, f"http://h{i % 3}.org/a/{i // 3:03d}", site(f"text {i}")) for i in range(90)]
+    rows += [(100 + i, rows[10][1], rows[10][2]) for i in range(4)] + [(200 + i, f"http://h1.org/a/003-{i}", rows[10][2]) for i in range(5)]
+    rows += [(300 + i, f"http://h1.org/z/{i}", rows[10][2]) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: "\n\n".join(h.split("<p>")[k].split("</p>")[0] for k in (1, 2)) for i, _, h in rows}
+    for partitions in (1, 7, 40):
+        got = html_diff.extract(pages, partitions).collect()
+        assert len(got) == len(rows) and {x.page_id: x.text for x in got} == want
+    # One shuffle feeds all branches: range partitions are drawn from a sample, so two would differ.
+    out = html_diff.extract(pages, 7)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert final.count("rangepartitioning") - final.count("ReusedExchange") == 1 and final.count("ReusedExchange") >= 2
+    alone = html_diff.main_text(html_diff.lines_of(rows[0][2]), [])
+    assert alone == "Top bar\n\ntext 0\n\nMore of text 0\n\nCall us"
+
+
+def test_copies_are_no_template(spark):
+    rows = [(1, "http://h.org/a", site("one")), (2, "http://h.org/a", site("one")), (3, "http://h.org/b", site("one"))]
+    # A near copy: one line of many differs.
+    long = lambda t: "<body>" + "".join(f"<p>Line {i} of a long text</p>" for i in range(20)) + f"<p>{t}</p></body>"
+    rows += [(4, "http://near.org/1", long("x")), (5, "http://near.org/2", long("y"))]
+    got = {x.page_id: x.text for x in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), 2).collect()}
+    assert got[1] == got[2] == got[3] == "Top bar\n\none\n\nMore of one\n\nCall us"
+    assert got[4].count("Line") == got[5].count("Line") == 20
+
+
+def test_names_of_elements():
+    for name in ("ad", "ads", "ad-slot", "cookie-notice", "site-header", "footer-links", "commentList", "sidebar-left", "article-comments", "menu-item", "main-nav", "newsletter-signup"):
+        assert html_diff.names_apart(name), name
+    for name in ("has-sidebar", "share-price-news", "login-guide", "search-for-meaning", "content", "post-body", "adventure", "comment-on-policy-text", ""):
+        assert not html_diff.names_apart(name), name
+
+
 def test_a_teaser_does_not_replace_the_main_text():
     page = lambda t: html_diff.lines_of(f"<body><div>Top bar</div><article>Teaser {t}</article><div>Main text {t}</div><nav>Menu {t}</nav></body>")
-    assert html_diff.main_text(page("one"), page("two")) == "Teaser one\n\nMain text one"
-    assert html_diff.main_text(page("one"), None) == html_diff.main_text(page("one"), []) == "Teaser one"
+    assert html_diff.main_text(page("one"), [page("two")]) == "Teaser one\n\nMain text one"
+    assert html_diff.main_text(page("one"), []) == "Teaser one"
+
+
+def test_quoted_passages_stay():
+    page = lambda t: html_diff.lines_of(f"<body><nav>{t}</nav><article><p>{t}</p><p>A quoted passage.</p><p>{t} {t}</p></article><footer>Foot</footer></body>")
+    assert html_diff.main_text(page("one"), [page("two")]) == "one\n\nA quoted passage.\n\none one"
 
 
 WORDS = {"en": "the and of tree house water", "de": "der und das baum haus wasser über", "fr": "le et des arbre maison eau été"}
