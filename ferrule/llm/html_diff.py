@@ -367,7 +367,7 @@ def _resolve(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_out(list(at[0].texts(at.get(1), at.get(2))))], _OUT)
 
 
-def extract(pages: DataFrame, partitions: int | None = None, mb: int = 32) -> DataFrame:
+def extract(pages: DataFrame, partitions: int | None = None, mb: int = 4) -> DataFrame:
     """page_id, url, text, n_chars. partitions: by default one for each `mb` megabytes of the planner's estimate, and at least as many as there are cores."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     parts = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)"

@@ -3,8 +3,11 @@
 An ARC file starts with a version block that names the version (1 or 2) and its header fields; each record is a header line of those fields,
 the last of them the declared length, then so many bytes. The converter reads both versions by the fields that the block declares and makes of
 each record the WARC record that says the same: an identifier derived from what identifies the record, the 14-digit date as an ISO time, the
-type by what the content is, and digests of block and payload. A record whose payload is known elsewhere becomes a revisit: its HTTP header
-stays, its payload does not.
+type by what the content is, and digests of block and payload. The version block becomes a warcinfo record, to which the others refer. A record
+whose payload is known elsewhere becomes a revisit: its HTTP header stays, its payload does not. An HTTP header ends at the first empty line,
+whether lines end in CR LF or, as old servers had it, in LF.
+
+A very long payload is held whole by the task that has its row, one at a time. A date that isn't one becomes the epoch.
 
 Archives are written by tasks under names that depend on the partition alone: a task that runs again replaces its own file.
 """
@@ -20,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from datetime import datetime
 
 import pyarrow as pa
 from pyarrow import fs
@@ -49,7 +53,7 @@ class ArcRecord:
 
 def arc_line(version: int, fields: dict[str, str]) -> bytes:
     """Blanks inside a value would end it, so they are escaped; a missing value is '-'."""
-    return " ".join(re.sub(r"\s", lambda m: f"%{ord(m[0]):02X}", fields.get(f) or "-") for f in ARC_FIELDS[version]).encode() + b"\n"
+    return " ".join(re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), fields.get(f) or "-") for f in ARC_FIELDS[version]).encode() + b"\n"
 
 
 def write_arc(records: Iterable[tuple[dict[str, str], bytes]], name: str, version: int = 2, date: str = SOURCE_DATE) -> bytes:
@@ -65,8 +69,8 @@ def write_arc(records: Iterable[tuple[dict[str, str], bytes]], name: str, versio
     return out.getvalue()
 
 
-def read_arc(source) -> Iterator[ArcRecord]:
-    """The records after the version block of a stream (or bytes), one at a time. Raises ValueError on a header line or a length that doesn't hold."""
+def read_arc(source, about: bool = False) -> Iterator[ArcRecord]:
+    """The records after the version block (about: and that block before them) of a stream (or bytes), one at a time. Raises ValueError on a header line or a length that doesn't hold."""
     stream = io.BytesIO(source) if isinstance(source, (bytes, bytearray)) else source
     version, names, at = 0, (), 0
     while line := stream.readline():
@@ -94,6 +98,9 @@ def read_arc(source) -> Iterator[ArcRecord]:
             version, names = int(lines[0].split(" ")[0]), tuple(lines[1].split(" "))
             if version not in ARC_FIELDS or len(names) != len(ARC_FIELDS[version]):
                 raise ValueError(f"unknown version {lines[0]!r}")
+            if about:
+                # Its own line has the fields of the first version, whatever it declares.
+                yield ArcRecord(version, {"URL": parts[0], "Archive-date": parts[2] if len(parts) > 2 else ""}, content, start)
         else:
             yield ArcRecord(version, {k: "" if v == "-" else v for k, v in zip(names, parts)}, content, start)
 
@@ -103,11 +110,14 @@ def sha1_base32(data: bytes) -> str:
 
 
 def iso_date(date: str) -> str:
-    """YYYYMMDD or YYYYMMDDhhmmss; what is missing is zero, and nonsense the epoch."""
+    """YYYYMMDD or YYYYMMDDhhmmss; what is missing is zero, and what is no date or time the epoch."""
     d = date.ljust(14, "0")
-    if not re.fullmatch(r"\d{14}", d) or not 1 <= int(d[4:6]) <= 12 or not 1 <= int(d[6:8]) <= 31:
+    try:
+        if not re.fullmatch("[0-9]{14}", d):
+            raise ValueError
+        return datetime.strptime(d, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ").rjust(20, "0")
+    except ValueError:
         return "1970-01-01T00:00:00Z"
-    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
 def store_of(uri: str) -> tuple[fs.FileSystem, str]:
@@ -119,11 +129,25 @@ def record_id(key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(IDS, key)}>"
 
 
+#: The empty line after an HTTP header.
+_HEADER_END = re.compile(rb"\r?\n\r?\n")
+
+
+def warcinfo(rec: ArcRecord, name: str) -> tuple[dict[str, str], bytes]:
+    """(headers, block) of what a version block says."""
+    first = rec.content.decode("utf-8", "replace").splitlines()[0]
+    block = f"software: ferrule\r\nformat: WARC File Format 1.1\r\nisPartOf: {rec.fields['URL']}\r\ndescription: converted from an archive of version {first}\r\n".encode()
+    h = {"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(f"warcinfo {name}"), "WARC-Date": iso_date(rec.fields["Archive-date"]), "WARC-Filename": name, "Content-Type": "application/warc-fields"}
+    return h | {"WARC-Block-Digest": sha1_base32(block), "Content-Length": str(len(block))}, block
+
+
 def to_warc(rec: ArcRecord, key: str | None = None, refers: str | None = None, more: dict[str, str] | None = None) -> tuple[dict[str, str], bytes]:
     """(headers, block) of the same record in WARC. key identifies the record (else what it says does); refers: the key of the one it repeats."""
     f, block = rec.fields, rec.content
     http = block.startswith(b"HTTP/")
-    head, sep, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+    end = _HEADER_END.search(block) if http else None
+    cut = end.end() if end else len(block) if http else 0
+    payload = block[cut:]
     digest = sha1_base32(payload)
     key = key or f"{f['URL']} {f['Archive-date']} {digest} {rec.offset}"
     h = {"WARC-Type": "response" if http else "resource", "WARC-Record-ID": record_id(key), "WARC-Date": iso_date(f["Archive-date"]), "WARC-Target-URI": f["URL"]}
@@ -133,7 +157,7 @@ def to_warc(rec: ArcRecord, key: str | None = None, refers: str | None = None, m
     h["WARC-Payload-Digest"] = digest
     if refers is not None:
         h |= {"WARC-Type": "revisit", "WARC-Profile": IDENTICAL, "WARC-Refers-To": record_id(refers)}
-        block = head + sep
+        block = block[:cut]
     h["WARC-Block-Digest"] = sha1_base32(block)
     return h | (more or {}) | {"Content-Length": str(len(block))}, block
 
@@ -188,8 +212,13 @@ def convert_archives(archives: DataFrame, root: str) -> DataFrame:
                 with store.open_input_stream(at, compression=None) as raw, target.open_output_stream(temporary, compression=None) as out:
                     stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw)
                     try:
-                        for rec in read_arc(stream):
-                            out.write(member(*to_warc(rec, f"{path} {rec.offset}")))
+                        info = None
+                        for rec in read_arc(stream, about=True):
+                            if info is None:
+                                info = warcinfo(rec, name)
+                                out.write(member(*info))
+                                continue
+                            out.write(member(*to_warc(rec, f"{path} {rec.offset}", more={"WARC-Warcinfo-ID": info[0]["WARC-Record-ID"]})))
                             n += 1
                     except (ValueError, EOFError, zlib.error, gzip.BadGzipFile) as e:
                         problem = str(e)
@@ -218,8 +247,11 @@ def _write_task(root: str, version: int):
         def convert():
             nonlocal done, size
             arc = write_arc(held, f"part-{part:06d}-{done}.arc", version)
-            for rec, (page, top) in zip(read_arc(arc), links):
-                more = {"Ferrule-Page": page} | ({"Ferrule-Refers-To-Page": top} if top is not None else {})
+            records = read_arc(arc, about=True)
+            info = warcinfo(next(records), f"part-{part:06d}-{done}")
+            out.write(member(*info))
+            for rec, (page, top) in zip(records, links):
+                more = {"WARC-Warcinfo-ID": info[0]["WARC-Record-ID"], "Ferrule-Page": page} | ({"Ferrule-Refers-To-Page": top} if top is not None else {})
                 data = member(*to_warc(rec, f"page {page}", None if top is None else f"page {top}", more))
                 out.write(data)
                 size += len(data)
@@ -272,6 +304,8 @@ def read_archives(paths: DataFrame) -> DataFrame:
                 store, at = store_of(path)
                 with store.open_input_stream(at, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
                     for h, block in read_warc(stream):
+                        if h["WARC-Type"] == "warcinfo":
+                            continue
                         head, _, payload = block.partition(b"\r\n\r\n")
                         declared = h["WARC-Payload-Digest"]
                         n = int(re.search(rb"(?i)\r\nContent-Length: *(\d+)", head)[1])

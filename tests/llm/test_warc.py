@@ -39,6 +39,25 @@ def test_malformed_archives_are_refused():
     assert warc.iso_date("2010") == "1970-01-01T00:00:00Z" and warc.iso_date("20100101") == "2010-01-01T00:00:00Z"
 
 
+def test_headers_with_bare_line_feeds():
+    for end in (b"\n\n", b"\r\n\r\n", b"\n\r\n"):
+        content = b"HTTP/1.0 200 OK\nServer: old" + end + b"<p>a</p>\r\n\r\n\n\nb"
+        rec = next(warc.read_arc(warc.write_arc([(fields(), content)], "t.arc", 1)))
+        h, block = warc.to_warc(rec)
+        assert h["WARC-Payload-Digest"] == warc.sha1_base32(b"<p>a</p>\r\n\r\n\n\nb") and block == content
+        assert warc.to_warc(rec, refers="x")[1] == b"HTTP/1.0 200 OK\nServer: old" + end
+    alone = next(warc.read_arc(warc.write_arc([(fields(), b"HTTP/1.0 204 None\nServer: old")], "t.arc", 1)))
+    assert warc.to_warc(alone)[0]["WARC-Payload-Digest"] == warc.sha1_base32(b"")
+
+
+def test_dates_and_blanks():
+    assert warc.iso_date("20240229235959") == "2024-02-29T23:59:59Z" and warc.iso_date("09991231") == "0999-12-31T00:00:00Z"
+    for bad in ("20240231996199", "20230229", "20240101240000", "2024010112", "x", "", "２０２４０１０１000000"):
+        assert warc.iso_date(bad) == ("2024-01-01T12:00:00Z" if bad == "2024010112" else "1970-01-01T00:00:00Z"), bad
+    got = next(warc.read_arc(warc.write_arc([(fields("http://a/\u2028b\u00a0c d"), b"")], "t.arc", 2)))
+    assert got.fields["URL"] == "http://a/%E2%80%A8b%C2%A0c%20d"
+
+
 def test_archives_in_a_folder(spark, tmp_path):
     import gzip
 
@@ -52,8 +71,9 @@ def test_archives_in_a_folder(spark, tmp_path):
     assert [done[n].records for n in ("a.arc", "b.arc.gz", "cut.arc")] == [3, 3, 2] and done["a.arc"].problem is None and "cut off" in done["cut.arc"].problem
     with gzip.open(done["b.arc.gz"].path.removeprefix("file://")) as f:
         got = list(warc.read_warc(f))
-    assert [b for _, b in got] == contents and [h["WARC-Type"] for h, _ in got] == ["response", "resource", "resource"]
-    assert len({h["WARC-Record-ID"] for h, _ in got}) == 3
+    assert [b for _, b in got[1:]] == contents and [h["WARC-Type"] for h, _ in got] == ["warcinfo", "response", "resource", "resource"]
+    assert len({h["WARC-Record-ID"] for h, _ in got}) == 4 and {h["WARC-Warcinfo-ID"] for h, _ in got[1:]} == {got[0][0]["WARC-Record-ID"]}
+    assert got[0][0]["WARC-Filename"] == done["b.arc.gz"].path.rsplit("/", 1)[-1] and b"filedesc://t" in got[0][1] and got[0][0]["WARC-Date"] == "2024-01-01T00:00:00Z"
 
 
 def test_pages_round_trip(spark, tmp_path):
