@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEVERITIES = ("low", "medium", "high", "critical")
 CONFIDENCES = ("low", "medium", "high")
 #: Layers that weakness numbers stand for.
 CWE_LAYERS = {"798": "credentials", "259": "credentials", "321": "credentials", "312": "credentials", "522": "credentials", "256": "credentials", "359": "pii", "200": "pii"}
+#: What levels and precisions of reports stand for, card numbers that payment networks give out for tests, and how weakness numbers are written.
 LEVELS = {"error": "high", "warning": "medium", "note": "low", "none": "low"}
 PRECISIONS = {"very-high": "high", "high": "high", "medium": "medium", "low": "low"}
 TEST_CARDS = ("4111111111111111", "4242424242424242", "5555555555554444", "5105105105105100", "378282246310005", "371449635398431", "6011111111111117", "4012888888881881")
@@ -123,7 +124,7 @@ def luhn(digits: Column) -> Column:
 
 
 def shannon(text: Column) -> Column:
-    """Bits per character; 0 for texts of at most one character."""
+    """Bits per character; 0 for texts of at most one character. For short texts, as names and literals are; see text_entropy for long ones."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     n = F.char_length(text)
     # What a character's removal takes away is how often it stands there.
@@ -133,6 +134,18 @@ def shannon(text: Column) -> Column:
     return F.when(n <= 1, F.lit(0.0)).otherwise(F.log2(n.cast("double")) - mass / n)
 
 
+def text_entropy(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, bits: the same for texts of any length, a row for each key (null for a null text). Characters are sorted by value once, and counted where they change, inside the row."""
+    codes = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    n = F.size("_c")
+    # Places where a run of equal characters ends; the runs' lengths are the distances of these.
+    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get("_c", i) != F.get("_c", i - 1)))
+    k = lambda x, i: (x - F.when(i == 0, F.lit(0)).otherwise(F.get("_e", i - 1))).cast("double")
+    mass = F.aggregate(F.transform("_e", lambda x, i: k(x, i) * F.log2(k(x, i))), F.lit(0.0), lambda acc, x: acc + x)
+    rows = texts.select(F.col(key), codes.alias("_c")).withColumn("_e", F.when(n > 0, ends).otherwise(F.array().cast("array<int>")))
+    return rows.select(key, F.when(F.col("_c").isNull(), F.lit(None)).when(n <= 1, F.lit(0.0)).otherwise(F.log2(n.cast("double")) - mass / n).alias("bits"))
+
+
 def file_hash(content: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(content, 256))
 

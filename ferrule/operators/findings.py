@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions.scalars import confidence_of, cwe_layers, line_drift, parse_cwe_array, semgrep_severity, severity_of, sink_id
+from ferrule.operators.ordering import positions
 from ferrule.operators.paths import resolve
-from ferrule.plans.state import kept
 
 KEY = ("rule_id", "source_file", "source_line", "sink_file", "sink_line")
 ORDER = ("sink_file", "sink_line", "source_file", "source_line", "rule_id")
@@ -120,12 +120,7 @@ def merge_guards(rows: DataFrame, key, order: Column) -> DataFrame:
 
 
 def numbered(findings: DataFrame, order=ORDER) -> DataFrame:
-    """findings with id path-0000 and on, in one global order. Positions come from the counts of sorted partitions, so no task holds all rows."""
-    s = findings.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    s = kept(s.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy("_at"))), "numbered")
-    sizes = s.groupBy("_part").agg(F.count("*").alias("n"))
-    # One row per partition.
-    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("before"))
-    i = (F.col("before") + F.col("_nth") - 1).cast("string")
+    """findings with id path-0000 and on, in one global order."""
+    i = F.col("_number").cast("string")
     wide = F.when(F.char_length(i) < 4, F.lpad(i, 4, "0")).otherwise(i)
-    return s.join(before, "_part").withColumn("id", F.concat(F.lit("path-"), wide)).drop("_part", "_at", "_nth", "before")
+    return positions(findings, order, "_number", 0).withColumn("id", F.concat(F.lit("path-"), wide)).drop("_number")

@@ -12,12 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 def kept(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder (spark.checkpoint.dir) and read again, so that plans don't grow and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ferrule_path = path
+    return out
 
 
-def _folder(spark: SparkSession) -> str:
+def kept_paths(tables: list[DataFrame]) -> DataFrame:
+    """Tables of kept() with one schema as one table: a single scan, however many there are."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[x._ferrule_path for x in tables])
+
+
+def exists(table: DataFrame) -> bool:
+    """Whether a table of kept() is still there."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._ferrule_path)
+    return path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).exists(path)
+
+
+def folder(spark: SparkSession) -> str:
+    """What this application writes lies here."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         # Only a local session's tasks see a folder of this machine.
@@ -30,5 +44,5 @@ def _folder(spark: SparkSession) -> str:
 
 def clean(spark: SparkSession) -> None:
     """Removes the tables that this application wrote between its rounds; results that read them are gone then."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

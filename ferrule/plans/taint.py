@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,11 +24,10 @@ from ferrule.functions.labels import ident_confidence, ident_layers, secret
 from ferrule.functions.scalars import CONFIDENCES, collapse, confidence_rank, name_of
 from ferrule.operators.callgraph import Index, bindings, classify
 from ferrule.operators.lowering import facts
-from ferrule.plans.state import kept
+from ferrule.plans.state import kept, kept_paths
 from ferrule.sources.rules import Rules
 
 LONGEST_WAY = 8
-ROUNDS = 200
 PORTS = "fn string, port string, call int, slot int, kind string, label int"
 
 
@@ -130,27 +130,46 @@ def close(fn: str, graph: dict, decided: list[dict], gens: list[dict]) -> list[t
     return out
 
 
-def guard_mask(guards: Column, terms: list[str]) -> Column:
-    """Guards as bits; unions and intersections are then operations on numbers."""
-    out = F.lit(0).cast("long")
-    for i, t in enumerate(terms):
-        out = out.bitwiseOR(F.when(F.array_contains(guards, t), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
+class Masks:
+    """Sets of guard terms as bits, in as many longs as the terms need; unions and intersections are then operations on numbers."""
+
+    BITS = 62
+
+    def __init__(self, terms: list[str]):
+        self.words = [terms[i : i + self.BITS] for i in range(0, len(terms), self.BITS)] or [[]]
+
+    def _struct(self, of) -> Column:
+        return F.struct(*[of(i).cast("long").alias(f"w{i}") for i in range(len(self.words))])
+
+    def none(self) -> Column:
+        return self._struct(lambda i: F.lit(0))
+
+    def of(self, guards: Column) -> Column:
+        def word(i: int) -> Column:
+            out = F.lit(0).cast("long")
+            for k, t in enumerate(self.words[i]):
+                out = out.bitwiseOR(F.when(F.array_contains(guards, t), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
+            return out
 
+        return self._struct(word)
 
-def guard_names(mask: Column, terms: list[str]) -> Column:
-    if not terms:
-        return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(mask.bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(t)) for i, t in enumerate(terms)]))
+    def both(self, a: str, b: str) -> Column:
+        return self._struct(lambda i: F.col(a)[f"w{i}"].bitwiseOR(F.col(b)[f"w{i}"]))
+
+    def common(self, mask: str) -> Column:
+        """An aggregate: what all rows have."""
+        return self._struct(lambda i: F.bit_and(F.col(mask)[f"w{i}"]))
+
+    def names(self, mask: str) -> Column:
+        found = [F.when(F.col(mask)[f"w{i}"].bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.lit(t)) for i, w in enumerate(self.words) for k, t in enumerate(w)]
+        return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
 class Analysis:
     """findings, tainted (call sites), classified, summaries of a project; seeds and bindings can be left out for the analysis of single functions."""
 
     def __init__(self, lowered: DataFrame, rules: Rules, across: bool = True, oracle: DataFrame | None = None):
-        self.terms = rules.guard_terms()
-        if len(self.terms) > 62:
-            raise ValueError("more than 62 guard terms")
+        self.masks = Masks(rules.guard_terms())
         self.lowered, self.rules, self.across = lowered, rules, across
         self.index = Index(lowered)
         self.classified = classify(lowered, rules, self.index, oracle)
@@ -182,20 +201,34 @@ class Analysis:
         r0, rc = rets.where("kind <> 'C'").select("fn", "kind", "of", "label"), rets.where("kind = 'C'").select("fn", F.col("label").alias("call"))
         a0, ac = args.where("kind <> 'C'").select("fn", "call", "target", "param", "kind", "of", "label"), args.where("kind = 'C'").select("fn", F.col("call").alias("at"), "target", "param", F.col("label").alias("call"))
         calls = self.bound.select("fn", "call", "target")
-        v = kept(self.bound.sparkSession.createDataFrame([], "fn string, call int, kind string, of string, label int"), "values")
-        n = 0
-        for _ in range(ROUNDS):
-            r = r0.union(rc.join(v, ["fn", "call"]).select("fn", "kind", "of", "label")).distinct()
-            a = a0.union(ac.join(v, ["fn", "call"]).select("fn", F.col("at").alias("call"), "target", "param", "kind", "of", "label")).distinct()
-            out = calls.join(r.where("kind = 'O'").withColumnRenamed("fn", "target"), "target").select("fn", "call", "kind", "of", "label")
-            through = r.where("kind = 'P'").select(F.col("fn").alias("target"), F.col("label").alias("param"))
-            v = kept(out.union(a.join(through, ["target", "param"]).select("fn", "call", "kind", "of", "label")).distinct(), "values")
-            n, before = v.count(), n
-            if n == before:
+        # What calls hold follows from what their targets return, of their own or of parameters that arguments fill. In a round only what is new
+        # is joined: new returns with all arguments, new arguments with the returns known before. Rounds end when nothing is new.
+        key_r, key_a, key_v = ["fn", "kind", "of", "label"], ["fn", "call", "target", "param", "kind", "of", "label"], ["fn", "call", "kind", "of", "label"]
+
+        def unseen(df: DataFrame, tables: list[DataFrame], key: list[str]) -> DataFrame:
+            if not tables:
+                return df
+            old = kept_paths(tables).select(*[F.col(k).alias(f"old_{k}") for k in key])
+            same = [F.col(k).eqNullSafe(F.col(f"old_{k}")) for k in key]
+            return df.join(old, reduce(lambda x, y: x & y, same), "left_anti")
+
+        new_r, new_a = kept(r0.distinct(), "returns"), kept(a0.distinct(), "args")
+        all_r, all_a, all_v = [new_r], [new_a], []
+        through = lambda df: df.where("kind = 'P'").select(F.col("fn").alias("target"), F.col("label").alias("param"))
+        while True:
+            out = calls.join(new_r.where("kind = 'O'").withColumnRenamed("fn", "target"), "target").select(*key_v)
+            out = out.union(kept_paths(all_a).join(through(new_r), ["target", "param"]).select(*key_v))
+            if len(all_r) > 1:
+                out = out.union(new_a.join(through(kept_paths(all_r[:-1])), ["target", "param"]).select(*key_v))
+            new_v = kept(unseen(out.distinct(), all_v, key_v), "values")
+            all_v.append(new_v)
+            if new_v.isEmpty():
                 break
-        else:
-            raise RuntimeError("returns have no fixpoint")
-        self.values, self.args, self.returns = v, kept(a, "args"), kept(r, "returns")
+            new_r = kept(unseen(rc.join(new_v, ["fn", "call"]).select(*key_r).distinct(), all_r, key_r), "returns")
+            new_a = kept(unseen(ac.join(new_v, ["fn", "call"]).select("fn", F.col("at").alias("call"), "target", "param", "kind", "of", "label").distinct(), all_a, key_a), "args")
+            all_r.append(new_r)
+            all_a.append(new_a)
+        self.values, self.args, self.returns = kept_paths(all_v), kept_paths(all_a), kept_paths(all_r)
 
     def _opened(self, port: str) -> DataFrame:
         """Places of a kind, with results of calls replaced by what they hold."""
@@ -206,8 +239,8 @@ class Analysis:
 
     def _guarded(self, calls: DataFrame) -> DataFrame:
         """calls with sid: the guards that hold there, as a mask."""
-        g = self.functions.select("fn", F.explode("guards").alias("sid", "g")).select("fn", F.col("sid").cast("int").alias("sid"), guard_mask(F.col("g"), self.terms).alias("mask"))
-        return calls.join(g, ["fn", "sid"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+        g = self.functions.select("fn", F.explode("guards").alias("sid", "g")).select("fn", F.col("sid").cast("int").alias("sid"), self.masks.of(F.col("g")).alias("mask"))
+        return calls.join(g, ["fn", "sid"], "left").withColumn("mask", F.coalesce("mask", self.masks.none()))
 
     def _sinks(self) -> None:
         rules = self.rules.sinks
@@ -227,23 +260,24 @@ class Analysis:
             j = by.join(s.select(F.col("fn").alias("target"), F.col("param").alias("to"), "sink", "mask", "conf", "via"), ["target", "to"])
             via = F.when(F.array_contains("via", F.col("callee")) | (F.size("via") >= LONGEST_WAY), F.col("via")).otherwise(F.array_prepend("via", F.col("callee")))
             conf = F.when(F.col("provenance") == "oracle", F.least("conf", F.lit(2))).otherwise(F.col("conf"))
-            return j.select("fn", "kind", "of", "label", "sink", F.col("mask").bitwiseOR(F.col("call_mask")).alias("mask"), conf.alias("conf"), via.alias("via"))
+            return j.select("fn", "kind", "of", "label", "sink", self.masks.both("mask", "call_mask").alias("mask"), conf.alias("conf"), via.alias("via"))
 
         def merged(df: DataFrame, *key: str) -> DataFrame:
-            return df.groupBy(*key).agg(F.expr("bit_and(mask)").alias("mask"), F.min("conf").alias("conf"), F.min(F.struct(F.size("via").alias("n"), "via"))["via"].alias("via"))
-
-        s = kept(merged(base, "fn", "param", "sink"), "lifts")
-        seen = None
-        params = passed.where("kind = 'P'")
-        for _ in range(ROUNDS):
-            more = lifted(s, params).select("fn", F.col("label").alias("param"), "sink", "mask", "conf", "via")
-            s = kept(merged(base.select("fn", "param", "sink", "mask", "conf", "via").union(more), "fn", "param", "sink"), "lifts")
-            now = s.agg(F.count("*"), F.expr("bit_xor(xxhash64(fn, param, sink, mask, conf, via))")).first()
-            if now == seen:
-                break
-            seen = now
-        else:
-            raise RuntimeError("sinks have no fixpoint")
+            return df.groupBy(*key).agg(self.masks.common("mask").alias("mask"), F.min("conf").alias("conf"), F.min(F.struct(F.size("via").alias("n"), "via"))["via"].alias("via"))
+
+        # Only facts that are new or changed in a round are lifted in the next. Merging is monotone: guards become fewer, ways and confidences
+        # smaller, so old and lifted facts merge to what all of them together would.
+        key = ["fn", "param", "sink"]
+        s = kept(merged(base, *key), "lifts")
+        params, fresh = passed.where("kind = 'P'"), s
+        while not fresh.isEmpty():
+            more = merged(lifted(fresh, params).select("fn", F.col("label").alias("param"), "sink", "mask", "conf", "via"), *key)
+            old = s.select(*key, F.struct("mask", "conf", "via").alias("was"))
+            every = old.select(*key, "was.*").unionByName(more)
+            # What was there and has stayed the same is not fresh.
+            now = merged(every, *key).join(old, key, "left").withColumn("fresh", ~F.struct("mask", "conf", "via").eqNullSafe(F.col("was")))
+            both = kept(now.drop("was"), "lifts")
+            s, fresh = both.drop("fresh"), both.where("fresh").drop("fresh")
         self.sink_params = s
         direct = met.where("kind = 'O'").select("fn", "of", "label", "sink", "mask", "conf", no_way.alias("via"))
         far = lifted(s, passed.where("kind = 'O'")).select("fn", "of", "label", "sink", "mask", "conf", "via")
@@ -259,8 +293,8 @@ class Analysis:
         rest = F.struct(F.size("trace").alias("n"), "trace", "sink_function", "cwe", "severity", "layers", "rank")
         flat = e.select("source_file", "function", "source_id", "source_line", "sink.sink_id", F.col("sink.line").alias("sink_line"), F.col("sink.file").alias("sink_file"), "sink.sink_function", "sink.cwe", "sink.severity",
                         F.array_sort(F.array_union("source_layers", "sink.layers")).alias("layers"), rank.alias("rank"), trace.alias("trace"), "mask")
-        one = flat.groupBy(*key).agg(F.expr("bit_and(mask)").alias("mask"), F.min(rest).alias("r"))
-        guards = guard_names(F.col("mask"), self.terms)
+        one = flat.groupBy(*key).agg(self.masks.common("mask").alias("mask"), F.min(rest).alias("r"))
+        guards = self.masks.names("mask")
         self.findings = kept(
             one.select(*key, "r.sink_function", "r.cwe", "r.severity", "r.layers", name_of(CONFIDENCES, F.col("r.rank")).alias("confidence"), "r.trace", guards.alias("guards"), (F.size(guards) == 0).alias("unguarded")), "findings"
         )

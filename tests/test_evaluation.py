@@ -1,7 +1,11 @@
+import random
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
 from ferrule.operators import evaluation as E
+from ferrule.operators import prompts as P
 from ferrule.operators.binding import bind, nearest_preceding, tightest_span
 from ferrule.operators.closure import reachable, strong_components
 
@@ -46,14 +50,40 @@ def test_rankings_and_audit(spark):
 
 def test_prompts(spark):
     w = spark.createDataFrame([("p", 0, "source", "a.py", 2, True, 1, "x", False), ("p", 0, "source", "a.py", 2, True, 2, "y", True), ("p", 1, "sink", "b.py", 1, False, 1, "z", True)], "id string, ord int, role string, file string, line int, stale boolean, n int, text string, mark boolean")
-    e = E.evidence(w)
-    assert e.first().text == "# source -- a.py:2  [STALE]\n      1  x\n>     2  y\n# sink -- b.py:1\n>     1  z"
+    e = P.excerpts(w)
+    assert e.first().excerpts == "[source] a.py, line 2 (changed since it was analyzed)\n      1 | x\n*     2 | y\n\n[sink] b.py, line 1\n*     1 | z"
     s = spark.createDataFrame([("p", "CWE-1", "high", "s @ a.py:2", "k @ b.py:1", ["pii"], "low", True, "analyzed", [])], "id string, cwe string, severity string, source string, sink string, layers array<string>, confidence string, unguarded boolean, guard_status string, guards array<string>")
-    rich, bare = E.arm_prompts(s, e, True).first().prompt, E.arm_prompts(s, e, False).first().prompt
-    assert "Layers: pii" in rich and "guards=(none)" in rich and "Layers" not in bare and bare.endswith("z")
+    rich, bare = P.finding_prompts(s, e, True).first().prompt, P.finding_prompts(s, e, False).first().prompt
+    assert "Kinds of data: pii" in rich and "Barriers on every way: none" in rich and "pii" not in bare and "Confidence" not in bare and bare.endswith("z")
+    review = P.review_prompts(s, e).first().prompt
+    assert review.startswith(rich) and review.endswith(P.QUESTIONS[-1])
     lines = spark.createDataFrame([("a.py", 1, "x"), ("a.py", 2, "y")], "file string, n int, text string")
-    text = E.whole_files(spark.createDataFrame([("p", "a.py"), ("p", "gone")], "id string, file string"), lines).first().text
-    assert "    1  x\n    2  y" in text and "<file unreadable>" in text
+    text = P.whole_files(spark.createDataFrame([("p", "a.py"), ("p", "gone")], "id string, file string"), lines).first().files
+    assert "     1 | x\n      2 | y" in text and "gone:\n(it can't be read)" in text
+    place = "struct<uri:string,base:string,line:int,snippet:string,fqn:string,expr:string>"
+    r = spark.createDataFrame([("p", "r1", "Looks for q.", "Looks for q.", "warning", "7.5", "Bad.", ("a.py", "", 2, None, None, ""), [("a.py", "", 1, None, None, "start"), ("a.py", "", 2, None, None, "")])], f"id string, rule_id string, rule_text string, rule_help string, severity string, security_severity string, message string, sink {place}, flow array<{place}>")
+    got = P.report_prompts(r, lines).first().prompt
+    assert got.count("Looks for q.") == 1 and "Its message: Bad." in got and "- a.py:1 start\n- a.py:2\n" in got and got.endswith("     2 | y")
+    x = spark.createDataFrame([("pii", {"identifiers": ["email"]}, [], 3), ("no", None, [], 0), ("auth", {"decorators": []}, ["n1"], 2)], "layer string, provenance map<string,array<string>>, tagged_nodes array<string>, path_count long")
+    told = {r.layer: r.prompt for r in P.layer_prompt(x).collect()}
+    assert "- identifiers: email" in told["pii"] and "3 paths" in told["pii"] and "has no kind of data 'no'" in told["no"] and "marks n1" in told["auth"]
+
+
+def test_mcnemar_terms():
+    import math
+
+    for a, b in [(0, 0), (5, 1), (1, 5), (10, 10), (0, 40), (300, 220), (1000, 1100), (60_000, 59_000)]:
+        n = a + b
+        want = 1.0 if not n else round(min(1.0, float(Fraction(2 * sum(math.comb(n, i) for i in range(min(a, b) + 1)), 2**n))), 4) if n < 5000 else E.mcnemar_p(b, a)
+        assert abs(E.mcnemar_p(a, b) - want) < 2e-4
+
+
+def test_missing_verdicts_are_wrong(spark):
+    v = [("r", "f", 1, "A", "real", "yes", "x", "low", 1.0, 1.0), ("r", "f", 2, "A", "real", "yes", "x", "low", 1.0, 1.0), ("r", "f", 1, "B", "real", "yes", "x", "low", 1.0, 1.0)]
+    verdicts = spark.createDataFrame(v, "rule_id string, file string, line int, arm string, verdict string, auth_guarded string, vuln_class string, severity string, prompt_tokens double, wall_s double")
+    truth = spark.createDataFrame([("r", "f", n, True, "x", "guarded", "low") for n in (1, 2, 3)], "rule_id string, file string, line int, real boolean, vuln_class string, guard string, severity string")
+    got = {x.arm: x for x in E.arm_scores(verdicts, truth).collect()}
+    assert (got["A"].n, got["A"].realfp, got["B"].n, got["B"].realfp, got["B"].guard, got["B"]["class"]) == (2, 1.0, 2, 0.5, 0.5, 0.5)
 
 
 def test_binding_prefers_the_tightest_then_the_nearest(spark):
@@ -71,8 +101,20 @@ def test_closure(spark):
     assert {(r.src, r.dst) for r in reachable(e).collect()} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3, 4)} | {(5, 5)}
     assert {r.dst for r in reachable(e, spark.createDataFrame([(4,)], "src long")).collect()} == set()
     assert {r.node: r.component for r in strong_components(e).collect()} == {1: 1, 2: 1, 3: 1, 5: 5}
-    with pytest.raises(RuntimeError):
-        reachable(e, max_rounds=1)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(40, 35), (60, 60), (61, 62)], "src long, dst long")
+    assert reachable(chain).count() == 35 * 40 - 35 * 34 // 2 + 6 * 6 + 2 and reachable(chain, spark.createDataFrame([(38,)], "src long")).count() == 6
+    assert {r.node: r.component for r in strong_components(chain).collect()} == {**{i: 35 for i in range(35, 41)}, 60: 60}
+    rnd = random.Random(4)
+    for n in (7,):
+        pairs = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(int(1.5 * n))}
+        reach = set(pairs)
+        while more := {(a, d) for a, b in reach for c, d in reach if b == c} - reach:
+            reach |= more
+        df = spark.createDataFrame(sorted(pairs), "src long, dst long")
+        assert {tuple(r) for r in reachable(df).collect()} == reach
+        want = {a: min(b for a2, b in reach if a2 == a and (b, a) in reach) for a, b in reach if (b, a) in reach}
+        assert {r.node: r.component for r in strong_components(df).collect()} == want
+    assert strong_components(chain.where("false")).count() == reachable(chain.where("false")).count() == 0
 
 
 def test_binding_against_brute_force(spark):

@@ -11,7 +11,7 @@ from ferrule.plans import fixtures
 from ferrule.plans.graph import communities
 from ferrule.plans.project import analyze_ingest, analyze_project, embed, export, ingest, render_html, scan_lines
 from ferrule.sources.files import known_files, read_tree, source_files, source_lines
-from ferrule.sources.reports import base_of, leaf, read_reports, read_sarif, read_semgrep, whole
+from ferrule.sources.reports import first_place, read_reports
 from ferrule.sources.rules import default_rules
 
 
@@ -24,27 +24,57 @@ def place(uri, line=1):
     return {"physicalLocation": {"artifactLocation": {"uri": uri}, "region": {"startLine": line}}}
 
 
-def test_malformed_results_are_dropped_one_by_one():
+def raw(spark, kind, *data):
+    docs = spark.createDataFrame([(i, f"{i}.json", kind, json.dumps(x)) for i, x in enumerate(data)], "doc long, path string, kind string, content string")
+    return read_reports(docs).orderBy("doc", "run", "ord").collect()
+
+
+def test_malformed_results_are_dropped_one_by_one(spark):
     results = [{"locations": ["oops"]}, {"ruleId": "ok", "locations": [place("a.py", "NaN")]}, {"locations": [place("a.py")], "codeFlows": [123]}, {}, {"locations": []}, 5, None, {"locations": [{"physicalLocation": []}]}]
-    got = list(read_sarif({"runs": [{"results": results}, {}], "version": 1}))
-    assert [x.get("problem") for x in got] == ["parse-error", None, "parse-error", "sink-unbound", "sink-unbound", "parse-error", "parse-error", "parse-error"]
-    assert got[1]["sink"]["line"] == 1 and got[1]["tool"] == "SARIF"
-    assert [x.get("problem") for x in read_semgrep({"results": [{"path": "a", "start": {"line": 3}}, [], {"path": "b", "extra": 4}]})] == [None, "parse-error", "parse-error"]
-    assert list(read_sarif({})) == list(read_semgrep({})) == []
-    assert (whole("NaN"), whole(None), whole("7"), whole(3.7), whole(10**12)) == (1, 1, 7, 3, 1)
+    got = raw(spark, "sarif", {"runs": [{"results": results}, {}], "version": 1}, {})
+    assert [x.problem for x in got] == ["parse-error", None, "parse-error", "sink-unbound", "sink-unbound", "parse-error", "parse-error", "parse-error"]
+    assert got[1].sink.line == 1 and got[1].tool == "SARIF" and got[1].rule_id == "ok" and got[0].uri == "?"
+    got = raw(spark, "semgrep", {"results": [{"path": "a", "start": {"line": 3}}, [], {"path": "b", "extra": 4}, {"path": "c", "check_id": 7}]}, {})
+    assert [(x.problem, x.uri) for x in got] == [(None, None), ("parse-error", "?"), ("parse-error", "b"), ("parse-error", "c")]
+    assert got[0].sink.line == 3 and got[0].rule_id == "semgrep"
+    lines = raw(spark, "sarif", {"runs": [{"results": [{"locations": [place("a.py", x)]} for x in ("NaN", None, "7", 3.7, 10**12)]}]})
+    assert [x.sink.line for x in lines] == [1, 1, 7, 3, 1]
 
 
-def test_bases_and_nested_places():
+def test_bases_rules_and_flows(spark):
     bases = {"A": {"uri": "file:///r/"}, "B": {"uri": "s%20x/", "uriBaseId": "A"}, "C": {"uri": "c/", "uriBaseId": "C"}}
-    assert (base_of("B", bases), base_of("C", bases), base_of("Z", bases), base_of(None, bases)) == ("/r/s x/", "c/", "", "")
+    at = lambda b: {"physicalLocation": {"artifactLocation": {"uri": "f", "uriBaseId": b}}, "logicalLocations": [{"name": "short"}], "message": {"text": "said"}}
+    results = [{"ruleId": "r", "locations": [at(b)], "taxa": [{"id": "CWE-1"}, 3]} for b in ("B", "C", "Z", None)]
+    results.append({"ruleId": "r", "level": "note", "locations": [at("A")], "codeFlows": [{"threadFlows": [{"locations": [{"location": place("s.py", 2)}, {}]}]}, {}]})
+    rules = [{"id": "r", "properties": {"tags": "one"}}, {"id": "r", "defaultConfiguration": {"level": "error"}, "properties": {"tags": ["a", "b"], "cwe": "CWE-7", "security-severity": 8.5}}]
+    got = raw(spark, "sarif", {"runs": [{"tool": {"driver": {"name": "T", "version": "1", "rules": rules}}, "originalUriBaseIds": bases, "results": results}]})
+    assert [x.sink.base for x in got] == ["/r/s x/", "c/", "", "", "/r/"]
+    assert got[0].cwe_sources == ["CWE-1", "a", "b", "CWE-7", "r"] and got[0].level == "error" and got[0].security_severity == "8.5" and got[0].sink.fqn == "short" and got[0].sink.expr == "said" and got[0].tool == "T 1"
+    assert got[4].level == "note" and got[4].alt_flows == 1 and got[4].has_flow and [(p.uri, p.line) for p in got[4].flow] == [("s.py", 2), ("", 1)]
+
+
+def test_nested_places():
     at = {"path": "a.py", "start": {"line": 4}}
-    assert leaf(["CliLoc", [at, "text"]]) == ("a.py", 4, "text") and leaf(["CliCall", [["CliLoc", [at, "t"]], [], None]]) == ("a.py", 4, "t")
-    assert leaf({"location": at, "content": "c"}) == ("a.py", 4, "c") and leaf(at) == ("a.py", 4, None) and leaf(["x", []]) is None and leaf(None) is None
+    found = lambda x: (p := first_place(x)) and (p["path"], p["line"], p["content"])
+    assert found(["CliLoc", [at, "text"]]) == ("a.py", 4, "text") and found(["CliCall", [["CliLoc", [at, "t"]], [], None]]) == ("a.py", 4, "t")
+    assert found({"location": at, "content": "c"}) == ("a.py", 4, "c") and found(at) == ("a.py", 4, None) and found(["x", []]) is None and found(None) is None
+    deep = at
+    for _ in range(3000):
+        deep = [deep]
+    assert found(deep) == ("a.py", 4, None)
+
+
+def test_traces_of_semgrep(spark):
+    at = lambda n: {"path": "a.py", "start": {"line": n}}
+    trace = {"taint_source": ["CliCall", [["CliLoc", [at(2), "src"]], [], ["CliLoc", [at(9), "no"]]]], "intermediate_vars": [{"location": at(3), "content": "mid"}, {"nothing": 1}]}
+    got = raw(spark, "semgrep", {"results": [{"check_id": "c", "path": "a.py", "start": {"line": 5}, "extra": {"dataflow_trace": trace, "lines": "x = 1"}}, {"path": "a.py", "extra": {"dataflow_trace": {"intermediate_vars": [at(3)]}}}]})
+    assert [(p.uri, p.line, p.expr) for p in got[0].flow] == [("a.py", 2, "src"), ("a.py", 3, "mid")] and got[0].has_flow and got[0].sink.snippet == "x = 1"
+    assert got[1].flow == [] and not got[1].has_flow
 
 
 def test_a_document_that_is_no_json_is_an_error(spark):
-    with pytest.raises(Exception, match="JSONDecodeError|Expecting"):
-        read_reports(spark.createDataFrame([(0, "p", "sarif", "{")], "doc long, path string, kind string, content string")).count()
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        read_reports(spark.createDataFrame([(0, "p", "sarif", "{")], "doc long, path string, kind string, content string")).collect()
 
 
 def test_names_are_resolved_inside_the_root(spark):

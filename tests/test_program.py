@@ -6,7 +6,9 @@ import pytest
 
 from ferrule.operators.lowering import Lowering, control_flow, facts, lower, lower_files
 from ferrule.plans.state import kept
-from ferrule.plans.taint import Analysis, unguarded
+from pyspark.sql import functions as F
+
+from ferrule.plans.taint import Analysis, Masks, unguarded
 from ferrule.sources.rules import default_rules
 
 REQ = "from flask import request\n"
@@ -142,7 +144,18 @@ def test_guards_of_several_ways_are_those_of_all(analysis):
     got = {r.function: (r.guards, r.trace) for r in analysis.findings.where("source_file = 'x/a.py'").collect()}
     assert got == {"one": (["login_required"], ["one", "run"]), "two": (["is_admin"], ["two", "run"])}
     s = analysis.sink_params.where("fn = 'x/b.py:1'").collect()
-    assert [(x.param, x.mask) for x in s] == [(0, 0)]
+    assert [(x.param, tuple(x.mask)) for x in s] == [(0, (0,))]
+
+
+def test_masks_of_many_terms(spark):
+    """More terms than a long has bits."""
+    terms = [f"t{i:03d}" for i in range(150)]
+    m = Masks(terms)
+    rows = [("a", terms[::2], terms[:10]), ("a", terms[::3], terms[140:]), ("b", [], ["t149", "other"])]
+    df = spark.createDataFrame(rows, "k string, g array<string>, h array<string>").select("k", m.of(F.col("g")).alias("x"), m.of(F.col("h")).alias("y"))
+    got = df.withColumn("z", m.both("x", "y")).groupBy("k").agg(m.common("z").alias("z")).select("k", m.names("z").alias("n"))
+    assert {r.k: r.n for r in got.collect()} == {"a": sorted({*terms[::2], *terms[:10]} & {*terms[::3], *terms[140:]}), "b": ["t149"]}
+    assert df.select(Masks([]).names("x").alias("n")).first().n == []
 
 
 def test_errors_and_categories(analysis):
