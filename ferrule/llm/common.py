@@ -47,7 +47,25 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._ferrule_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of written(); only once what was made of them is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._ferrule_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of two longs that may be broadcast: 64 MB.
+SMALL = 1 << 22
+
+
+def if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """A written table of a few numbers a row, marked for a broadcast if it is as small as that; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def sized(df: DataFrame, source: DataFrame, mb: int = 32) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import written
+from ferrule.llm.common import discard, written
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -20,11 +20,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        before, e = e, both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         e = written(e, "edges")
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        discard(before)
+        low, before = e.groupBy("u").agg(F.min("v").alias("m")), e
         e = e.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         e = written(e, "edges")
+        discard(before)
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
