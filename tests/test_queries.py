@@ -55,4 +55,13 @@ def test_without_the_optional_parts(tmp_path):
     shutil.copytree(root / "ferrule", tmp_path / "ferrule", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'taint_scan' in q and 'pipeline' not in q and not any(k.startswith('op1_') for k in q); e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}, timeout=120)
+    run = lambda: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}, timeout=120)
+    run()
+    # The pipeline without its package, and the package without a library that it needs.
+    (tmp_path / "corpus_pipeline.py").write_text("from ferrule.llm import langid\n")
+    run()
+    (tmp_path / "ferrule" / "llm").mkdir()
+    (tmp_path / "ferrule" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "ferrule" / "llm" / "queries.py").write_text("import a_library_that_is_not_here\n")
+    (tmp_path / "corpus_pipeline.py").write_text("import a_library_that_is_not_here\n")
+    run()
