@@ -138,7 +138,7 @@ s AS (SELECT doc_id, k, sum(k) OVER (PARTITION BY doc_id) AS total FROM n), b AS
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(bits, 0.0) END AS bits FROM documents LEFT JOIN b USING (doc_id)
 """)
 def entropy_docs(spark, d):
-    return S.text_entropy(t(spark, d, "documents"), "doc_id", "text").select("doc_id", F.round("bits", 6).alias("bits"))
+    return t(spark, d, "documents").select("doc_id", F.round(S.text_entropy(F.col("text")), 6).alias("bits"))
 
 
 _NAMES = [

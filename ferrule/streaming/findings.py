@@ -1,4 +1,4 @@
-"""Beyond the reference's scope: findings that arrive as files, as a stream."""
+"""Findings that arrive as files, as a stream."""
 
 from __future__ import annotations
 

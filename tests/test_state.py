@@ -4,7 +4,7 @@ from ferrule.plans import state
 
 
 def test_tables_between_rounds(spark: SparkSession, monkeypatch, tmp_path):
-    monkeypatch.setattr(state, "_folder", lambda s: f"file://{tmp_path}/t")
+    monkeypatch.setattr(state, "folder", lambda s: f"file://{tmp_path}/t")
     df = state.kept(spark.range(5), "numbers")
     assert df.count() == 5 and list((tmp_path / "t").iterdir())
     state.clean(spark)
