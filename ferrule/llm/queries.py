@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, for __spark_entry__.py."""
 
-from ferrule.llm import ann_mih, html_diff, langid, line_dedup, packing, piece_bpe, simhash, topk_exact, toxicity, warc
+from ferrule.llm import ann_mih, html_diff, langid, line_dedup, packing, piece_bpe, simhash, topk_exact, toxicity, warc, whitening
 
 QUERIES = {
     "op1_mih_neighbours": ann_mih.op1_mih_neighbours,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_kk_packing": packing.op8_kk_packing,
     "op9_nearest_url_text": html_diff.op9_nearest_url_text,
     "op10_segment_top_k": topk_exact.op10_segment_top_k,
+    "op11_lanczos_whitening": whitening.op11_lanczos_whitening,
 }
 ORACLE_SQL = {"op2_legacy_warc": warc.SQL, "op5_line_dedup": line_dedup.SQL, "op10_segment_top_k": topk_exact.SQL}
