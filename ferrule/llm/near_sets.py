@@ -1,6 +1,6 @@
 """Near-duplicates by the Jaccard similarity of their sets of word shingles, exact.
 
-A text is the set of its shingles' hashes (64 bits); texts with equal sets count once. Two sets of similarity s or more share a member among
+A text is the set of its shingles' hashes (64 bits); texts with equal sets, told apart by 128 bits, count once and get a number. Two sets of similarity s or more share a member among
 the first n - ceil(s n) + 1 of each in any order that all follow (the prefix filter), so only these are put into lists. The order is by
 hash, with shingles that are common in a sample last: the sample decides how long the lists get, not what is found.
 
@@ -66,6 +66,11 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), pa.int64()))
 
 
+def keys_of(sets: list[np.ndarray]) -> pa.Array:
+    """128 bits for each set."""
+    return pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+
+
 def bitmap(h: np.ndarray) -> np.ndarray:
     """A bit for each member's last bits, as longs: a power of two of them, of twice to four times as many bits as there are members."""
     words = 1 << max(0, (2 * len(h) - 1).bit_length() - 6) if len(h) else 1
@@ -78,9 +83,8 @@ def _prefixes(words: int, similarity: float, common: np.ndarray, rank: np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(_bytes(x), words) for x in b.column(1)]
-            ids = pa.array([int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)) for h in sets], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), ids, pa.array(map(len, sets), pa.int64()), _lists([prefix(h, common, rank, similarity) for h in sets]), _lists([bitmap(h) for h in sets])], names=["doc_id", "th", "sid", "n", "prefix", "bits"]
+                [b.column(0), b.column(2), keys_of(sets), pa.array(map(len, sets), pa.int64()), _lists([prefix(h, common, rank, similarity) for h in sets]), _lists([bitmap(h) for h in sets])], names=["doc_id", "th", "key", "n", "prefix", "bits"]
             )
 
     return run
@@ -133,8 +137,8 @@ class NearSets:
     def bodies(self, sids: DataFrame, what: str) -> DataFrame:
         """sid, text: one text of each of these sets; a repeated row may come twice. Few are needed, so their keys go to the texts where these are not too many."""
         row = lambda d, t: F.xxhash64(d, F.isnull(d), t).alias("row")
-        need = written(sids.join(self.nodes, "sid").select(row(F.col("one.doc_id"), F.col("one.th")), "sid"), f"{what}-need")
-        return self.texts.select(row(F.col("doc_id"), F.col("th")), "text").join(if_small(need), "row")
+        need = written(sids.join(self.nodes, "sid").select(row(F.col("one.doc_id"), F.col("one.th")), F.col("one.th").alias("same"), "sid"), f"{what}-need")
+        return self.texts.select(row(F.col("doc_id"), F.col("th")), "th", "text").join(if_small(need), "row").where("th = same").select("sid", "text")
 
     def verified(self, pairs: DataFrame, what: str) -> DataFrame:
         """u, v of those of pairs (u, v, nu, nv) that are similar."""
@@ -154,6 +158,11 @@ class NearSets:
         discard(pairs, passed, sets)
         return links
 
+    def again(self, sids: DataFrame, common: np.ndarray, rank: np.ndarray, what: str) -> DataFrame:
+        """sid, n, prefix of these sets in this order, written."""
+        made = self.bodies(sids, what).mapInArrow(_again(self.words, self.similarity, common, rank), "sid long, n long, prefix array<long>")
+        return written(made.groupBy("sid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "again")
+
     def lists(self, nodes: DataFrame) -> DataFrame:
         """nodes: sid, n, prefix. k, sid, n, left, size, heavy: the lists of more than one set; left: members of the set from this one on, heavy: how many long lists the set is in."""
         every = nodes.select("sid", "n", F.posexplode("prefix").alias("i", "k")).select("k", "sid", "n", (F.col("n") - F.col("i")).alias("left"))
@@ -180,12 +189,16 @@ class NearSets:
         rest_of = lambda n: F.ceil(n * self.similarity - 1e-9) - 1
         most = col("both") + F.least("heavyu", "heavyv") + F.greatest(rest_of(col("nu")), rest_of(col("nv")))
         pairs = met.where(self.enough(most, col("nu"), col("nv"))).select("u", "v", "nu", "nv")
+        return pairs.union(self.led(many))
+
+    def led(self, many: DataFrame) -> DataFrame:
+        """u, v, nu, nv: the sets of each list with three of its own."""
+        col = F.col
         first_in = lambda i: F.struct((col("n") - col("left")) * F.lit(int(i == 0)), F.xxhash64("sid", F.lit(i)))
         leaders = many.groupBy("k").agg(*[F.min_by(F.struct("sid", "n", "left"), first_in(i)).alias(f"l{i}") for i in range(3)]).select("k", F.explode(F.array("l0", "l1", "l2")).alias("l"))
         led = many.join(leaders, "k").where((col("sid") != col("l.sid")) & self.enough(F.least("left", "l.left"), col("n"), col("l.n")))
         first = col("sid") < col("l.sid")
-        led = led.select(F.least("sid", "l.sid").alias("u"), F.greatest("sid", "l.sid").alias("v"), F.when(first, col("n")).otherwise(col("l.n")).alias("nu"), F.when(first, col("l.n")).otherwise(col("n")).alias("nv"))
-        return pairs.union(led)
+        return led.select(F.least("sid", "l.sid").alias("u"), F.greatest("sid", "l.sid").alias("v"), F.when(first, col("n")).otherwise(col("l.n")).alias("nu"), F.when(first, col("l.n")).otherwise(col("n")).alias("nv"))
 
     def apart(self, lists: DataFrame, root: DataFrame) -> DataFrame:
         """k, sid, n, left, root, size of long lists that are not yet in one component."""
@@ -210,15 +223,9 @@ def later(common: np.ndarray, rank: np.ndarray, keys: DataFrame) -> tuple[np.nda
     return hashes, np.array([own[h] for h in hashes.tolist()], np.int64)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = 32, rounds: int = 3) -> DataFrame:
-    """doc_id, th (xxhash64 of the text), component_id: a row for each row of docs."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("th"))
-    common, rank = common_shingles(texts, words)
-    made = texts.mapInArrow(_prefixes(words, similarity, common, rank), "doc_id long, th long, sid long, n long, prefix array<long>, bits array<long>")
-    of = written(sized(made, docs), "prefixes")
-    nodes = written(of.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "nodes")
-    work, now = NearSets(texts, nodes, words, similarity, bucket), nodes
-    edges = root = None
+def connected(work: NearSets, now: DataFrame, common: np.ndarray, rank: np.ndarray, rounds: int, edges: DataFrame | None = None) -> DataFrame:
+    """node, root: the components of the sets `now` (sid, n, prefix in the order of common and rank) by all their links, and by the edges (u, v) that are known."""
+    root = None
     for r in range(rounds):
         lists = work.lists(now)
         found = work.verified(work.candidates(lists), f"round{r}")
@@ -234,11 +241,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bu
                 root = components(edges.union(more))
             break
         common, rank = later(common, rank, apart.select("k", "size").distinct())
-        again = work.bodies(apart.select("sid").distinct(), f"again{r}").mapInArrow(_again(words, similarity, common, rank), "sid long, n long, prefix array<long>")
-        now = written(again.groupBy("sid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "again")
+        now = work.again(apart.select("sid").distinct(), common, rank, f"again{r}")
+    return root
+
+
+def numbered(of: DataFrame, *columns: str) -> DataFrame:
+    """A node for each key of `of`, written: key, sid (its number), least (the smallest doc_id), one (a row that has the set), n, bits and these columns."""
+    one = of.groupBy("key").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one"), *[F.first(c).alias(c) for c in ("n", "bits", *columns)])
+    return written(one.withColumn("sid", F.monotonically_increasing_id()), "nodes")
+
+
+def classes(nodes: DataFrame, root: DataFrame) -> DataFrame:
+    """key, component_id of every node, written: the smallest doc_id of its component."""
     linked = written(root.select(F.col("node").alias("sid"), "root").union(root.select(F.col("root").alias("sid"), "root").distinct()), "linked")
     lows = written(linked.join(nodes, "sid").groupBy("root").agg(F.min("least").alias("component_id")), "lows")
     own = linked.join(lows, "root").select("sid", "component_id")
-    of_set = written(nodes.select("sid", "least").join(own, "sid", "left").select("sid", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    of_set = written(nodes.select("key", "sid", "least").join(own, "sid", "left").select("key", F.coalesce("component_id", "least").alias("component_id")), "classes")
     discard(linked, lows, nodes)
-    return of.select("doc_id", "th", "sid").join(of_set, "sid").select("doc_id", "th", "component_id")
+    return of_set
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("th"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = 32, rounds: int = 3) -> DataFrame:
+    """doc_id, th (xxhash64 of the text), component_id: a row for each row of docs."""
+    texts = texts_of(docs)
+    common, rank = common_shingles(texts, words)
+    made = texts.mapInArrow(_prefixes(words, similarity, common, rank), "doc_id long, th long, key binary, n long, prefix array<long>, bits array<long>")
+    of = written(sized(made, docs), "prefixes")
+    nodes = numbered(of, "prefix")
+    root = connected(NearSets(texts, nodes, words, similarity, bucket), nodes, common, rank, rounds)
+    return of.select("doc_id", "th", "key").join(classes(nodes, root), "key").select("doc_id", "th", "component_id")

@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, for __spark_entry__.py."""
 
-from ferrule.llm import ann_mih, html_diff, langid, line_dedup, packing, piece_bpe, simhash, topk_exact, toxicity, warc, whitening
+from ferrule.llm import ann_mih, divergence, html_diff, langid, line_dedup, minmax, packing, piece_bpe, simhash, topk_exact, toxicity, warc, whitening
 
 QUERIES = {
     "op1_mih_neighbours": ann_mih.op1_mih_neighbours,
@@ -14,5 +14,7 @@ QUERIES = {
     "op9_nearest_url_text": html_diff.op9_nearest_url_text,
     "op10_segment_top_k": topk_exact.op10_segment_top_k,
     "op11_lanczos_whitening": whitening.op11_lanczos_whitening,
+    "op12_minmax_near_dedup": minmax.op12_minmax_near_dedup,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
-ORACLE_SQL = {"op2_legacy_warc": warc.SQL, "op5_line_dedup": line_dedup.SQL, "op10_segment_top_k": topk_exact.SQL}
+ORACLE_SQL = {"op2_legacy_warc": warc.SQL, "op5_line_dedup": line_dedup.SQL, "op10_segment_top_k": topk_exact.SQL, "op12_minmax_near_dedup": minmax.SQL, "op13_source_divergence": divergence.SQL}

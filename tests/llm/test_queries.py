@@ -22,7 +22,7 @@ def db():
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 12)} == {k.split("_")[0] for k in QUERIES} and {"pipeline", *QUERIES} <= set(entry_points.queries())
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in QUERIES} and {"pipeline", *QUERIES} <= set(entry_points.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
