@@ -1,17 +1,22 @@
 """Toxicity from bags of subword embeddings.
 
-A word is the bag of its character n-grams (2 to 5 characters, with word ends, hashed), a passage the mean of its words' vectors (a run of
-one word counts as one word), and a linear softmax over that mean gives the passage's probability; embeddings and softmax are trained together, in numpy. Misspellings that never
+A word is the bag of its character n-grams (2 to 5 characters, with word ends, hashed), a passage the mean of its words' vectors, and a linear softmax
+over that mean gives the passage's probability; embeddings and softmax are trained together, in numpy. Misspellings that never
 occurred share n-grams with words that did. A document is cut into passages of `span` words; as one insult in a long text is still an insult,
-its score is that of its worst passage. In training the worst passages of a toxic document stand for it, and are chosen anew in each round.
+its score is that of its worst passage. In training the worst passages of a toxic document stand for it, first those of words that more of the toxic
+documents have, then what the model finds, chosen anew in each round.
+
+The training documents are dealt to folds. For each fold a model is trained on the others and scores the fold, which it has not seen: that gives its scale (mean
+and deviation of the clean documents' worst passages) and the cut that is given score 0.3, where misses, counted twice, and false alarms are fewest. The models'
+mean is the score. Both layers are linear, so the mean of models is again one number for each n-gram.
 
 The training rows are a bounded sample: at most `sample` labelled documents of each label, those with the smallest hashes of their ids, of at
-most `longest` characters, one text (the least) of each doc_id. All rows are scored over their whole texts. As both layers are linear, a word's part in the difference of the two
+most `longest` characters, one text (the least) of each doc_id. All rows are scored over their whole texts. A word's part in the difference of the two
 logits is one number, which is remembered.
 
 Defined results: a text without words gets the score of an empty bag. Rows with a null doc_id are scored, not learned from; of labels that
 contradict each other 1 counts; null labels are left out. If one of the labels is missing, all scores are the share of label 1 (0 if there are
-no labels). Repeated rows stay repeated. Of equally bad passages any stands for the text: their scores are equal. A very long text is cut into
+no labels). With too few labels for folds one model is trained and cut on all of them. Repeated rows stay repeated. Of equally bad passages any stands for the text: their scores are equal. A very long text is cut into
 passages like any other and scored whole, by the task that has its row. An empty table gives an empty result. Only doc_id and text are read.
 """
 
@@ -34,9 +39,7 @@ WORD = re.compile(r"\w+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Words in lower case; a run of one and the same word is one. (If each counts, a run of one word fills whole passages: 116 instead of 1 of 22,981 clean held-out documents are then predicted toxic.)"""
-    words = WORD.findall((text or "").lower())
-    return [w for w, before in zip(words, [None, *words]) if w != before]
+    return WORD.findall((text or "").lower())
 
 
 def subwords(word: str) -> list[int]:
@@ -64,13 +67,18 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def starts_of(n: int, span: int) -> np.ndarray:
+    """Where passages start in a text of n words."""
+    return np.append(np.arange(0, n - span, max(1, span // 2)), n - span) if n > span else np.zeros(min(n, 1), int)
+
+
 def passages(sums: np.ndarray, span: int) -> np.ndarray:
     """Means of overlapping passages of `span` words (one passage if there are fewer); sums: a number for each word."""
     n = len(sums)
     if n <= span:
         return np.array([sums.mean() if n else 0.0])
     c = np.concatenate(([0.0], np.cumsum(sums)))
-    starts = np.append(np.arange(0, n - span, span // 2), n - span)
+    starts = starts_of(n, span)
     return (c[starts + span] - c[starts]) / span
 
 
@@ -97,8 +105,8 @@ def gradients(model: Bags, batch: list[np.ndarray], y: np.ndarray, weight: np.nd
     return loss, bag.T @ p, p.sum(axis=0), touched, np.stack([np.bincount(inverse, x, len(touched)) for x in parts.T], axis=1)
 
 
-def train(texts: list[str], labels: list[int], span: int = 8, rounds: int = 6, epochs: int = 2, rate: float = 0.02, seed: int = 7) -> Bags:
-    """Adam over minibatches of passages. Positives: the worst passages of toxic documents (in the first round all); negatives: of the others, the worst and as many more at random."""
+def train(texts: list[str], labels: list[int], span: int = 2, rounds: int = 4, epochs: int = 2, rate: float = 0.02, seed: int = 7) -> Bags:
+    """Adam over minibatches of passages. Positives: the worst passages of toxic documents (in the first round by their words' shares of documents); negatives: of the others, the worst and some more at random."""
     model, r = Bags(seed=seed), np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     docs = []
@@ -114,32 +122,30 @@ def train(texts: list[str], labels: list[int], span: int = 8, rounds: int = 6, e
     del vocabulary, packed, lengths
     first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
 
-    def spans(d: np.ndarray) -> list[np.ndarray]:
-        if len(d) <= span:
-            return [d] if len(d) else []
-        return [d[s : s + span] for s in [*range(0, len(d) - span, span // 2), len(d) - span]]
-
     def word_slopes() -> np.ndarray:
         return np.add.reduceat(model.slopes()[flat], first) / sizes
 
-    of = [spans(d) for d in docs]
+    # How much likelier a document has the word if it is toxic.
+    having = np.zeros((2, len(sizes)))
+    for d, y in zip(docs, labels):
+        having[y, np.unique(d)] += 1
+    of_each = [len(labels) - sum(labels), sum(labels)]
+    share = [np.log((having[y] + 0.1) / (of_each[y] + 0.2)) for y in (0, 1)]
     m_e, v_e = np.zeros_like(model.e), np.zeros_like(model.e)
     m_w, v_w = np.zeros_like(model.w), np.zeros_like(model.w)
     m_b, v_b = np.zeros(2), np.zeros(2)
     step = 0
     for k in range(rounds):
-        slope = word_slopes()
+        slope = share[1] - share[0] if k == 0 else word_slopes()
         chosen: list[tuple[np.ndarray, int]] = []
-        for d, y in zip(of, labels):
-            if not d:
+        for d, y in zip(docs, labels):
+            if not len(d):
                 continue
-            s = np.array([slope[p].mean() for p in d])
+            starts = starts_of(len(d), span)
+            s = np.max([slope[d[np.minimum(starts + j, len(d) - 1)]] for j in range(span)], axis=0) if k == 0 else passages(slope[d], span)
             order = np.argsort(-s, kind="stable")
-            if y:
-                some = r.permutation(len(d))[:24] if k == 0 else order[: 4 if k < 3 else 2]
-            else:
-                some = r.permutation(len(d))[:24] if k == 0 else np.unique(np.concatenate((order[:4], r.integers(0, len(d), 8))))
-            chosen += [(d[i], y) for i in some]
+            some = order[: max(1, 3 - k)] if y else np.unique(np.concatenate((order[:8], r.integers(0, len(starts), 12))))
+            chosen += [(d[starts[i] : starts[i] + span], y) for i in some]
         ones = sum(y for _, y in chosen)
         weight = {1: 0.5 / max(1, ones), 0: 0.5 / max(1, len(chosen) - ones)}
         for _ in range(epochs):
@@ -147,8 +153,8 @@ def train(texts: list[str], labels: list[int], span: int = 8, rounds: int = 6, e
             for a in range(0, len(order), 512):
                 batch = [chosen[i] for i in order[a : a + 512]]
                 y = np.array([x[1] for x in batch])
-                share = np.array([weight[int(i)] for i in y]) * len(chosen) / len(y)
-                _, d_w, d_b, touched, d_e = gradients(model, [x[0] for x in batch], y, share, flat, first, sizes)
+                weights = np.array([weight[int(i)] for i in y]) * len(chosen) / len(y)
+                _, d_w, d_b, touched, d_e = gradients(model, [x[0] for x in batch], y, weights, flat, first, sizes)
                 step += 1
                 fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for x, m, v, d, at in ((model.w, m_w, v_w, d_w, ...), (model.b, m_b, v_b, d_b, ...), (model.e, m_e, v_e, d_e, touched)):
@@ -159,15 +165,26 @@ def train(texts: list[str], labels: list[int], span: int = 8, rounds: int = 6, e
 
 
 class Scorer:
-    """Scores texts: the worst passage's probability, shifted so that the training documents are parted best at 0.3."""
+    """Scores texts: the worst passage's probability, by the mean of some models and shifted so that what they have not seen is parted best at 0.3."""
 
     def __init__(self, model: Bags | None, constant: float = 0.0, span: int = 8):
         self.constant, self.span = constant, span
         self.slope = None if model is None else model.slopes().astype(np.float32)
-        self.shift, self.scale = (0.0, 1.0) if model is None else (float(model.b[1] - model.b[0]), 1.0)
+        self.shift = 0.0 if model is None else float(model.b[1] - model.b[0])
         self.young: dict[str, float] = {}
         self.old: dict[str, float] = {}
 
+    @classmethod
+    def mean(cls, parts: list[Scorer]) -> Scorer:
+        out = cls(None, span=parts[0].span)
+        out.slope, out.shift = np.mean([p.slope for p in parts], axis=0), float(np.mean([p.shift for p in parts]))
+        return out
+
+    def scaled(self, mean: float, deviation: float) -> None:
+        """Logits become multiples of the deviation from the mean."""
+        self.slope, self.shift = self.slope / np.float32(deviation), (self.shift - mean) / deviation
+        self.forget()
+
     def __getstate__(self):
         return self.__dict__ | {"young": {}, "old": {}}
 
@@ -195,21 +212,44 @@ class Scorer:
     def score(self, text: str | None) -> float:
         if self.slope is None:
             return self.constant
-        return float(sigmoid(self.scale * self.worst(text)))
-
-    def calibrate(self, texts: list[str], labels: list[int]) -> None:
-        """The cut that parts the training documents best gets score 0.3: half-way between its neighbours' logits."""
-        z, y = np.array([self.worst(t) for t in texts]), np.array(labels)
-        order = np.argsort(z, kind="stable")
-        z, y = z[order], y[order]
-        wrong = np.concatenate(([0], np.cumsum(y == 1))) + np.concatenate((np.cumsum((y == 0)[::-1])[::-1], [0]))
-        best = np.flatnonzero(wrong == wrong.min())
-        i = int(best[len(best) // 2])
-        low, high = z[max(0, i - 1)], z[min(len(z) - 1, i)]
-        self.shift += float(np.log(0.3 / 0.7)) / self.scale - float(low + high) / 2
-
-
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 2000, longest: int = 8192, span: int = 8) -> Scorer:
+        return float(sigmoid(self.worst(text)))
+
+
+def cut_of(z: np.ndarray, y: np.ndarray, miss: float = 2.0) -> float:
+    """Where misses (each counts as `miss` false alarms) and false alarms are fewest: half-way between two logits."""
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], y[order]
+    wrong = miss * np.concatenate(([0], np.cumsum(y == 1))) + np.concatenate((np.cumsum((y == 0)[::-1])[::-1], [0]))
+    best = np.flatnonzero(wrong == wrong.min())
+    i = int(best[len(best) // 2])
+    return float(z[max(0, i - 1)] + z[min(len(z) - 1, i)]) / 2
+
+
+def fitted(texts: list[str], labels: list[int], span: int = 2, folds: int = 3) -> Scorer:
+    """The mean of a model for each fold, trained on the others; scale and cut come from the fold that it has not seen. Folds have equal shares of both labels."""
+    y, fold = np.array(labels), np.zeros(len(labels), int)
+    for label in (0, 1):
+        fold[y == label] = np.arange((y == label).sum()) % folds
+    z, parts = np.zeros(len(y)), []
+    if min((y == 0).sum(), (y == 1).sum()) < 2 * folds:
+        parts.append(Scorer(train(texts, labels, span), span=span))
+        z = np.array([parts[0].worst(t) for t in texts])
+    else:
+        for f in range(folds):
+            own, other = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+            part = Scorer(train([texts[i] for i in other], [labels[i] for i in other], span, seed=7 + f), span=span)
+            raw = np.array([part.worst(texts[i]) for i in own])
+            clean = raw[y[own] == 0]
+            mean, deviation = float(clean.mean()), max(1e-6, float(clean.std()))
+            part.scaled(mean, deviation)
+            z[own] = (raw - mean) / deviation
+            parts.append(part)
+    out = Scorer.mean(parts)
+    out.shift += float(np.log(0.3 / 0.7)) - cut_of(z, y)
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 2000, longest: int = 8192, span: int = 2) -> Scorer:
     """docs: doc_id, text. labels: doc_id, toxic."""
     marked = labels.where(may_learn(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
@@ -220,9 +260,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 2000, longest: int =
     texts, y = rows["text"].tolist(), rows["toxic"].tolist()
     if len(set(y)) < 2:
         return Scorer(None, float(np.mean(y)) if y else 0.0)
-    scorer = Scorer(train(texts, y, span), span=span)
-    scorer.calibrate(texts, y)
-    return scorer
+    return fitted(texts, y, span)
 
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.3) -> DataFrame:

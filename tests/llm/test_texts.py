@@ -1,8 +1,11 @@
 import itertools
+import os
 import random
 import zlib
 
+import duckdb
 import numpy as np
+import pytest
 
 from ferrule.llm import html_diff, langid, toxicity
 from ferrule.llm.common import held_out, may_learn
@@ -248,3 +251,23 @@ def test_toxicity_on_held_out_rows(spark):
     alone = toxicity.learn(docs, marks.where("toxic = 0"))
     assert {x.score for x in toxicity.score(docs, alone).collect()} == {0.0}
     assert toxicity.score(docs.where("false"), scorer).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables aren't here")
+def test_toxicity_from_few_labels():
+    """35 toxic documents of 295 to learn from: half of those held out are found (some have no insult at all), clean ones are left alone."""
+    con = duckdb.connect()
+    rows = con.execute("SELECT doc_id, text, toxic FROM '/root/testdata/sf0.01/documents.parquet' JOIN '/root/testdata/sf0.01/labels.parquet' USING (doc_id) WHERE toxic IS NOT NULL ORDER BY hash(doc_id)").fetchall()
+    own = lambda i: zlib.crc32(str(i).encode()) % 4 != 2
+    learned = [(t, y) for i, t, y in rows if own(i) and len(t or "") <= 8192]
+    scorer = toxicity.fitted([t for t, _ in learned], [y for _, y in learned])
+    got = [(scorer.score(t), y) for i, t, y in rows if not own(i)]
+    found, false = (sum(s >= 0.3 and y == label for s, y in got) for label in (1, 0))
+    assert len(got) == 94 and found >= 6 and false <= 2
+    better = sum((a > b) + (a == b) / 2 for a, x in got for b, y in got if x and not y)
+    assert better / (14 * 80) > 0.8
+
+
+def test_cut_weighs_misses_twice():
+    z, y = np.array([0.0, 1.0, 2.0, 3.0, 4.0]), np.array([0, 1, 0, 1, 1])
+    assert toxicity.cut_of(z, y) == 0.5 and toxicity.cut_of(z, y, miss=0.5) == 2.5
