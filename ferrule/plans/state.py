@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def kept(df: DataFrame, what: str) -> DataFrame:
@@ -19,11 +19,25 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def watched(df: DataFrame, what: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """kept(), and these aggregates of its rows, which the write itself observes: no job of their own."""
+    seen = Observation()
+    out = kept(df.observe(seen, *[c.alias(k) for k, c in sums.items()]), what)
+    return out, seen.get
+
+
 def kept_paths(tables: list[DataFrame]) -> DataFrame:
     """Tables of kept() with one schema as one table: a single scan, however many there are."""
     return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[x._ferrule_path for x in tables])
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of kept(); only once what was made of them is written itself."""
+    for x in tables:
+        path = x.sparkSession._jvm.org.apache.hadoop.fs.Path(x._ferrule_path)
+        path.getFileSystem(x.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def exists(table: DataFrame) -> bool:
     """Whether a table of kept() is still there."""
     path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._ferrule_path)
