@@ -2,9 +2,10 @@
 
 Pages are range-partitioned and sorted by host and path, so a site of any size is spread over tasks and a page's nearest neighbours by URL lie
 next to it. Each page is cut into lines (the text of a block). Pages in a row with the same html are copies and count as one: they are no
-template of each other. Each is paired with the neighbour of its host whose path shares the longest beginning; if the two share four fifths of
-their lines they are near copies, and the other neighbour is taken. At an edge of a partition the neighbour lies in the next one: the pages at
-the edges meet in a second, small step, so results do not depend on the partitions.
+template of each other. Each is paired with the neighbour of its host whose path shares the longest beginning. If the two share four fifths of
+their lines they are either near copies or pages of little more than a template, and further neighbours (two before, two after) tell which: if one shares less, that one is
+taken. If all share as much, what all of them share is template, unless the rest is an edited form of a neighbour's rest, as in copies. Two pages alone that share as much
+count as copies. At an edge of a partition neighbours lie in the next ones: the pages at the edges meet in a second, small step, so results do not depend on the partitions.
 
 The lines of a page and its neighbour are aligned by a longest common subsequence, and shared lines are deleted: what two pages of a site have
 in common is its template. Markup decides where differencing alone can't:
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,38 +58,48 @@ BLOCK = {
 WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay "
     "nav navigation navbar menu menus menubar breadcrumb breadcrumbs sidebar sidebars aside footer header masthead contentinfo complementary comment comments commentlist reply replies disqus "
-    "respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager toolbar widget widgets skip copyright dialog alertdialog".split()
+    "respond responses discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager toolbar widget widgets skip copyright dialog alertdialog".split()
 )
-#: Those that say so at the end of any name, as in "article-comments".
+#: Those that say so at the end of any name outside of an article, as in "shop-navigation".
 ENDS = set("ad ads advert adverts advertisement banner cookies nav navigation navbar menu breadcrumb breadcrumbs sidebar footer masthead comments newsletter popup pagination toolbar".split())
 #: Words that may follow one of these, as in "footer-links" or "comment-list"; other words name what the text is about.
-FORMS = set("area bar block body bottom box button buttons col column container content group holder icon inner item items left link links list main outer panel placement post posts region right row section slot top unit wrap wrapper".split())
+FORMS = set("area bar block body bottom box button buttons col column container content group holder icon inner item items left link links list main outer panel placement post posts region right row section slot thread top unit wrap wrapper".split())
+#: Words that may stand before one of these: what the part belongs to.
+OF = set("site page main top left right post article entry user reader blog global primary secondary sub mobile".split())
+#: What readers write, where it is said that readers did.
+READERS, WRITTEN = set("user users reader readers customer customers visitor visitors".split()), set("reviews feedback opinions".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def names_apart(name: str) -> bool:
-    """Whether a class, id or role is such a word, ends in one ("cookie-notice") or starts with one and goes on with words of form alone. "share-price-news" is none; nor is "has-sidebar"."""
+def names_apart(name: str, inside: bool = False) -> bool:
+    """Whether a class, id or role is such a word, alone or with words of form ("cookie-notice", "footer-links") or of what it belongs to ("site-header").
+
+    Other words say what a part is about, as in "share-price-news" or "how-to-search", so inside an article such a name sets nothing apart; elsewhere some words do at the end of any name.
+    """
     words = [w.lower() for w in _WORD.findall(name)]
     if not words or words[0] in ("has", "no", "not", "with", "without", "non", "is"):
         return False
     while len(words) > 1 and words[-1] in FORMS:
         words.pop()
-    return words[-1] in WORDS and all(w in WORDS or w in FORMS or len(w) < 5 or w in ("site", "page") for w in words[:-1]) or words[-1] in ENDS
+    if words[-1] in WRITTEN and words[0] in READERS:
+        return True
+    return words[-1] in WORDS and all(w in WORDS or w in FORMS or w in OF for w in words[:-1]) or not inside and words[-1] in ENDS
 
 
 def set_apart(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element is no part of the article; inside: it stands in a declared article, whose own header is kept."""
     if tag in APART and not (inside and tag == "header"):
         return True
-    if not attributes or tag in ("html", "body"):
+    if not attributes or tag in ("html", "body") or tag in HEADINGS and inside:
         return False
     for name, *values in _ATTR.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
         if name in ("class", "id", "role"):
-            if any(names_apart(one) and not (inside and one.lower().endswith("header")) for one in value.split()):
+            if any(names_apart(one, inside) and not (inside and one.lower().endswith("header")) for one in value.split()):
                 return True
     return False
 
@@ -230,15 +242,34 @@ def shared_start(a: str, b: str) -> int:
     return n
 
 
-def pairing(own: list[tuple[str, int]], other: list[tuple[str, int]]) -> dict[int, int] | None:
-    """The lines that two pages share; None if they share so many that one is a copy of the other."""
-    shared = common([x[0] for x in own], [x[0] for x in other])
-    return None if 5 * len(shared) >= 4 * max(len(own), len(other)) else shared
+def nearly_all(own: list, other: list, shared: dict) -> bool:
+    return 5 * len(shared) >= 4 * max(len(own), len(other))
+
+
+def edited(own: list[tuple[str, int]], other: list[tuple[str, int]], shared: dict[int, int]) -> bool:
+    """Whether what a page doesn't share says what the other's rest says: half of its words or more, each as often. A page that shares all of its lines says nothing else."""
+    partners = set(shared.values())
+    mine = Counter(w for i, (line, _) in enumerate(own) if i not in shared for w in line.split())
+    theirs = Counter(w for i, (line, _) in enumerate(other) if i not in partners for w in line.split())
+    return 2 * (mine & theirs).total() >= mine.total()
+
+
+def template(own: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -> set[int] | None:
+    """The lines of a page that its neighbours, the nearest first, show to be template; None if there is no page to tell by."""
+    alike = []
+    for lines in others:
+        shared = common([x[0] for x in own], [x[0] for x in lines])
+        if not nearly_all(own, lines, shared):
+            return set(shared)
+        alike.append((lines, shared))
+    if len(alike) < 2 or any(edited(own, lines, shared) for lines, shared in alike):
+        return None
+    return set.intersection(*(set(shared) for _, shared in alike))
 
 
 def main_text(own: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -> str:
     """The lines that stay of a page, given the lines of its neighbours, the nearest first."""
-    shared = next((found for lines in others if (found := pairing(own, lines)) is not None), None)
+    shared = template(own, others)
     if shared is None:
         declared = any(z == ARTICLE for _, z in own)
         keep = [line for line, z in own if z == ARTICLE or z == BODY and not declared]
@@ -247,6 +278,16 @@ def main_text(own: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -
     return "\n\n".join(keep)
 
 
+class _Lines:
+    """The lines of some runs, each read when it is its turn."""
+
+    def __init__(self, found: list[Run]):
+        self.found = found
+
+    def __iter__(self):
+        return (x.lines() for x in self.found)
+
+
 class Run:
     """Pages in a row with the same html: their ids and urls, and the host and path of the first."""
 
@@ -259,9 +300,10 @@ class Run:
             self._lines = lines_of(self.html or "")
         return self._lines
 
-    def texts(self, before: Run | None, after: Run | None) -> Iterator[tuple]:
-        near = [(-shared_start(self.path, o.path), k, o) for k, o in enumerate((before, after)) if o is not None and o.host == self.host]
-        text = main_text(self.lines(), [o.lines() for *_, o in sorted(near, key=lambda x: x[:2])])
+    def texts(self, before: list[Run], after: list[Run]) -> Iterator[tuple]:
+        """before, after: up to two runs each, the next one first."""
+        near = [(k, -shared_start(self.path, o.path), side, o) for side, runs_ in enumerate((before, after)) for k, o in enumerate(runs_) if o.host == self.host]
+        text = main_text(self.lines(), _Lines([o for *_, o in sorted(near, key=lambda x: x[:3])]))
         for page, url in self.members:
             yield page, url, text, len(text)
 
@@ -290,17 +332,18 @@ def _out(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of all runs of a sorted partition but the first and the last; three runs are held at a time."""
+    """Texts of all runs of a sorted partition but the first two and the last two; five runs are held at a time."""
     rows: list[tuple] = []
-    before = own = None
-    for after in runs(batches):
-        if before is not None:
-            for row in own.texts(before, after):
+    held: list[Run] = []
+    for run in runs(batches):
+        held.append(run)
+        if len(held) == 5:
+            for row in held[2].texts([held[1], held[0]], held[3:]):
                 rows.append(row)
                 if len(rows) >= 512:
                     yield _out(rows)
                     rows = []
-        before, own = own, after
+            del held[0]
     if rows:
         yield _out(rows)
 
@@ -311,13 +354,13 @@ _EDGE = pa.schema([("part", pa.int32()), ("i", pa.int32()), ("n", pa.int32()), (
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first two and the last two runs of a sorted partition. Nothing is parsed here."""
+    """The first four and the last four runs of a sorted partition. Nothing is parsed here."""
     part = TaskContext.get().partitionId()
     ends: dict[int, Run] = {}
     n = 0
     for run in runs(batches):
-        if n > 3:
-            del ends[n - 2]
+        if n > 7:
+            del ends[n - 4]
         ends[n] = run
         n += 1
     for i, r in ends.items():
@@ -329,42 +372,32 @@ MEET = "of_part int, of_i int, role int, part int, i int"
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Which runs meet: for the first and the last run of each partition (role 0) the runs with other html before (1) and after (2), wherever they lie. Up to four small rows for each partition."""
-    of: dict[int, list] = {}
-    for x in sorted(table.select(["part", "i", "n", "key"]).to_pylist(), key=lambda x: (x["part"], x["i"])):
-        of.setdefault(x["part"], []).append(x)
-    parts = list(of)
+    """Which runs meet: for the first two and the last two runs of each partition (role 0) the two of other html before (1, 2) and after (3, 4), wherever they lie. Up to eight small rows for each partition."""
+    ends = sorted(table.select(["part", "i", "n", "key"]).to_pylist(), key=lambda x: (x["part"], x["i"]))
     place = lambda x: (x["part"], x["i"])
 
-    def across(step: int) -> dict[int, tuple | None]:
-        """For each partition the nearest run beyond its edge that differs from the run at the edge."""
-        out: dict[int, tuple | None] = {}
-        last = None
-        for p in parts[::step]:
-            own, out[p] = of[p][0 if step > 0 else -1], None
-            if last is not None:
-                beyond = of[last][::-step]
-                # A run that goes on over the edge: what is behind it in its partition, or what that partition found beyond.
-                out[p] = place(beyond[0]) if beyond[0]["key"] != own["key"] else place(beyond[1]) if len(beyond) > 1 else out[last]
-            last = p
-        return out
-
-    before, after = across(1), across(-1)
+    def along(at: int, step: int) -> Iterator[tuple]:
+        """The next two runs; one that goes on over an edge is the same."""
+        key, found = ends[at]["key"], 0
+        at += step
+        while 0 <= at < len(ends) and found < 2:
+            if ends[at]["key"] != key:
+                yield place(ends[at])
+                key, found = ends[at]["key"], found + 1
+            at += step
+
     rows = []
-    for p in parts:
-        first, last = of[p][0], of[p][-1]
-        asks = [(first, before[p], place(of[p][1]) if len(of[p]) > 1 else after[p])]
-        if len(of[p]) > 1:
-            asks.append((last, place(of[p][-2]), after[p]))
-        for own, a, b in asks:
-            rows += [(*place(own), role, *at) for role, at in enumerate((place(own), a, b)) if at is not None]
+    for at, own in enumerate(ends):
+        if own["i"] < 2 or own["i"] >= own["n"] - 2:
+            met = [(0, place(own)), *enumerate(along(at, -1), 1), *enumerate(along(at, 1), 3)]
+            rows += [(*place(own), role, *x) for role, x in met]
     return pa.table([pa.array(c, pa.int32()) for c in zip(*rows)] if rows else [pa.array([], pa.int32())] * 5, names=[x.split()[0] for x in MEET.split(", ")])
 
 
 def _resolve(table: pa.Table) -> pa.Table:
-    """Texts of a run at an edge, given its two neighbours (at most)."""
+    """Texts of a run at an edge, given its four neighbours (at most)."""
     at = {x["role"]: Run(x["host"], x["path"], x["html"], zip(x["pages"] or [], x["urls"] or [])) for x in table.to_pylist()}
-    return pa.Table.from_batches([_out(list(at[0].texts(at.get(1), at.get(2))))], _OUT)
+    return pa.Table.from_batches([_out(list(at[0].texts([at[k] for k in (1, 2) if k in at], [at[k] for k in (3, 4) if k in at])))], _OUT)
 
 
 def extract(pages: DataFrame, partitions: int | None = None, mb: int = 4) -> DataFrame:

@@ -101,6 +101,29 @@ def test_a_teaser_does_not_replace_the_main_text():
     assert html_diff.main_text(page("one"), []) == "Teaser one"
 
 
+def test_templates_of_any_share_go(spark):
+    """Eight, twenty or sixty template lines and three of its own a page: all template lines go, on every page of the host, whatever the partitions. Copies with an edited line keep all."""
+    words = [f"word{i}" for i in range(400)]
+    own = lambda i: [" ".join(words[(i * 37 + k * 11 + j * 5) % 400] for j in range(9)) for k in range(3)]
+    page = lambda n, lines: "<body>" + "".join(f"<p>Template line {k}</p>" for k in range(n)) + "".join(f"<p>{x}</p>" for x in lines) + "<p>Foot</p></body>"
+    for n in (8, 20, 60):
+        rows = [(i, f"http://t.org/p{i}", page(n, own(i))) for i in range(7)]
+        # Of a text of twenty lines three copies, with one or two words of a line changed.
+        text = [" ".join(words[(k * 13 + j) % 400] for j in range(9)) for k in range(20)]
+        rows += [(100 + i, f"http://c.org/p{i}", "<body>" + "".join(f"<p>{x} v{i}</p>" if k == 4 else f"<p>{x}</p>" for k, x in enumerate(text)) + "</body>") for i in range(3)]
+        for parts in (1, 5):
+            got = {x.page_id: x.text for x in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), parts).collect()}
+            assert all(got[i] == "\n\n".join(own(i)) for i in range(7)), (n, parts)
+            assert all(len(got[100 + i].split("\n\n")) == 20 for i in range(3))
+
+
+def test_sections_of_an_article_stay_and_comments_go():
+    names = ("how-to-search", "how-to-subscribe", "wine-and-food-menu", "sea-navigation", "key-alerts", "the-new-login")
+    page = "<article><h1 id='discussion'>Head</h1>" + "".join(f"<section id='{x}'><p>About {x}</p></section>" for x in names)
+    page += "".join(f"<div {k}='{x}'><p>Written by a reader</p></div>" for k in ("id", "class") for x in ("discussion", "user-reviews", "responses", "disqus_thread", "article-comments", "comments")) + "</article>"
+    assert html_diff.main_text(html_diff.lines_of(page), []) == "\n\n".join(["Head", *(f"About {x}" for x in names)])
+
+
 def test_quoted_passages_stay():
     page = lambda t: html_diff.lines_of(f"<body><nav>{t}</nav><article><p>{t}</p><p>A quoted passage.</p><p>{t} {t}</p></article><footer>Foot</footer></body>")
     assert html_diff.main_text(page("one"), [page("two")]) == "one\n\nA quoted passage.\n\none one"
