@@ -70,8 +70,12 @@ def arriving(steps: DataFrame, start: DataFrame, stops: DataFrame) -> DataFrame:
     fresh, seen = watched(_met(start), "facts", n=F.count("*"))
     known = None
     while True:
-        for jump, stop in reversed(jumps if seen["n"] else []):
-            before, fresh = fresh, kept(_met(fresh.union(_taken(fresh, jump, stop))), "facts")
+        levels = jumps[::-1] if seen["n"] else []
+        for two in (levels[i : i + 2] for i in range(0, len(levels), 2)):  # two in a write: more would read the facts too often
+            before = fresh
+            for jump, stop in two:
+                fresh = _met(fresh.union(_taken(fresh, jump, stop)))
+            fresh = kept(fresh, "facts")
             discard(before)
         if known is None:
             merged = fresh.withColumn("new", F.col("bits"))

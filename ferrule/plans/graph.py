@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.operators.communities import leiden
 from ferrule.operators.lowering import facts
-from ferrule.plans.state import kept
 
 
 def entity_graph(lowered: DataFrame, bound: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -21,12 +21,6 @@ def entity_graph(lowered: DataFrame, bound: DataFrame) -> tuple[DataFrame, DataF
     return nodes, contains.union(calls)
 
 
-def communities(nodes: DataFrame, links: DataFrame, rounds: int = 8) -> DataFrame:
-    """id, community: label propagation; each node takes the commonest label around it, ties to the smallest. Approximate by nature."""
-    both = links.select("source", "target").union(links.select("target", "source")).distinct()
-    label = kept(nodes.select("id", F.col("id").alias("community")), "communities")
-    for _ in range(rounds):
-        votes = both.join(label.select(F.col("id").alias("source"), "community"), "source").groupBy(F.col("target").alias("id"), "community").agg(F.count("*").alias("n"))
-        best = votes.groupBy("id").agg(F.min_by("community", F.struct(-F.col("n"), F.col("community"))).alias("new"))
-        label = kept(label.join(best, "id", "left").select("id", F.least("community", F.coalesce("new", "community")).alias("community")), "communities")
-    return label
+def communities(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """id, community: by links, whatever their direction (see operators/communities.py)."""
+    return leiden(nodes, links.select("source", "target"))

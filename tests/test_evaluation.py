@@ -134,3 +134,27 @@ def test_binding_against_brute_force(spark):
         assert got == {i: n for i, n in near.items() if n}
     none = spark.createDataFrame([], "file string, start int, end int, node string")
     assert tightest_span(points, none).count() == 0
+
+
+def test_paired_difference(spark):
+    """The interval is the normal one within sampling error, the same again, and of as many values as there are rows."""
+    rows = [(i, float(i % 7) / 7 + i / 1e6, float(i * 5 % 11) / 11) for i in range(4000)] + [(None, 1.0, None), (9, None, 1.0)]
+    df = spark.createDataFrame(rows, "item long, a double, b double")
+    r = E.paired_difference(df, "item", "a", "b").first()
+    x = [b - a for _, a, b in rows[:4000]]
+    mean = sum(x) / 4000
+    se = (sum((v - mean) ** 2 for v in x) / 4000 / 4000) ** 0.5
+    assert r.n == 4000 and abs(r.difference - mean) < 1e-12 and abs(r.standard_error - se) < 1e-9
+    assert abs(r.lo - (mean - 1.96 * se)) < 0.25 * se and abs(r.hi - (mean + 1.96 * se)) < 0.25 * se
+    assert (r.a_only, r.b_only) == (sum(v < 0 for v in x), sum(v > 0 for v in x)) and r.p_value == E.mcnemar_p(r.a_only, r.b_only)
+    again = E.paired_difference(df.repartition(7), "item", "a", "b").first()
+    assert abs(again.lo - r.lo) < 1e-9 and abs(again.hi - r.hi) < 1e-9
+    none = E.paired_difference(df.where("false"), "item", "a", "b").first()
+    assert none.n == 0 and none.lo is None and none.p_value == 1.0
+
+
+def test_poisson_weights():
+    import numpy as np
+
+    w = E.poisson_weights(np.arange(3000, dtype=np.int64), 400)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.08
