@@ -168,12 +168,12 @@ def ident_tokens(spark, d):
 
 
 @query("""
-SELECT page_id, len(ids) AS n, sha256(coalesce(list_aggregate(ids, 'string_agg', ','), '')) AS digest FROM (SELECT page_id, regexp_extract_all(code, '[A-Za-z_][A-Za-z0-9_]*') AS ids FROM
-(SELECT page_id, split_part(regexp_replace(html, '"(?:\\\\.|[^"\\\\])*"|''(?:\\\\.|[^''\\\\])*''', ' ', 'gs'), '#', 1) AS code FROM pages))
+SELECT page_id, len(ids) AS n, sha256(coalesce(list_aggregate(ids, 'string_agg', ','), '')) AS digest FROM (SELECT page_id, flatten(list_transform(string_split(html, chr(10)), lambda x:
+regexp_extract_all(split_part(regexp_replace(x, '"(?:\\\\.|[^"\\\\])*"|''(?:\\\\.|[^''\\\\])*''', ' ', 'gs'), '#', 1), '[A-Za-z_][A-Za-z0-9_]*'))) AS ids FROM pages)
 """)
 def html_strip(spark, d):
-    """Identifiers outside of quotes and before the first hash: how many, and a digest of all of them in their order."""
-    x = L.identifiers(F.col("html"))
+    """Identifiers of each line outside of quotes and before its first hash: how many, and a digest of all of them in their order."""
+    x = F.flatten(F.transform(F.split("html", "\n"), L.identifiers))
     return t(spark, d, "pages").select("page_id", F.size(x).cast("long").alias("n"), F.sha2(joined(x).cast("binary"), 256).alias("digest"))
 
 
@@ -291,18 +291,18 @@ _RANKED = "WITH r AS (SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_or
 
 def ranked_orders(spark, d):
     o = t(spark, d, "orders").withColumn("hit", (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P"))
-    return positions(o.select("o_totalprice", "o_orderkey", "hit"), [F.desc("o_totalprice"), F.asc("o_orderkey")])
+    return o.select("hit", "o_totalprice", "o_orderkey"), [-F.col("o_totalprice"), F.col("o_orderkey")]
 
 
 @query(_RANKED + " SELECT min(pos) FILTER (hit) AS first FROM r")
 def rank_of_first(spark, d):
-    return evaluation.rank_of_first(ranked_orders(spark, d))
+    return evaluation.first_hit(*ranked_orders(spark, d))
 
 
 @query(_RANKED + " SELECT 5 AS k, count(*) FILTER (hit) AS hits, count(*) AS \"of\" FROM r WHERE pos <= 5 UNION ALL SELECT 100, count(*) FILTER (hit), count(*) FROM r WHERE pos <= 100")
 def precision_at_k(spark, d):
-    r = ranked_orders(spark, d)
-    return evaluation.precision_at(r, 5).select(F.lit(5).alias("k"), "hits", "of").union(evaluation.precision_at(r, 100).select(F.lit(100), "hits", "of"))
+    top = lambda k: evaluation.top_hits(*ranked_orders(spark, d), k).select(F.lit(k).alias("k"), "hits", "of")
+    return top(5).union(top(100))
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 4 = 0 THEN 0.0 ELSE o_totalprice END DESC, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 2 ELSE 1 END, o_custkey, o_orderkey) AS pos FROM orders")
