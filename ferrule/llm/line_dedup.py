@@ -13,7 +13,7 @@ and the lines that go are those whose key's run names a larger doc_id.
 Defined results: a null or empty text is one empty line. A null doc_id counts as a document and ranks below all others. Rows that share a
 doc_id count as documents of their own, and all rows with the largest doc_id keep their lines. An empty table gives an empty result. A very long
 text is split and hashed like any other, in its row. Of equal lines in one document all stay or all go. Only doc_id and text are read; other
-columns go through, whatever their names.
+columns go through, whatever their names (but for `_ferrule_doc`, `_ferrule_th` and `_ferrule_drop`, which are reserved).
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ backwards from the end of the table. Compatibility is tested by merging the pair
 No piece holds a line feed, and none holds a blank after another character (checked when the model is loaded), so merges never cross these
 places: lines and words are encoded on their own and remembered, in two generations of bounded size.
 
-Defined results: a null or empty text has no ids and decodes to the empty text. Repeated rows stay repeated; an empty table gives an empty
+Defined results: a null or empty text has no ids and decodes to the empty text. A very long text is encoded whole, by the task that has its row. Repeated rows stay repeated; an empty table gives an empty
 result. Only doc_id and text are read.
 """
 

@@ -8,7 +8,7 @@ bit, and two that meet there differ in at most two bits. Such a meeting place ho
 Copies share a fingerprint and count once in the join. The result is one row per document with its class: no pairs are emitted.
 
 Defined results: texts without words (null, empty, blank) have fingerprint zero and are linked like any other. A null doc_id is never a
-component's id unless its whole component has none. Repeated rows stay repeated. An empty table gives an empty result. Only doc_id and text
+component's id unless its whole component has none. Repeated rows stay repeated. A very long text's fingerprint is made in parts of bounded size by the task that has its row. An empty table gives an empty result. Only doc_id and text
 are read.
 """
 
