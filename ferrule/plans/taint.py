@@ -24,7 +24,7 @@ from ferrule.functions.labels import ident_confidence, ident_layers, secret
 from ferrule.functions.scalars import CONFIDENCES, collapse, confidence_rank, name_of
 from ferrule.operators.callgraph import Index, bindings, classify
 from ferrule.operators.lowering import facts
-from ferrule.plans.state import kept, kept_paths
+from ferrule.plans.state import kept, kept_paths, watched
 from ferrule.sources.rules import Rules
 
 LONGEST_WAY = 8
@@ -160,6 +160,11 @@ class Masks:
         """An aggregate: what all rows have."""
         return self._struct(lambda i: F.bit_and(F.col(mask)[f"w{i}"]))
 
+    def exceeds(self, a: str, b: str) -> Column:
+        """Whether a has a term that b lacks."""
+        more = [F.col(a)[f"w{i}"].bitwiseAND(F.bitwise_not(F.col(b)[f"w{i}"])) != 0 for i in range(len(self.words))]
+        return reduce(lambda x, y: x | y, more)
+
     def names(self, mask: str) -> Column:
         found = [F.when(F.col(mask)[f"w{i}"].bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.lit(t)) for i, w in enumerate(self.words) for k, t in enumerate(w)]
         return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
@@ -220,9 +225,9 @@ class Analysis:
             out = out.union(kept_paths(all_a).join(through(new_r), ["target", "param"]).select(*key_v))
             if len(all_r) > 1:
                 out = out.union(new_a.join(through(kept_paths(all_r[:-1])), ["target", "param"]).select(*key_v))
-            new_v = kept(unseen(out.distinct(), all_v, key_v), "values")
+            new_v, seen = watched(unseen(out.distinct(), all_v, key_v), "values", n=F.count("*"))
             all_v.append(new_v)
-            if new_v.isEmpty():
+            if not seen["n"]:
                 break
             new_r = kept(unseen(rc.join(new_v, ["fn", "call"]).select(*key_r).distinct(), all_r, key_r), "returns")
             new_a = kept(unseen(ac.join(new_v, ["fn", "call"]).select("fn", F.col("at").alias("call"), "target", "param", "kind", "of", "label").distinct(), all_a, key_a), "args")
@@ -242,6 +247,10 @@ class Analysis:
         g = self.functions.select("fn", F.explode("guards").alias("sid", "g")).select("fn", F.col("sid").cast("int").alias("sid"), self.masks.of(F.col("g")).alias("mask"))
         return calls.join(g, ["fn", "sid"], "left").withColumn("mask", F.coalesce("mask", self.masks.none()))
 
+    def _risen(self) -> Column:
+        """Whether a fact that was there before has risen: rounds end because guards, confidences and ways only fall."""
+        return F.col("mask_was").isNotNull() & (self.masks.exceeds("mask", "mask_was") | (F.col("conf") > F.col("conf_was")) | (F.size("via") > F.col("way_was")))
+
     def _sinks(self) -> None:
         rules = self.rules.sinks
         pick = lambda k: F.get(F.array(*[F.lit(r[k]).cast("string") for r in rules] or [F.lit(None).cast("string")]), F.col("sinks"))
@@ -268,16 +277,19 @@ class Analysis:
         # Only facts that are new or changed in a round are lifted in the next. Merging is monotone: guards become fewer, ways and confidences
         # smaller, so old and lifted facts merge to what all of them together would.
         key = ["fn", "param", "sink"]
-        s = kept(merged(base, *key), "lifts")
+        s, seen = watched(merged(base, *key), "lifts", fresh=F.count("*"))
         params, fresh = passed.where("kind = 'P'"), s
-        while not fresh.isEmpty():
+        while seen["fresh"]:
             more = merged(lifted(fresh, params).select("fn", F.col("label").alias("param"), "sink", "mask", "conf", "via"), *key)
             old = s.select(*key, F.struct("mask", "conf", "via").alias("was"))
             every = old.select(*key, "was.*").unionByName(more)
             # What was there and has stayed the same is not fresh.
             now = merged(every, *key).join(old, key, "left").withColumn("fresh", ~F.struct("mask", "conf", "via").eqNullSafe(F.col("was")))
-            both = kept(now.drop("was"), "lifts")
-            s, fresh = both.drop("fresh"), both.where("fresh").drop("fresh")
+            now = now.select("*", F.col("was.mask").alias("mask_was"), F.col("was.conf").alias("conf_was"), F.size("was.via").alias("way_was"))
+            both, seen = watched(now.drop("was"), "lifts", fresh=F.sum(F.col("fresh").cast("int")), risen=F.sum(self._risen().cast("int")))
+            if seen["risen"]:
+                raise RuntimeError(f"{seen['risen']} facts have more guards, more confidence or a longer way than in the round before: rounds would not end")
+            s, fresh = both.drop("fresh", "mask_was", "conf_was", "way_was"), both.where("fresh").drop("fresh", "mask_was", "conf_was", "way_was")
         self.sink_params = s
         direct = met.where("kind = 'O'").select("fn", "of", "label", "sink", "mask", "conf", no_way.alias("via"))
         far = lifted(s, passed.where("kind = 'O'")).select("fn", "of", "label", "sink", "mask", "conf", "via")

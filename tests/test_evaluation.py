@@ -158,3 +158,16 @@ def test_poisson_weights():
 
     w = E.poisson_weights(np.arange(3000, dtype=np.int64), 400)
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.08
+
+
+def test_first_hits_and_top_hits_without_positions(spark):
+    r = random.Random(2)
+    rows = [(i, r.randrange(5), r.random() < 0.1) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, score long, hit boolean")
+    keys = [-F.col("score"), F.col("id")]
+    order = sorted(rows, key=lambda x: (-x[1], x[0]))
+    assert E.first_hit(df, keys).first().first == 1 + next(i for i, x in enumerate(order) if x[2])
+    for k in (1, 7, 100):
+        assert tuple(E.top_hits(df, keys, k).first()) == (sum(x[2] for x in order[:k]), min(k, 60))
+    none = df.where("not hit")
+    assert E.first_hit(none, keys).first().first is None and E.first_hit(df.where("false"), keys).first().first is None and tuple(E.top_hits(df.where("false"), keys, 3).first()) == (0, 0)

@@ -176,3 +176,13 @@ def test_functions_alone_find_no_more_than_together(spark, analysis):
 def test_twice_is_the_same(spark, analysis):
     again = Analysis(analysis.lowered, default_rules())
     assert sorted(map(repr, again.findings.collect())) == sorted(map(repr, analysis.findings.collect()))
+
+
+def test_rounds_that_rise_are_an_error(spark, monkeypatch):
+    """A guarded call of itself by a function whose sink is not: merging that adds guards in place of keeping the common ones would never have to end."""
+    source = REQ + "from flask_login import current_user\ndef f(q):\n    if current_user.is_admin:\n        f(q)\n    db.execute(q)\n"
+    low = kept(lower_files(spark.createDataFrame([("a.py", source.encode())], "path string, content binary")), "low")
+    assert [tuple(x.mask) for x in Analysis(low, default_rules()).sink_params.collect()] == [(0,)]
+    monkeypatch.setattr(Masks, "common", lambda self, mask: self._struct(lambda i: F.bit_or(F.col(mask)[f"w{i}"])))
+    with pytest.raises(RuntimeError, match="more guards"):
+        Analysis(low, default_rules())
