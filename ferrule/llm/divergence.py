@@ -18,8 +18,11 @@ An empty table gives an empty result. Only text, lang and source are read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,41 +33,38 @@ from ferrule.llm.common import discard, sized, table, written
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 #: Entries that a task holds before it hands them on.
 HELD = 200_000
-DEPTH = 4
+#: One document, beside a count of occurrences below it; a part has fewer words than that.
+DOC = 1 << 32
+#: Rows of cells of the sketch.
+DEPTH = 3
 
 
 def partial_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, count, docs: of each task's documents, a term several times if need be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-        held = 0
+        # A term's occurrences are in the low half of a number, its documents in the high half.
+        groups: dict[tuple[str, str], dict[bytes, int]] = {}
+        held = words = 0
 
         def out() -> pa.RecordBatch:
-            cols = list(zip(*((lang, source, t, c, d) for (lang, source), own in groups.items() for t, (c, d) in own.items()))) or [()] * 5
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-            arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
-            arrays[2] = arrays[2].cast(pa.string())
-            return pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "count", "docs"])
+            sizes = [len(own) for own in groups.values()]
+            both = np.fromiter(chain.from_iterable(own.values() for own in groups.values()), np.int64, sum(sizes))
+            of = lambda k: pa.array(list(chain.from_iterable(repeat(g[k], n) for g, n in zip(groups, sizes))), pa.string())
+            terms = pa.array(list(chain.from_iterable(groups.values())), pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([of(0), of(1), terms, pa.array(both & (DOC - 1)), pa.array(both >> 32)], names=["lang", "source", "term", "count", "docs"])
 
         for b in batches:
             for text, lang, source in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 own = groups.setdefault((lang, source), {})
-                before, counts = len(own), {}
-                for t in TERM.findall(text.as_buffer().to_pybytes().lower()):
-                    counts[t] = counts.get(t, 0) + 1
-                for t, n in counts.items():
-                    at = own.get(t)
-                    if at is None:
-                        own[t] = [n, 1]
-                    else:
-                        at[0] += n
-                        at[1] += 1
-                held += len(own) - before
-                if held >= HELD:
+                before, found = len(own), TERM.findall(text.as_buffer().to_pybytes().lower())
+                for t, n in Counter(found).items():
+                    own[t] = own.get(t, 0) + n + DOC
+                held, words = held + len(own) - before, words + len(found)
+                if held >= HELD or words >= DOC >> 2:
                     yield out()
                     groups.clear()
-                    held = 0
+                    held = words = 0
         yield out()
 
     return docs.select(F.col("text").cast("binary"), "lang", "source").mapInArrow(run, "lang string, source string, term string, count long, docs long")
