@@ -7,7 +7,7 @@ its score is that of its worst passage. In training the worst passages of a toxi
 documents have, then what the model finds, chosen anew in each round.
 
 The training documents are dealt to folds. For each fold a model is trained on the others and scores the fold, which it has not seen: that gives its scale (mean
-and deviation of the clean documents' worst passages) and the cut that is given score 0.3, where misses, counted twice, and false alarms are fewest. The models'
+and deviation of the clean documents' worst passages) and the cut that is given score 0.3, where misses, counted twice, and false alarms are fewest, but above what an empty text has. The models'
 mean is the score. Both layers are linear, so the mean of models is again one number for each n-gram.
 
 The training rows are a bounded sample: at most `sample` labelled documents of each label, those with the smallest hashes of their ids, of at
@@ -245,7 +245,8 @@ def fitted(texts: list[str], labels: list[int], span: int = 2, folds: int = 3) -
             z[own] = (raw - mean) / deviation
             parts.append(part)
     out = Scorer.mean(parts)
-    out.shift += float(np.log(0.3 / 0.7)) - cut_of(z, y)
+    # What no n-gram speaks for, an empty text or unknown letters, is not toxic, wherever the labels would put the cut.
+    out.shift += float(np.log(0.3 / 0.7)) - max(cut_of(z, y), out.worst("") + 0.25)
     return out
 
 
