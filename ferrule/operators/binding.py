@@ -16,20 +16,27 @@ def _level(start: Column, end: Column) -> Column:
 
 
 def tightest_span(points: DataFrame, spans: DataFrame, key: str = "file") -> DataFrame:
-    """points: id, file, line. spans: file, start, end, node. id, node: of the spans around the line the one that starts last; ties to the smallest node.
+    """points: id, file, line. spans: file, start, end, node. id, node: of the spans around the line the one that starts last; ties to the smallest node. Lines are whole numbers.
 
-    An interval join on equalities: a span lies in one or two cells of the grid of its own size, and a point looks into one cell of each size
-    that occurs (64 at most). So a point meets the spans near it and not all of its file, and one file's rows are spread over its cells.
+    An interval join on equalities, without pairs: a span is filled with the largest cells of powers of two that lie in it (two of a size at most), and a cell keeps the best
+    span that holds it whole, which is the best for all its lines. So a point meets one row of each size at most (64), however many spans lie around it, and equal
+    places count once.
     """
-    s = spans.where("start <= end").withColumn("level", _level(F.col("start"), F.col("end")))
-    sizes = sorted(r.level for r in s.select("level").distinct().collect())  # 64 numbers at most
-    if not sizes:
+    s = spans.where("start <= end").groupBy(key, "start", "end").agg(F.min("node").alias("node"))
+    s = s.withColumn("level", _level(F.col("start"), F.col("end")))
+    top = s.agg(F.max("level")).first()[0]  # 63 at most
+    if top is None:
         return points.select("id", F.lit(None).cast(spans.schema["node"].dataType).alias("node")).where("false")
-    cell = lambda x: F.expr(f"shiftright(CAST({x} AS BIGINT), level)")
-    s = s.withColumn("cell", F.explode(F.array_distinct(F.array(cell("start"), cell("end")))))
-    p = points.select("id", key, "line", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("level")).withColumn("cell", cell("line"))
-    j = p.join(s, [key, "level", "cell"]).where((F.col("start") <= F.col("line")) & (F.col("line") <= F.col("end")))
-    return j.groupBy("id").agg(F.min_by("node", F.struct(-F.col("start"), F.col("node"))).alias("node"))
+    # At each size the cells from the first that starts in the span to the last that ends in it; those that no larger cell will hold are odd ones at its ends.
+    a, z = "-shiftright(-CAST(start AS BIGINT), i)", "shiftright(CAST(end AS BIGINT) + 1, i)"
+    ends = f"array(struct({a} AS cell, {a} < {z} AND {a} & 1 = 1 AS own), struct({z} - 1 AS cell, {a} < {z} AND {z} & 1 = 1 AS own))"
+    cells = F.expr(f"flatten(transform(sequence(0, level), i -> transform(filter({ends}, c -> c.own), c -> struct(i AS level, c.cell AS cell))))")
+    order = F.struct((-F.col("start")).alias("o"), F.col("node"))
+    best = s.select(key, order.alias("best"), F.explode(cells).alias("c")).groupBy(key, F.col("c.level").alias("level"), F.col("c.cell").alias("cell")).agg(F.min("best").alias("best"))
+    places = points.select(key, "line").dropna().distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    places = places.withColumn("cell", F.expr("shiftright(CAST(line AS BIGINT), level)"))
+    found = places.join(best, [key, "level", "cell"]).groupBy(key, "line").agg(F.min("best").alias("best"))
+    return points.select("id", key, "line").join(found, [key, "line"]).groupBy("id").agg(F.min("best").alias("best")).select("id", "best.node")
 
 
 def nearest_preceding(points: DataFrame, definitions: DataFrame, key: str = "file", width: int = 1 << 14) -> DataFrame:

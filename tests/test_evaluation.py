@@ -136,6 +136,29 @@ def test_binding_against_brute_force(spark):
     assert tightest_span(points, none).count() == 0
 
 
+
+def test_spans_that_all_lie_around_all_points(spark):
+    """4,000 points in 4,000 spans: 16 million pairs, of which no join makes more than some rows a point and a size."""
+    points = spark.range(4000).selectExpr("id", "'f' AS file", "id + 4000 AS line")
+    spans = spark.range(4000).selectExpr("'f' AS file", "id AS start", "id + 8000 AS end", "id AS node")
+    out = tightest_span(points, spans)
+    out.collect()
+    rows = []
+    todo = [out._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if "Join" in p.nodeName():
+            rows.append(p.metrics().apply("numOutputRows").value())
+        kids = p.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif p.nodeName().endswith("QueryStage"):
+            todo.append(p.plan())
+    assert rows and max(rows) <= 4000 * 14
+    assert all(x.node == min(x.id + 4000, 3999) for x in out.collect())
+
+
 def test_paired_difference(spark):
     """The interval is the normal one within sampling error, the same again, and of as many values as there are rows."""
     rows = [(i, float(i % 7) / 7 + i / 1e6, float(i * 5 % 11) / 11) for i in range(4000)] + [(None, 1.0, None), (9, None, 1.0)]
