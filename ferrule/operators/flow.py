@@ -8,17 +8,23 @@ Straight ways are taken by doubling: a node with a single step onward has jumps
 jump to the smallest every place on such a way is met in as many joins as its length has binary digits, and one more step is
 taken only where ways part. Rounds grow with the partings on a way, not with its length.
 
+Rounds shuffle all facts each time, so functions of at most SMALL rows, which are as a rule nearly all, are left to tasks that hold one such function at a time.
+
 steps: fn, src, dst; of any types, alike in all tables of a call. Repeated rows count once; rows with a null take no part.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ferrule.plans.state import discard, kept, watched
 
 FACT = ["fn", "at", "word"]
+#: Steps, starts and stops of a function that one task takes at once.
+SMALL = 1024
 
 
 def _numbered(df: DataFrame, *order: str) -> DataFrame:
@@ -65,9 +71,61 @@ def arriving(steps: DataFrame, start: DataFrame, stops: DataFrame) -> DataFrame:
     """fn, at, word, bits: all facts that arrive at a node, written. start: the same columns, what is there before any step. stops: fn, src, dst, word, mask of each step."""
     steps = kept(steps.select("fn", "src", "dst").dropna().distinct(), "steps")
     stops = kept(stops.join(steps, ["fn", "src", "dst"], "left_semi").groupBy("fn", "src", "dst", "word").agg(F.bit_or("mask").alias("mask")), "stops")
+    start = kept(_met(start), "start")
+    of = [x.groupBy("fn").agg(F.count("*").alias("n")) for x in (steps, start, stops)]
+    every = of[0].union(of[1]).union(of[2]).groupBy("fn").agg(F.sum("n").alias("n"))
+    small = F.col("n") <= SMALL
+    sizes, seen = watched(every, "sizes", small=F.count(F.when(small, 1)), large=F.count(F.when(~small, 1)))
+    some = lambda which: [x.join(sizes.where(which).select("fn"), "fn", "left_semi") if seen["small"] and seen["large"] else x for x in (steps, start, stops)]
+    out = []
+    if seen["small"]:
+        out.append(kept(_by_function(*some(small)), "small"))
+    if seen["large"] or not out:
+        out.append(_in_rounds(*some(~small)))
+    discard(steps, start, stops, sizes)
+    return out[0] if len(out) == 1 else out[0].union(out[1])
+
+
+def _by_function(steps: DataFrame, start: DataFrame, stops: DataFrame) -> DataFrame:
+    """As arriving(), function by function. Steps are rows without a word, starts rows without a src."""
+    none = F.lit(None)
+    one = steps.select("fn", "src", "dst", none.cast("long").alias("word"), none.cast("long").alias("bits"))
+    rows = one.union(start.select("fn", none.cast(steps.schema["src"].dataType).alias("src"), F.col("at").alias("dst"), "word", "bits")).union(stops.select("fn", "src", "dst", "word", "mask"))
+    schema = StructType([StructField("fn", steps.schema["fn"].dataType), StructField("at", rows.schema["dst"].dataType), StructField("word", LongType()), StructField("bits", LongType())])
+    return rows.groupBy("fn").applyInArrow(_followed, schema)
+
+
+def _followed(rows: pa.Table) -> pa.Table:
+    """All words of a node's facts are one number here."""
+    number = {w: i * 64 for i, w in enumerate(sorted({w for w in rows["word"].to_pylist() if w is not None}))}
+    onward, stopped, facts = {}, {}, {}
+    for src, dst, word, bits in zip(*(rows[c].to_pylist() for c in ("src", "dst", "word", "bits"))):
+        if word is None:
+            onward.setdefault(src, []).append(dst)
+            continue
+        of, key = (facts, dst) if src is None else (stopped, (src, dst))
+        of[key] = of.get(key, 0) | (bits & (1 << 64) - 1) << number[word]
+    todo = dict.fromkeys(facts)  # in order, each node once
+    while todo:
+        src = next(iter(todo))
+        del todo[src]
+        for dst in onward.get(src, ()):
+            known = facts.get(dst, 0)
+            if more := facts[src] & ~stopped.get((src, dst), 0) & ~known:
+                facts[dst] = known | more
+                todo[dst] = None
+    found = [(at, word, bits) for at, x in facts.items() for word, i in number.items() if (bits := x >> i & (1 << 64) - 1)]
+    ats, words, bits = zip(*found) if found else ((), (), ())
+    fn = rows["fn"][0].as_py() if len(rows) else None
+    signed = [b - (1 << 64) if b >> 63 else b for b in bits]
+    return pa.table([pa.array([fn] * len(ats), rows.schema.field("fn").type), pa.array(ats, rows.schema.field("dst").type), pa.array(words, pa.int64()), pa.array(signed, pa.int64())], names=["fn", "at", "word", "bits"])
+
+
+def _in_rounds(steps: DataFrame, start: DataFrame, stops: DataFrame) -> DataFrame:
+    """As arriving(), for functions of any size."""
     jumps = _jumps(steps, stops)
     parting = kept(steps.join(jumps[0][0].select("fn", "src"), ["fn", "src"], "left_anti") if jumps else steps, "parting")
-    fresh, seen = watched(_met(start), "facts", n=F.count("*"))
+    fresh, seen = watched(start, "facts", n=F.count("*"))
     known = None
     while True:
         levels = jumps[::-1] if seen["n"] else []
@@ -92,8 +150,8 @@ def arriving(steps: DataFrame, start: DataFrame, stops: DataFrame) -> DataFrame:
         before, (fresh, seen) = fresh, watched(more, "facts", n=F.count("*"))
         discard(before)
         if not seen["n"]:
-            discard(fresh, steps, stops, parting, *(x for level in jumps for x in level))
-            return known.drop("new")
+            discard(fresh, parting, *(x for level in jumps for x in level))
+            return known.select(*FACT, "bits")
 
 
 def _listed(facts: DataFrame) -> DataFrame:
@@ -111,14 +169,13 @@ def reaching_definitions(steps: DataFrame, defs: DataFrame) -> DataFrame:
 
 
 def _lacking(facts: DataFrame, d: DataFrame, reached: DataFrame) -> DataFrame:
-    """fn, at, word, bit: which of the numbered d do not arrive at the reached (fn, at)."""
+    """fn, at, word, bits: which of the numbered d do not arrive at the reached (fn, at)."""
     words = d.groupBy("fn", "word").agg(F.bit_or("bit").alias("mask"))
-    rest = reached.join(words, "fn").join(facts, FACT, "left").select(*FACT, _without("mask", "bits").alias("bits")).where("bits <> 0")
-    return _listed(rest)
+    return reached.join(words, "fn").join(facts, FACT, "left").select(*FACT, _without("mask", "bits").alias("bits")).where("bits <> 0")
 
 
-def dominators(steps: DataFrame, entries: DataFrame) -> DataFrame:
-    """fn, node, dom: every way from the entry (fn, node) to the node passes dom, another node. Nodes without a way have no rows.
+def _passed(steps: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The numbered nodes (fn, node, word, bit), and as bits those that every way from the entry to a node passes before it (fn, at, word, bits).
 
     A node's name is a fact that is at hand in the entry and stopped where the node is left, so what does not arrive was on every way.
     """
@@ -128,10 +185,30 @@ def dominators(steps: DataFrame, entries: DataFrame) -> DataFrame:
     start = entries.withColumnRenamed("node", "at").join(d, "fn").select("fn", "at", "word", F.col("bit").alias("bits"))
     stops = steps.join(d.withColumnRenamed("node", "src"), ["fn", "src"]).select("fn", "src", "dst", "word", F.col("bit").alias("mask"))
     facts = arriving(steps, start, stops)
-    out = _lacking(facts, d, facts.select("fn", "at").distinct()).join(d.withColumnRenamed("node", "dom"), ["fn", "word", "bit"])
+    return d, _lacking(facts, d, facts.select("fn", "at").distinct())
+
+
+def dominators(steps: DataFrame, entries: DataFrame) -> DataFrame:
+    """fn, node, dom: every way from the entry (fn, node) to the node passes dom, another node. Nodes without a way have no rows."""
+    d, rest = _passed(steps, entries)
+    out = _listed(rest).join(d.withColumnRenamed("node", "dom"), ["fn", "word", "bit"])
     return out.select("fn", F.col("at").alias("node"), "dom")
 
 
+def immediate_dominators(steps: DataFrame, entries: DataFrame) -> DataFrame:
+    """immediate(dominators(steps, entries)) without their pairs: what dominates a node is its immediate dominator and what dominates that one. So the two have equal sets, and sets are
+    told apart by their size and 128 bits of their words.
+    """
+    d, rest = _passed(steps, entries)
+    none = F.lit(0).cast("long")
+    both = rest.select(*FACT, "bits", none.alias("own")).union(d.select("fn", "node", "word", none, "bit"))
+    both = both.groupBy(*FACT).agg(F.bit_or("bits").alias("bits"), F.bit_or("own").alias("own")).withColumn("all", F.col("bits").bitwiseOR(F.col("own")))
+    mark = lambda x: [F.sum(F.bit_count(x)).alias(f"n_{x}"), *[F.bit_xor(F.when(F.col(x) != 0, F.xxhash64("word", x, F.lit(i)))).alias(f"h{i}_{x}") for i in (1, 2)]]
+    sets = kept(both.groupBy("fn", "at").agg(*mark("bits"), *mark("all")), "sets")
+    above = sets.select("fn", F.col("at").alias("idom"), *[F.col(f"{c}_all").alias(f"{c}_bits") for c in ("n", "h1", "h2")])
+    return sets.where("n_bits > 0").join(above, ["fn", "n_bits", "h1_bits", "h2_bits"]).select("fn", F.col("at").alias("node"), "idom", F.col("n_bits").alias("depth"))
+
+
 def immediate(doms: DataFrame) -> DataFrame:
     """fn, node, idom, depth of all nodes that have dominators (fn, node, dom): the dominator that has most itself, and how many there are."""
     depth = doms.groupBy("fn", F.col("node").alias("dom")).agg(F.count("*").alias("n"))
@@ -147,5 +224,5 @@ def proved(steps: DataFrame, entries: DataFrame, proofs: DataFrame) -> DataFrame
     d = _numbered(p.select("fn", "guard").union(entries.select("fn", F.lit(None).cast(p.schema["guard"].dataType))), "fn", "guard")
     start = entries.withColumnRenamed("node", "at").join(d, "fn").select("fn", "at", "word", F.col("bit").alias("bits"))
     facts = arriving(steps, start, p.join(d, ["fn", "guard"]).select("fn", "src", "dst", "word", F.col("bit").alias("mask")))
-    out = _lacking(facts, d, facts.select("fn", "at").distinct()).join(d, ["fn", "word", "bit"])
+    out = _listed(_lacking(facts, d, facts.select("fn", "at").distinct())).join(d, ["fn", "word", "bit"])
     return out.select("fn", F.col("at").alias("node"), "guard")

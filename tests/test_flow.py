@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ferrule.operators.flow import dominators, immediate, proved, reaching_definitions
+from ferrule.operators.flow import dominators, immediate, immediate_dominators, proved, reaching_definitions
 from ferrule.plans import state
 
 
@@ -97,6 +97,29 @@ def test_long_ways_take_few_rounds(spark, monkeypatch):
     assert made.count("facts") < 16
 
 
+@pytest.mark.parametrize("small", [0, 12, 1 << 20])
+def test_functions_by_tasks_and_in_rounds(spark, monkeypatch, small):
+    """Small functions are followed in tasks, the others in rounds, to the same end; no round is taken where all are small."""
+    made = []
+    monkeypatch.setattr("ferrule.operators.flow.SMALL", small)
+    monkeypatch.setattr("ferrule.operators.flow.kept", lambda df, what: (made.append(what), state.kept(df, what))[1])
+    gs = graphs(5)
+    steps, entries = frames(spark, gs)
+    want = {fn: {(fn, a, d) for d in range(n) for a in ways(e, 0) - ways(e, 0, stop=d) - {d}} for fn, (e, n) in gs.items()}
+    doms = dominators(steps, entries)
+    assert {tuple(x) for x in doms.collect()} == set().union(*want.values())
+    assert ("small" in made, "known" in made) == (small > 0, small < 1 << 20)
+    assert sorted(map(tuple, immediate_dominators(steps, entries).collect())) == sorted(map(tuple, immediate(doms).collect()))
+
+
+def test_large_tables_of_rounds_are_not_broadcast(spark, monkeypatch):
+    """Spark would take the size of files for that of rows."""
+    rows = spark.range(1 << 18).selectExpr("id", "id % 7 AS k")
+    other = spark.range(1 << 18)
+    assert "Broadcast" not in other.join(state.kept(rows, "rows"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in other.join(state.kept(rows.where("id < 9"), "rows"), "id")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "fn int, src int, dst int")
     assert reaching_definitions(none, spark.createDataFrame([(0, "x", 1)], "fn int, var string, site int")).count() == 0
