@@ -9,6 +9,8 @@ from ferrule.functions.labels import tokens
 from ferrule.plans.state import kept
 
 SALTS = 16
+#: Of the largest bitmap: a million longs.
+BITS = 1 << 26
 
 
 def term_index(terms: DataFrame) -> DataFrame:
@@ -59,27 +61,37 @@ def first_pattern(texts: DataFrame, key: str, text: str, patterns: DataFrame, gr
     then the whole anchor and the regex are tested. So a text meets only patterns whose anchors begin somewhere in it; all texts are read whole. Anchors shorter than `gram` raise: an index
     that can't select is none; patterns that have none stay in functions.labels.secret. Texts that are null or short have no substring and no match. Keys are distinct.
 
-    Only the keys and substrings that hit the index are shuffled with the candidates where the index is small (Spark broadcasts it below its own threshold), else all substrings are.
+    Substrings are held against a bitmap of the index first (at most BITS bits, so a broadcast of bounded size): what is shuffled is what hits it, a few rows a text, and no
+    pattern goes through the driver where there are many.
     """
     c = F.col
-    short = patterns.where(c("anchor").isNull() | (F.char_length("anchor") < gram) | c("regex").isNull()).select("id").take(1)
+    index = kept(patterns.select("id", "ord", "anchor", "regex", F.left("anchor", F.lit(gram)).alias("_gram")), "patterns")
+    short = index.where(c("anchor").isNull() | (F.char_length("anchor") < gram) | c("regex").isNull()).select("id").take(1)
     if short:
         raise ValueError(f"pattern {short[0].id}: its anchor has to have {gram} characters at least")
-    index = patterns.select("id", "ord", "anchor", "regex", F.left("anchor", F.lit(gram)).alias("_gram"))
     of = texts.where(F.char_length(text) >= gram).select(c(key).alias("_key"), c(text).alias("_text"))
     # At each place what follows it: linear in the text, as positions of characters wouldn't be.
     at = F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1))
     grams = of.select("_key", F.explode(F.array_distinct(at)).alias("_gram"))
-    salts = index.select("_gram").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    # First what of a text the index knows, without patterns; then the patterns; then the text, once for each candidate.
-    known = grams.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS))).join(salts, ["_gram", "_salt"], "left_semi")
+    known = _in_bitmap(grams, "_gram", index).withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)))
     wide = index.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    # The text comes once for each candidate.
     candidates = known.join(wide, ["_gram", "_salt"]).select("_key", "id", "ord", "anchor", "regex")
     tested = of.join(candidates, "_key").where(F.contains("_text", "anchor")).withColumn("_match", F.regexp_substr("_text", c("regex"))).where("_match IS NOT NULL")
     best = tested.groupBy("_key").agg(F.min_by(F.struct("id", "_match"), "ord").alias("b"))
     return best.select(c("_key").alias(key), c("b.id").alias("id"), c("b._match").alias("match"))
 
 
+def _in_bitmap(rows: DataFrame, name: str, index: DataFrame) -> DataFrame:
+    """rows whose `name` may stand in the index's column of that name: all that do, and few others while the index has less than a tenth of BITS entries."""
+    h = lambda size: F.pmod(F.xxhash64(name), F.lit(size))
+    size = 1 << max(10, min(BITS.bit_length() - 1, (16 * index.count()).bit_length()))
+    bit = F.expr("shiftleft(1L, CAST(_h & 63 AS INT))")
+    words = index.select(h(size).alias("_h")).groupBy(F.shiftright("_h", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    met = rows.withColumn("_h", h(size)).withColumn("_word", F.shiftright("_h", 6)).join(F.broadcast(words), "_word")
+    return met.where(F.col("_bits").bitwiseAND(bit) != 0).drop("_h", "_word", "_bits")
+
+
 def layers_of(rows: DataFrame, name: str, index: DataFrame, layers: str = "layers") -> DataFrame:
     """rows with the layers of their name; null names have none. Each distinct name is looked up once."""
     x, y = rows.alias("x"), name_layers(rows, name, index).select(F.col(name).alias("_of"), F.col("layers").alias("_layers")).alias("y")

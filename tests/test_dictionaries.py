@@ -75,3 +75,18 @@ def test_first_patterns(spark):
     assert {x.k: (x.id, x.match) for x in got} == want and len(got) == len(want) > 50
     with pytest.raises(ValueError, match="anchor"):
         D.first_pattern(df, "k", "t", pats, 6)
+
+
+def test_large_dictionaries_do_not_go_through_the_driver(spark):
+    """Of 60,000 patterns a bitmap alone is broadcast, of 60,000 terms nothing."""
+    ids = spark.range(60_000).selectExpr("id", "id AS ord", "left(md5(CAST(id AS STRING)), 8) AS anchor")
+    patterns = ids.selectExpr("id", "ord", "anchor", "concat(anchor, '-[0-9]+') AS regex")
+    texts = ids.where("id % 1000 = 0").selectExpr("id AS k", "concat('by ', anchor, '-12; and ', anchor, '_x') AS text")
+    found = D.first_pattern(texts, "k", "text", patterns)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_gram" in plan and "BroadcastHashJoin [_word" in plan and "BroadcastHashJoin [_gram" not in plan
+    assert {(x.k, x.id) for x in found.collect()} == {(i, i) for i in range(0, 60_000, 1000)}
+    index = D.term_index(ids.selectExpr("CAST(id % 3 AS STRING) AS layer", "concat('a_', anchor) AS term"))
+    layers = D.name_layers(ids.where("id % 1000 = 1").selectExpr("concat('my_a_', anchor, 's') AS name"), "name", index)
+    assert "_salt" not in "".join(x for x in layers._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in x)
+    assert all(len(x.layers) == 1 for x in layers.collect())
