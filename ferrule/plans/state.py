@@ -10,14 +10,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql.types import StructType
 
 
-#: Bytes in files above which a table of kept() is not broadcast: numbers in a row take a tenth or less there of what they take in memory.
-BROADCAST = 1 << 18
-
-
 def kept(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder (spark.checkpoint.dir) and read again, so that plans don't grow and lost executors cost nothing.
 
-    Only small tables may go through the driver: Spark takes the size of files for that of rows, and a plan of many rounds has many joins.
+    Its joins are by sorting, none goes through the driver: Spark would take the size of files for that of rows, and a plan of many rounds has many joins.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
@@ -40,12 +36,8 @@ def kept_paths(tables: list[DataFrame]) -> DataFrame:
 
 
 def read(spark: SparkSession, schema: StructType, *paths: str) -> DataFrame:
-    """Tables of kept(), joined by sorting unless they are small."""
-    out, size = spark.read.schema(schema).parquet(*paths), 0
-    for x in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(x)
-        size += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    return out.hint("merge") if size > BROADCAST else out
+    """Tables of kept()."""
+    return spark.read.schema(schema).parquet(*paths).hint("merge")
 
 
 def discard(*tables: DataFrame) -> None:

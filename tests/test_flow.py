@@ -112,12 +112,12 @@ def test_functions_by_tasks_and_in_rounds(spark, monkeypatch, small):
     assert sorted(map(tuple, immediate_dominators(steps, entries).collect())) == sorted(map(tuple, immediate(doms).collect()))
 
 
-def test_large_tables_of_rounds_are_not_broadcast(spark, monkeypatch):
-    """Spark would take the size of files for that of rows."""
-    rows = spark.range(1 << 18).selectExpr("id", "id % 7 AS k")
-    other = spark.range(1 << 18)
-    assert "Broadcast" not in other.join(state.kept(rows, "rows"), "id")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in other.join(state.kept(rows.where("id < 9"), "rows"), "id")._jdf.queryExecution().executedPlan().toString()
+def test_tables_of_rounds_are_not_broadcast(spark):
+    """Spark would take the size of files for that of rows, and each of many rounds would send its tables through the driver."""
+    for n in (9, 1 << 18):
+        table = state.kept(spark.range(n).selectExpr("id", "id % 7 AS k"), "rows")
+        both = spark.range(1 << 18).join(state.kept_paths([table, table]).where("k < 5").groupBy("id").count(), "id").join(table.select("id", "k"), "id")
+        assert "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
 
 
 def test_empty(spark):
