@@ -2,10 +2,11 @@
 
 A text is the set of its shingles' hashes (64 bits); texts with equal sets, told apart by 128 bits, count once and get a number. Two sets of similarity s or more share a member among
 the first n - ceil(s n) + 1 of each in any order that all follow (the prefix filter), so only these are put into lists. The order is by
-hash, with shingles that are common in a sample last: the sample decides how long the lists get, not what is found.
+hash, with shingles that are common in a sample last; the lists are then counted, and members of long ones go behind all others before any list is made. So the order
+decides how long the lists get, not what is found.
 
-In a list of up to `bucket` sets all pairs that can still be similar, by their sizes and by what follows the shared member, are candidates. In a
-longer one each set is first compared with three leaders; once what these link is known, a list whose sets are all in one component is done, so a
+In a list of up to `bucket` sets all pairs that can still be similar, by their sizes and by what follows the shared member, are candidates. Of
+longer ones each set is first compared with three leaders of its largest and of its smallest; once what these link is known, a list whose sets are all in one component is done, so a
 large group of near copies costs its size. Sets of lists that are still apart go into another round, in which the members that made these lists
 come last in the order, so that they meet by rarer ones. What is apart after `rounds` rounds, sets that hold little but such members, is compared
 pair by pair across components. Any order finds all similar pairs, so each of them is compared or is already in one component.
@@ -101,6 +102,19 @@ def _again(words: int, similarity: float, common: np.ndarray, rank: np.ndarray):
     return run
 
 
+def _holding(hashes: np.ndarray):
+    """sid, n, prefix to the sids of those that hold one of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("prefix")
+            of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            rows = np.unique(of[np.isin(lists.flatten().to_numpy(zero_copy_only=False), hashes)])
+            yield pa.RecordBatch.from_arrays([b.column("sid").take(pa.array(rows))], names=["sid"])
+
+    return run
+
+
 def _sets(words: int):
     """sid and text, whatever stands beside them, to sid and members."""
 
@@ -163,6 +177,21 @@ class NearSets:
         made = self.bodies(sids, what).mapInArrow(_again(self.words, self.similarity, common, rank), "sid long, n long, prefix array<long>")
         return written(made.groupBy("sid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "again")
 
+    def settled(self, now: DataFrame, common: np.ndarray, rank: np.ndarray) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+        """sid, n, prefix in an order that has the long lists' members behind all others, and this order.
+
+        A sample sees less of what 33 sets share the more sets there are; so lists are counted before any is made, and only sets that hold a member of a long one are read again.
+        """
+        sizes = now.select(F.explode("prefix").alias("k")).groupBy("k").agg(F.count("*").alias("size"))
+        long = written(sizes.where(F.col("size") > self.bucket), "long")
+        common, rank, moved = later(common, rank, long)
+        if len(moved):
+            held = written(now.select("sid", "n", "prefix").mapInArrow(_holding(moved), "sid long"), "holding")
+            new = self.again(held, common, rank, "settled")
+            now = now.join(if_small(held), "sid", "left_anti").select("sid", "n", "prefix").unionByName(new)
+        discard(long)
+        return now, common, rank
+
     def lists(self, nodes: DataFrame) -> DataFrame:
         """nodes: sid, n, prefix. k, sid, n, left, size, heavy: the lists of more than one set; left: members of the set from this one on, heavy: how many long lists the set is in."""
         every = nodes.select("sid", "n", F.posexplode("prefix").alias("i", "k")).select("k", "sid", "n", (F.col("n") - F.col("i")).alias("left"))
@@ -216,22 +245,24 @@ class NearSets:
         return self.side(apart, "u", "left", "root").join(self.side(apart, "v", "left", "root"), "k").where((F.col("u") < F.col("v")) & meet & (F.col("rootu") != F.col("rootv"))).select("u", "v", "nu", "nv")
 
 
-def later(common: np.ndarray, rank: np.ndarray, keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The order with these keys (k, size) behind all others, the largest last. At most COMMON of them: the order need only be the same for all."""
+def later(common: np.ndarray, rank: np.ndarray, keys: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order with these keys (k, size) behind all others, the largest last, and those that it moves. At most COMMON of them: the order need only be the same for all."""
     rows = keys.orderBy(F.desc("size"), "k").limit(COMMON).collect()
     own = dict(zip(common.tolist(), rank.tolist()))
     top = max(own.values(), default=0)
     own |= {x.k: top + x["size"] for x in rows}
     hashes = np.array(sorted(own), np.int64)
-    return hashes, np.array([own[h] for h in hashes.tolist()], np.int64)
+    return hashes, np.array([own[h] for h in hashes.tolist()], np.int64), np.array([x.k for x in rows], np.int64)
 
 
 def connected(work: NearSets, now: DataFrame, common: np.ndarray, rank: np.ndarray, rounds: int, edges: DataFrame | None = None) -> DataFrame:
     """node, root: the components of the sets `now` (sid, n, prefix in the order of common and rank) by all their links, and by the edges (u, v) that are known."""
-    root = None
+    root = None if edges is None else components(edges)
+    now, common, rank = work.settled(now, common, rank)
     for r in range(rounds):
         lists = work.lists(now)
-        found = work.verified(work.candidates(lists), f"round{r}")
+        pairs = work.candidates(lists)
+        found = work.verified(pairs if root is None else across(pairs, root), f"round{r}")
         edges = found if edges is None else edges.union(found)
         root = components(edges)
         apart = work.apart(lists, root)
@@ -243,11 +274,18 @@ def connected(work: NearSets, now: DataFrame, common: np.ndarray, rank: np.ndarr
             if not more.isEmpty():
                 root = components(edges.union(more))
             break
-        common, rank = later(common, rank, apart.select("k", "size").distinct())
+        common, rank, _ = later(common, rank, apart.select("k", "size").distinct())
         now = work.again(apart.select("sid").distinct(), common, rank, f"again{r}")
     return root
 
 
+def across(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v, nu, nv) that are not yet in one component."""
+    of = lambda x: root.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    j = pairs.distinct().join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return j.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v", "nu", "nv")
+
+
 def numbered(of: DataFrame, *columns: str) -> DataFrame:
     """A node for each key of `of`, written: key, sid (its number), least (the smallest doc_id), one (a row that has the set), n, bits and these columns."""
     one = of.groupBy("key").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one"), *[F.first(c).alias(c) for c in ("n", "bits", *columns)])

@@ -1,8 +1,11 @@
 """How many rows the rounds of near-dedup make."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from ferrule.llm.near_sets import NearSets
+from ferrule.llm.near_sets import NearSets, near_duplicates
 
 
 def test_leaders_of_two_lists_a_set(spark):
@@ -11,3 +14,15 @@ def test_leaders_of_two_lists_a_set(spark):
     led = NearSets(None, None, 3, 0.85, 32).led(many)
     assert led.count() <= 6 * 200
     assert {x for r in led.collect() for x in (r.u, r.v)} == set(range(200))
+
+
+def test_long_lists_are_settled_before_any_round(spark, documents, monkeypatch):
+    """Sixty texts with a passage that no sample has seen: the lists already have its members last, so there are no further rounds."""
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join(passage + [f"w{r.randrange(10**6)}" for _ in range(100)]) for _ in range(60)]
+    monkeypatch.setattr("ferrule.llm.near_sets.common_shingles", lambda *a, **k: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    sizes, lists = [], NearSets.lists
+    monkeypatch.setattr(NearSets, "lists", lambda self, now: sizes.append((out := lists(self, now)).where("size > 32").count()) or out)
+    assert [x.component_id for x in near_duplicates(documents(texts)).orderBy("doc_id").collect()] == list(range(60))
+    assert sizes == [0]
