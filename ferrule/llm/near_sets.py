@@ -5,6 +5,9 @@ the first n - ceil(s n) + 1 of each in any order that all follow (the prefix fil
 hash, with shingles that are common in a sample last; the lists are then counted, and members of long ones go behind all others before any list is made. So the order
 decides how long the lists get, not what is found.
 
+Texts are near-duplicates by SimHash first (`near_duplicates`): sets whose fingerprints of 64 bits agree in three of six blocks are verified, and what these link is one component. Fingerprints of
+sets at the threshold differ in ten bits or so, more than any blocks find, so the prefix join follows and finds the rest; pairs in one component it doesn't verify again.
+
 In a list of up to `bucket` sets all pairs that can still be similar, by their sizes and by what follows the shared member, are candidates. Of
 longer ones each set is first compared with three leaders of its largest and of its smallest; once what these link is known, a list whose sets are all in one component is done, so a
 large group of near copies costs its size. Sets of lists that are still apart go into another round, in which the members that made these lists
@@ -32,7 +35,10 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.common import discard, if_small, sized, written
 from ferrule.llm.components import components
+from ferrule.llm.simhash import CHUNK, masks, signed
 
+#: Blocks of a SimHash; pairs that agree in three are candidates.
+SIX = (11, 11, 11, 11, 10, 10)
 #: Texts from which common shingles are learned, and how many of these are told apart.
 SAMPLE, COMMON = 8192, 1 << 16
 
@@ -85,7 +91,8 @@ def _prefixes(words: int, similarity: float, common: np.ndarray, rank: np.ndarra
         for b in batches:
             sets = [shingle_set(_bytes(x), words) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), keys_of(sets), pa.array(map(len, sets), pa.int64()), _lists([prefix(h, common, rank, similarity) for h in sets]), _lists([bitmap(h) for h in sets])], names=["doc_id", "th", "key", "n", "prefix", "bits"]
+                [b.column(0), b.column(2), keys_of(sets), pa.array(map(len, sets), pa.int64()), _lists([prefix(h, common, rank, similarity) for h in sets]), _lists([bitmap(h) for h in sets]), pa.array(map(simhash, sets), pa.int64())],
+                names=["doc_id", "th", "key", "n", "prefix", "bits", "fp"],
             )
 
     return run
@@ -142,6 +149,14 @@ def lacking(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(folded, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda acc, x: acc + x)
 
 
+def simhash(h: np.ndarray) -> int:
+    """SimHash of a set (signed): a bit is 1 if it is set in over half of the members."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), CHUNK):
+        counts += np.unpackbits(h[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.int64)[0])
+
+
 class NearSets:
     """The rounds over one table of texts."""
 
@@ -200,6 +215,18 @@ class NearSets:
         every = every.join(size, "k")
         return written(every.withColumn("heavy", F.sum(F.when(F.col("size") > self.bucket, 1).otherwise(0)).over(Window.partitionBy("sid"))), "lists")
 
+    def fingerprinted(self) -> DataFrame:
+        """u, v, verified: links of sets whose SimHashes have three of six blocks in common, so of all pairs of at most three differing bits but in crowded blocks, where each set meets leaders."""
+        keys = F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(signed(m))), F.lit(i)) for i, m in enumerate(masks(blocks=SIX))])
+        every = self.nodes.select("sid", "n", F.explode(keys).alias("k")).withColumn("left", F.col("n"))
+        shared = written(every.join(every.groupBy("k").agg(F.count("*").alias("size")).where("size > 1"), "k"), "fingerprints")
+        few, many = shared.where(F.col("size") <= self.bucket), shared.where(F.col("size") > self.bucket)
+        fits = F.least("nu", "nv") >= F.greatest("nu", "nv") * self.similarity - 1e-9
+        pairs = self.side(few, "u").join(self.side(few, "v"), "k").where((F.col("u") < F.col("v")) & fits).select("u", "v", "nu", "nv")
+        links = self.verified(pairs.union(self.led(many)), "simhash")
+        discard(shared)
+        return links
+
     @staticmethod
     def side(df: DataFrame, x: str, *more: str) -> DataFrame:
         return df.select("k", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{c}{x}") for c in more])
@@ -310,8 +337,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bu
     """doc_id, th (xxhash64 of the text), component_id: a row for each row of docs."""
     texts = texts_of(docs)
     common, rank = common_shingles(texts, words)
-    made = texts.mapInArrow(_prefixes(words, similarity, common, rank), "doc_id long, th long, key binary, n long, prefix array<long>, bits array<long>")
+    made = texts.mapInArrow(_prefixes(words, similarity, common, rank), "doc_id long, th long, key binary, n long, prefix array<long>, bits array<long>, fp long")
     of = written(sized(made, docs), "prefixes")
-    nodes = numbered(of, "prefix")
-    root = connected(NearSets(texts, nodes, words, similarity, bucket), nodes, common, rank, rounds)
+    nodes = numbered(of, "prefix", "fp")
+    work = NearSets(texts, nodes, words, similarity, bucket)
+    root = connected(work, nodes, common, rank, rounds, work.fingerprinted())
     return of.select("doc_id", "th", "key").join(classes(nodes, root), "key").select("doc_id", "th", "component_id")

@@ -30,9 +30,9 @@ BLOCKS = (13, 13, 13, 13, 12)
 CHUNK = 1 << 15
 
 
-def masks(agree: int = 3) -> list[int]:
+def masks(agree: int = 3, blocks: tuple[int, ...] = BLOCKS) -> list[int]:
     """For every choice of `agree` blocks, the bits of those blocks."""
-    ends = np.cumsum((0, *BLOCKS))
+    ends = np.cumsum((0, *blocks))
     bits = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(ends, ends[1:])]
     return [sum(c) for c in combinations(bits, agree)]
 

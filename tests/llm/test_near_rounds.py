@@ -1,11 +1,13 @@
-"""How many rows the rounds of near-dedup make."""
+"""How many rows the rounds of near-dedup make, and its SimHash step."""
 
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from ferrule.llm.near_sets import NearSets, near_duplicates
+from ferrule.llm.common import written
+from ferrule.llm.near_sets import NearSets, near_duplicates, simhash
+from tests.llm.test_near_sets import varied
 
 
 def test_leaders_of_two_lists_a_set(spark):
@@ -26,3 +28,14 @@ def test_long_lists_are_settled_before_any_round(spark, documents, monkeypatch):
     monkeypatch.setattr(NearSets, "lists", lambda self, now: sizes.append((out := lists(self, now)).where("size > 32").count()) or out)
     assert [x.component_id for x in near_duplicates(documents(texts)).orderBy("doc_id").collect()] == list(range(60))
     assert sizes == [0]
+
+
+def test_simhash_step_links_near_copies(spark, documents, monkeypatch):
+    assert simhash(np.array([5, 7, 12], np.int64)) == 5 and simhash(np.zeros(0, np.int64)) == 0
+    r = random.Random(2)
+    base = [f"w{r.randrange(10**6)}" for _ in range(3000)]
+    texts = [" ".join(base), varied(r, base, 1), " ".join(f"v{r.randrange(10**6)}" for _ in range(300))]
+    found, step = [], NearSets.fingerprinted
+    monkeypatch.setattr(NearSets, "fingerprinted", lambda self: found.append(out := written(step(self), "test")) or out)
+    assert [x.component_id for x in near_duplicates(documents(texts)).orderBy("doc_id").collect()] == [0, 0, 2]
+    assert found[0].count() == 1
