@@ -34,7 +34,8 @@ class Index:
     """Names of a project: functions by full name, methods by class, classes, module objects and what they were made by, packages."""
 
     def __init__(self, lowered: DataFrame):
-        self.functions = facts(lowered, "function").drop("graph")
+        # Written, since all that follows asks for them: a function's JSON is read once.
+        self.functions = kept(facts(lowered, "function").drop("graph"), "functions")
         f = self.functions
         self.tops = facts(lowered, "module").select(top("name").alias("top")).distinct()
         self.classes = first_by(facts(lowered, "class"), ["fqn"], "bases", ["file"])

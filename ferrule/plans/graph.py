@@ -9,9 +9,9 @@ from ferrule.operators.communities import leiden
 from ferrule.operators.lowering import facts
 
 
-def entity_graph(lowered: DataFrame, bound: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes (id, label, file_type, source_file, source_location) and links (source, target, relation, confidence)."""
-    f = facts(lowered, "function").select("fn", "file", "name", "line")
+def entity_graph(lowered: DataFrame, functions: DataFrame, bound: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes (id, label, file_type, source_file, source_location) and links (source, target, relation, confidence). functions: those of lowered."""
+    f = functions.select("fn", "file", "name", "line")
     files = facts(lowered, "module").select("file").distinct()
     nodes = files.select(F.col("file").alias("id"), F.element_at(F.split("file", "/"), -1).alias("label"), F.lit("code").alias("file_type"), F.col("file").alias("source_file"), F.lit("L1").alias("source_location"))
     nodes = nodes.union(f.select("fn", F.concat("name", F.lit("()")), F.lit("code"), "file", F.concat(F.lit("L"), F.col("line").cast("string"))))

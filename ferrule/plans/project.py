@@ -53,9 +53,10 @@ class Tree:
         self.lowered = kept(lower_files(source_files(tree), rules), "lowered")
 
 
-def _finish(t: Tree, findings: DataFrame, bound: DataFrame, **more) -> Result:
-    nodes, links = entity_graph(t.lowered, bound)
-    findings = kept(bind_findings(findings, facts(t.lowered, "function"), nodes), "bound-findings")
+def _finish(t: Tree, findings: DataFrame, functions: DataFrame, bound: DataFrame, **more) -> Result:
+    nodes, links = entity_graph(t.lowered, functions, bound)
+    nodes = kept(nodes, "entities")
+    findings = kept(bind_findings(findings, functions, nodes), "bound-findings")
     return Result(findings, kept(annotate(nodes, findings), "nodes"), kept(links, "links"), kept(hyperedges(findings), "hyperedges"), t.lines, t.hashes, t.lowered, **more)
 
 
@@ -67,7 +68,7 @@ def analyze_files(tree: DataFrame, rules: Rules | None = None, oracle: DataFrame
     order = ("source_file", "function", "source_id", "source_line", "sink_id", "sink_line", "sink_file")
     f = numbered(slices(a.findings, t.lines), order)
     f = f.join(hashes_of(f, t.hashes, "id"), "id", "left").withColumn("provenance", F.array().cast("array<string>"))
-    return _finish(t, f, a.bound, analysis=a)
+    return _finish(t, f, a.functions, a.bound, analysis=a)
 
 
 def analyze_project(spark: SparkSession, root: str, rules: Rules | None = None) -> Result:
@@ -87,7 +88,7 @@ def ingest(reports: DataFrame, tree: DataFrame, rules: Rules | None = None, root
     f = numbered(dedup_first(built(rows, t.lines, t.hashes))).drop("rid", "path", "tool")
     f = guard_verdicts(label_layers(f, t.lines, rules), t.lowered, rules)
     none = spark_empty_bound(f.sparkSession)
-    return _finish(t, f, none, dropped=dropped(raw, at), inputs=inputs)
+    return _finish(t, f, kept(facts(t.lowered, "function").drop("graph"), "functions"), none, dropped=dropped(raw, at), inputs=inputs)
 
 
 def spark_empty_bound(spark: SparkSession) -> DataFrame:

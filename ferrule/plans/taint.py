@@ -33,8 +33,9 @@ PORTS = "fn string, port string, call int, slot int, kind string, label int"
 
 def origins(lowered: DataFrame, rules: Rules) -> DataFrame:
     """fn, node, origin (a number within the function), source_id, layers, confidence, line: where data of interest is born."""
-    text = facts(lowered, "text")
-    named = text.where("role = 'name'").select("fn", "node", "line", ident_layers(F.col("text"), rules).alias("layers"))
+    # Both are written: a condition on what is made of a text would be pushed down to it, and have it made once more.
+    text = kept(facts(lowered, "text"), "texts")
+    named = kept(text.where("role = 'name'").select("fn", "node", "line", ident_layers(F.col("text"), rules).alias("layers")), "named")
 
     def by_name(df: DataFrame) -> DataFrame:
         return df.where(F.size("layers") > 0).select("fn", "node", F.concat(F.lit("label:"), F.array_join("layers", "-")).alias("source_id"), "layers", ident_confidence(F.col("layers"), rules).alias("confidence"), "line")
@@ -178,7 +179,7 @@ class Analysis:
         self.lowered, self.rules, self.across = lowered, rules, across
         self.index = Index(lowered)
         self.classified = classify(lowered, rules, self.index, oracle)
-        self.functions = kept(self.index.functions, "functions")
+        self.functions = self.index.functions
         self.bound = kept(bindings(self.classified, self.functions), "bound") if across else kept(bindings(self.classified.where("false"), self.functions), "bound")
         self.born = kept(origins(lowered, rules), "origins")
         self.ports = kept(local_closure(lowered, self._decided(), self.born), "ports")
@@ -271,20 +272,21 @@ class Analysis:
             conf = F.when(F.col("provenance") == "oracle", F.least("conf", F.lit(2))).otherwise(F.col("conf"))
             return j.select("fn", "kind", "of", "label", "sink", self.masks.both("mask", "call_mask").alias("mask"), conf.alias("conf"), via.alias("via"))
 
-        def merged(df: DataFrame, *key: str) -> DataFrame:
-            return df.groupBy(*key).agg(self.masks.common("mask").alias("mask"), F.min("conf").alias("conf"), F.min(F.struct(F.size("via").alias("n"), "via"))["via"].alias("via"))
+        def merged(df: DataFrame, *key: str, **more: Column) -> DataFrame:
+            least = [self.masks.common("mask").alias("mask"), F.min("conf").alias("conf"), F.min(F.struct(F.size("via").alias("n"), "via"))["via"].alias("via")]
+            return df.groupBy(*key).agg(*least, *[c.alias(k) for k, c in more.items()])
 
         # Only facts that are new or changed in a round are lifted in the next. Merging is monotone: guards become fewer, ways and confidences
         # smaller, so old and lifted facts merge to what all of them together would.
         key = ["fn", "param", "sink"]
         s, seen = watched(merged(base, *key), "lifts", fresh=F.count("*"))
-        params, fresh = passed.where("kind = 'P'"), s
+        params, fresh, was = passed.where("kind = 'P'"), s, s.select(F.struct("mask", "conf", "via").alias("was")).schema["was"]
         while seen["fresh"]:
-            more = merged(lifted(fresh, params).select("fn", F.col("label").alias("param"), "sink", "mask", "conf", "via"), *key)
-            old = s.select(*key, F.struct("mask", "conf", "via").alias("was"))
-            every = old.select(*key, "was.*").unionByName(more)
+            # One merge of what was there, which says so, and what is lifted: no table is joined with itself.
+            more = lifted(fresh, params).select("fn", F.col("label").alias("param"), "sink", "mask", "conf", "via", F.lit(None).cast(was.dataType).alias("was"))
+            every = s.select(*key, "mask", "conf", "via", F.struct("mask", "conf", "via").alias("was")).unionByName(more)
             # What was there and has stayed the same is not fresh.
-            now = merged(every, *key).join(old, key, "left").withColumn("fresh", ~F.struct("mask", "conf", "via").eqNullSafe(F.col("was")))
+            now = merged(every, *key, was=F.first("was", ignorenulls=True)).withColumn("fresh", ~F.struct("mask", "conf", "via").eqNullSafe(F.col("was")))
             now = now.select("*", F.col("was.mask").alias("mask_was"), F.col("was.conf").alias("conf_was"), F.size("was.via").alias("way_was"))
             both, seen = watched(now.drop("was"), "lifts", fresh=F.sum(F.col("fresh").cast("int")), risen=F.sum(self._risen().cast("int")))
             if seen["risen"]:

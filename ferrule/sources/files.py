@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyarrow import fs
@@ -19,26 +20,41 @@ SKIP_KNOWN = ".git .hg .svn .venv venv __pycache__ node_modules .tox .mypy_cache
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 
 
-def read_tree(spark: SparkSession, root: str, batch: int = 512) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, batch: int = 512, size: int = 1 << 17) -> DataFrame:
     """path (relative, with slashes), content: all files under root, a folder or a URI that driver and executors see.
 
     Spark's own readers pass over empty files and names that start with a dot or an underscore, so __init__.py too; here names are listed on
-    the driver and contents are read on the executors.
+    the driver and contents are read on the executors. A task has at most `batch` files, and `size` bytes if it has more than one: what is made of a
+    file, by the same task, grows with its bytes.
     """
     at = root if "://" in root else os.path.abspath(root)
     store, base = fs.FileSystem.from_uri(at)
     base = base.rstrip("/")
-    names = sorted(i.path[len(base) + 1 :] for i in store.get_file_info(fs.FileSelector(base, recursive=True)) if i.type == fs.FileType.File)
+    found = sorted((i.path[len(base) + 1 :], i.size or 0) for i in store.get_file_info(fs.FileSelector(base, recursive=True)) if i.type == fs.FileType.File)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(at)
         for b in batches:
-            for name in b.column(0).to_pylist():
+            for name in chain.from_iterable(b.column(0).to_pylist()):
                 with store.open_input_stream(f"{base.rstrip('/')}/{name}", compression=None) as f:
                     yield pa.RecordBatch.from_pydict({"path": [name], "content": pa.array([f.read()], pa.binary())})
 
-    listed = spark.createDataFrame([(n,) for n in names], "path string")
-    return listed.repartition(max(1, -(-len(names) // batch))).mapInArrow(read, "path string, content binary")
+    groups = dealt(found, batch, size)
+    listed = spark.createDataFrame([(i, g) for i, g in enumerate(groups)], "task int, names array<string>")
+    return listed.repartitionByRange(max(1, len(groups)), "task").select("names").mapInArrow(read, "path string, content binary")
+
+
+def dealt(found: list[tuple[str, int]], batch: int, size: int) -> list[list[str]]:
+    """Names (with their bytes) in groups, one for each task: of at most `batch` files and `size` bytes, unless a single file has more."""
+    groups: list[list[str]] = []
+    room = 0
+    for name, n in found:
+        if not groups or len(groups[-1]) == batch or n > room:
+            groups.append([])
+            room = size
+        groups[-1].append(name)
+        room -= n
+    return groups
 
 
 def _under(path: Column, names) -> Column:

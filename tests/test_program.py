@@ -4,11 +4,12 @@ import json
 
 import pytest
 
-from ferrule.operators.lowering import Lowering, control_flow, facts, lower, lower_files
+from ferrule.operators.lowering import Lowering, control_flow, facts, lower, lower_files, nesting
 from ferrule.plans.state import kept
 from pyspark.sql import functions as F
 
 from ferrule.plans.taint import Analysis, Masks, unguarded
+from ferrule.sources.files import read_tree
 from ferrule.sources.rules import default_rules
 
 REQ = "from flask import request\n"
@@ -186,3 +187,27 @@ def test_rounds_that_rise_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(Masks, "common", lambda self, mask: self._struct(lambda i: F.bit_or(F.col(mask)[f"w{i}"])))
     with pytest.raises(RuntimeError, match="more guards"):
         Analysis(low, default_rules())
+
+
+def test_files_are_dealt_by_their_bytes(spark, tmp_path):
+    """What is made of a file takes time by its bytes: large files don't share a task, however few they are."""
+    for i in range(6):
+        (tmp_path / f"m{i}.py").write_text("x = 1\n" * 100)
+    parts = lambda **k: read_tree(spark, str(tmp_path), **k).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.sort_array(F.collect_list("path")).alias("names"))
+    assert sorted(r.names for r in parts(size=1500).collect()) == [["m0.py", "m1.py"], ["m2.py", "m3.py"], ["m4.py", "m5.py"]]
+    assert parts(size=1).count() == 6 and parts(batch=4).count() == 2 and parts().count() == 1
+    assert read_tree(spark, str(tmp_path)).agg(F.sum(F.length("content"))).first()[0] == 3600
+    (tmp_path / "none").mkdir()
+    assert read_tree(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_nesting_takes_one_pass_over_functions():
+    import time
+    from types import SimpleNamespace
+
+    source = "class A:\n    class B:\n        def f(self):\n            def g(): pass\n            class C:\n                def h(self): pass\n            return g\n        def i(self): pass\n    def j(self): pass\ndef k(): pass\n"
+    f = {x["name"]: (x["enclosing_class"], x["nested"]) for x in rows(source, "function")}
+    assert f == {"f": ("B", False), "g": ("B", True), "h": ("C", True), "i": ("B", False), "j": ("A", False), "k": (None, False)}
+    many = [SimpleNamespace(lineno=2 * i + 1, end_lineno=2 * i + 2) for i in range(50_000)]
+    at = time.process_time()
+    assert nesting(many, [(i, i, "A") for i in range(1, 100_000, 7)]) == (set(), {}) and time.process_time() - at < 5
