@@ -26,7 +26,9 @@ def sarif_reports(lineitem: DataFrame) -> DataFrame:
     # A location that is a text, in place of an object.
     result = F.when(n == 3, F.concat(F.lit('{"ruleId":"rule/'), "l_returnflag", F.lit('","locations":["oops"]}'))).otherwise(result)
     rules = ",".join(f'{{"id":"rule/{x}","defaultConfiguration":{{"level":"{level}"}},"properties":{{"security-severity":"{score}","tags":["external/cwe/cwe-0{cwe}"]}}}}' for x, level, score, cwe in (("A", "error", "9.1", 89), ("N", "warning", "5.0", 79), ("R", "note", "2.5", 22)))
-    g = lineitem.select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", result.alias("json")).alias("r")).groupBy("l_suppkey").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    # Lines are dealt to their suppliers before they are made longer.
+    dealt = lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus").repartition("l_suppkey")
+    g = dealt.select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", result.alias("json")).alias("r")).groupBy("l_suppkey").agg(F.sort_array(F.collect_list("r")).alias("rs"))
     body = F.concat(F.lit('{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"Gen","version":"3","rules":['), F.lit(rules), F.lit(']}},"originalUriBaseIds":{"SRC":{"uri":"file:///work/","uriBaseId":"TOP"},"TOP":{"uri":"/top"}},"results":['), F.array_join(F.transform("rs", lambda x: x["json"]), ","), F.lit("]}]}"))
     return g.select(F.col("l_suppkey").cast("long").alias("doc"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("path"), F.lit("sarif").alias("kind"), body.alias("content"))
 

@@ -170,3 +170,16 @@ def test_graph_views(spark):
     bound = spark.createDataFrame([(["x", "y"], "a", "b"), (["x"], "a", None)], "layers array<string>, source_node string, sink_node string")
     assert {r.id: r.sec_layers for r in annotate(nodes, bound).collect()} == {"a": ["x", "y"], "b": ["x", "y"], "c": [], "d": []}
     assert "</script>" not in embed({"a": "</script>"}) and "&lt;b&gt;" in render_html({"nodes": [], "links": []}, [], "<b>")
+
+
+def test_parts_of_another_type_are_told_from_missing_ones(spark):
+    """A part may be missing or null; one of another type makes its result malformed, in the sink and in the steps of a flow."""
+    at = lambda **more: {"physicalLocation": {"artifactLocation": {"uri": "f"}, "region": {"startLine": 2}}, **more}
+    flow = lambda *steps: [{"threadFlows": [{"locations": list(steps)}]}]
+    fine = [{}, {"message": None}, {"partialFingerprints": None}, {"codeFlows": None}, {"codeFlows": flow({}, {"location": {}}, {"location": at(message=None)})}, {"codeFlows": [{}]}, {"locations": [at(logicalLocations=None)]}, {"locations": [{}]}]
+    bad = [{"message": "m"}, {"partialFingerprints": []}, {"codeFlows": {}}, {"codeFlows": flow({"location": None})}, {"codeFlows": flow(5)}, {"codeFlows": flow({"location": at(message="m")})}, {"codeFlows": flow({"location": {"physicalLocation": {"region": 1}}})}]
+    bad += [{"codeFlows": [{"threadFlows": 1}]}, {"codeFlows": [{"threadFlows": [1]}]}, {"codeFlows": [{"threadFlows": [{"locations": "x"}]}]}, {"locations": [at(logicalLocations={})]}, {"locations": [at(message=[])]}, {"locations": [{"physicalLocation": {"artifactLocation": 1}}]}]
+    docs = spark.createDataFrame([(0, "p", "sarif", json.dumps({"runs": [{"results": [{"locations": [at()]} | x for x in fine + bad]}]}))], "doc long, path string, kind string, content string")
+    for got in (read_reports(docs, ("sarif",)).orderBy("ord").collect(), read_reports(docs).orderBy("ord").collect()):
+        assert [x.problem for x in got] == [None] * len(fine) + ["parse-error"] * len(bad)
+        assert [len(x.flow) for x in got[: len(fine)]] == [0, 0, 0, 0, 3, 0, 0, 0]

@@ -65,3 +65,10 @@ def test_without_the_optional_parts(tmp_path):
     (tmp_path / "ferrule" / "llm" / "queries.py").write_text("import a_library_that_is_not_here\n")
     (tmp_path / "corpus_pipeline.py").write_text("import a_library_that_is_not_here\n")
     run()
+
+
+@needs_data
+def test_results_stay_where_their_documents_are(spark):
+    """sarif_results deals lines and keys to documents, and nothing after that: neither results nor their groups are shuffled again, and only SARIF is read."""
+    plan = queries.QUERIES["sarif_results"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("REPARTITION_BY_COL") == 2 and "Union" not in plan and "ArrowEvalPython" not in plan
