@@ -66,7 +66,7 @@ HEAD, FUNCTION, HANDLER = 4, 5, 5
 
 
 def modules(customer: DataFrame) -> DataFrame:
-    """path, content: a module for each nation. Each customer is a function that passes its argument on to customer k // 2's, which lies in another module as a rule, and a handler that calls it with a request.
+    """path, part, content: a module for each nation, in parts by their order. Each customer is a function that passes its argument on to customer k // 2's, which lies in another module as a rule, and a handler that calls it with a request.
 
     Customers of the segment BUILDING execute the argument, those of MACHINERY make it a number first. Handlers of customers in debt ask for an administrator.
     """
@@ -78,12 +78,13 @@ def modules(customer: DataFrame) -> DataFrame:
     on = F.when(sink, "db.execute(y)").when(k == 0, "pass").when(F.col("up_nation") == F.col("c_nationkey"), text("f", F.col("up"), "(db, y)")).otherwise(text("m", F.col("up_nation"), ".f", F.col("up"), "(db, y)"))
     function = text("def f", k, "(db, x):\n    ", first, "\n    ", on, "\n    return None\n\n")
     handler = text("def h", k, '(db):\n    q = request.args["q"]\n    if ', F.when(F.col("c_acctbal") < 0, "current_user.is_admin").otherwise("q"), ":\n        f", k, "(db, q)\n\n")
-    g = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(k, function.alias("f"), handler.alias("h")))).alias("all"))
-    imports = F.array_join(F.transform(F.array_sort(F.collect_set("c_nationkey")), lambda n: F.concat(F.lit("m"), n.cast("string"))), ", ")
-    every = customer.agg(imports.alias("imports"))  # one row
-    part = lambda name: F.array_join(F.transform("all", lambda x: x[name]), "")
+    # No row holds a module: its parts are its head, the functions and the handlers, in the order of customers.
+    each = F.explode(F.array(F.struct(F.lit(1).alias("section"), function.alias("text")), F.struct(F.lit(2).alias("section"), handler.alias("text"))))
+    parts = c.select("c_nationkey", k.alias("k"), each.alias("x")).select("c_nationkey", F.struct("x.section", "k", "x.text").alias("part"))
+    every = c.agg(F.array_join(F.transform(F.array_sort(F.collect_set("c_nationkey")), lambda n: F.concat(F.lit("m"), n.cast("string"))), ", ").alias("imports"))  # one row
     head = text("from flask import request\nfrom flask_login import current_user\nimport ", F.col("imports"), "\n\n")
-    return g.crossJoin(every).select(text("m", F.col("c_nationkey"), ".py").alias("path"), F.concat(head, part("f"), part("h")).cast("binary").alias("content"))
+    heads = c.select("c_nationkey").distinct().crossJoin(every).select("c_nationkey", F.struct(F.lit(0).alias("section"), F.lit(None).cast(customer.schema["c_custkey"].dataType).alias("k"), head.alias("text")).alias("part"))
+    return heads.union(parts).where("part.text is not null").select(text("m", F.col("c_nationkey"), ".py").alias("path"), F.struct("part.section", "part.k").alias("part"), F.col("part.text").cast("binary").alias("content"))
 
 
 PROGRAM_SQL = f"""
@@ -97,18 +98,24 @@ FROM way JOIN p s ON s.c_custkey = start JOIN p e ON e.c_custkey = k WHERE e.c_m
 
 
 def write_tree(files: DataFrame) -> str:
-    """files: path, content. Written as files under a new folder of the shared one; its URI."""
+    """files: path, part, content. The parts of a path, in their order, are written as a file under a new folder of the shared one; its URI."""
     root = f"{folder(files.sparkSession)}/tree-{uuid.uuid4().hex}"
 
     def run(batches):
         store, base = fs.FileSystem.from_uri(root)
+        path, out = None, None
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at = f"{base}/{path}"
-                store.create_dir(at.rsplit("/", 1)[0], recursive=True)
-                with store.open_output_stream(at, compression=None) as f:
-                    f.write(content)
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if out is None or name != path:
+                    if out is not None:
+                        out.close()
+                    path, at = name, f"{base}/{name}"
+                    store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                    out = store.open_output_stream(at, compression=None, buffer_size=1 << 20)
+                out.write(content)
             yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+        if out is not None:
+            out.close()
 
-    files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    files.repartition("path").sortWithinPartitions("path", "part", "content").select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
     return root

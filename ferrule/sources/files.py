@@ -73,12 +73,30 @@ def known_files(tree: DataFrame) -> DataFrame:
     return tree.where(~_under(F.col("path"), SKIP_KNOWN)).select("path")
 
 
-def source_lines(tree: DataFrame) -> DataFrame:
+def source_lines(tree: DataFrame, size: int = 1 << 17) -> DataFrame:
     """file, n (from 1), text."""
     text = F.col("content").cast("string")
     lines = F.split(F.regexp_replace(text, f"({LINE_END})\\z", ""), LINE_END, -1)
-    some = tree.where(F.length("content") > 0)
-    return some.select(F.col("path").alias("file"), F.posexplode(lines).alias("n", "text")).select("file", (F.col("n") + 1).alias("n"), "text")
+    some = stretches(tree.where(F.length("content") > 0), size)
+    return some.select(F.col("path").alias("file"), "before", F.posexplode(lines).alias("n", "text")).select("file", (F.col("n") + F.col("before") + 1).cast("int").alias("n"), "text")
+
+
+def stretches(tree: DataFrame, size: int) -> DataFrame:
+    """path, before (lines), content: long files in stretches of whole lines, so that no row holds all lines of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                path, content, at, before = b.column(0)[i].as_py(), b.column(1)[i].as_py(), 0, 0
+                while at < len(content):
+                    end = content.find(b"\n", at + size - 1) + 1 or len(content)
+                    part = content[at:end]
+                    yield pa.RecordBatch.from_pydict({"path": [path], "before": pa.array([before], pa.int64()), "content": pa.array([part], pa.binary())})
+                    at = end
+                    if at < len(content):
+                        before += len(part.decode("utf-8", "replace").splitlines())
+
+    return tree.select("path", F.col("content").cast("binary")).mapInArrow(run, "path string, before long, content binary")
 
 
 def file_hashes(tree: DataFrame) -> DataFrame:

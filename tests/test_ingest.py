@@ -10,7 +10,7 @@ from ferrule.operators.serving import degrees, drawn_links, explain_layer, find_
 from ferrule.plans import fixtures
 from ferrule.plans.graph import communities
 from ferrule.plans.project import analyze_ingest, analyze_project, embed, export, ingest, render_html, scan_lines
-from ferrule.sources.files import known_files, read_tree, source_files, source_lines
+from ferrule.sources.files import known_files, read_tree, source_files, source_lines, stretches
 from ferrule.sources.reports import first_place, read_reports
 from ferrule.sources.rules import default_rules
 
@@ -139,6 +139,16 @@ def test_trees_and_lines(spark, tmp_path):
     assert lines == [("a/b.py", 1, "x"), ("a/b.py", 2, "y"), ("a/b.py", 3, "z"), ("e.txt", 1, "no end"), ("g.py", 1, "g")]
 
 
+def test_lines_of_long_files(spark):
+    """A long file is split in stretches of whole lines: the same lines, no row with all of them."""
+    text = "a\r\n\n\x0cb\u2028\u00e9" * 30 + "\n\nend"
+    tree = spark.createDataFrame([("x.py", text.encode()), ("y", b"z\n"), ("w", b"\n\n" * 20)], "path string, content binary")
+    some = stretches(tree, 16)
+    assert some.selectExpr("max(length(content))").first()[0] <= 16 + 12 and some.where("path = 'x.py'").count() > 10
+    got = sorted(tuple(x) for x in source_lines(tree, 16).collect())
+    assert got == sorted((p, i + 1, line) for p, c in (("x.py", text), ("y", "z\n"), ("w", "\n\n" * 20)) for i, line in enumerate(c.splitlines()))
+
+
 def test_from_a_folder_to_files(spark, tmp_path):
     src, out = tmp_path / "src", tmp_path / "out"
     for name, text in fixtures.PROJECT.items():
