line_medians: rows of large groups stay where they are, what is known of the groups goes to them

Symptom: all values were dealt by group and salt and sorted for each join with a handful of rows about their groups, five times a round, twice for groups of which two ranks are wanted; with little memory these sorts spilled.
Evidence: the profiler on line_medians: 163 MB shuffled, executor 1,373 MB, 29 CPU s (2906 a GB of a hundredth), 30 Exchange and 8 SortMergeJoin in the plan. 6 copies of sf0.1, local[6], 1.4 GB, 12 partitions: 446 MB spilled, 294 CPU s, 1,147 MB shuffled, 239 MB the largest task. 60 copies, 5 GB, 100 partitions: no spill, 1,808 CPU s, 8,896 MB, 470 MB.
Fix: rows about at most 4,096 groups and ranks are broadcast (more are joined by salts as before); the first round works on the written rows by group, so both ranks of a median share rows and sketch; groups that are none too large are only looked for where there are some.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 1605 -> 409 s, shuffle 5.83 -> 0.01 GB, spill 2.15 -> 0.00 GB, read 3.57 -> 2.30 GB, longest task 16 -> 9 s, most memory of a task 1175 -> 67 MB; at 6 GB of input CPU 7720 -> 1458 s, shuffle 41.81 -> 0.02 GB, spill 15.81 -> 0.00 GB, read 22.52 -> 13.82 GB, longest task 24 -> 20 s, most memory of a task 1107 -> 67 MB; with hot keys, at 1 GB of input CPU 1752 -> 419 s, shuffle 6.45 -> 0.01 GB, spill 2.50 -> 0.00 GB, read 3.98 -> 2.79 GB, longest task 16 -> 10 s, most memory of a task 1141 -> 67 MB.

@@ -13,16 +13,22 @@ STEPS = 512
 _WIDE = "decimal(38,0)"
 #: A large group's rows are spread over this many tasks.
 SALTS = 64
+#: As many rows about large groups go to all tasks at most, so that the groups' own rows stay where they are.
+FEW = 4096
 
 
 def same(a: str, b: str, keys: list[str]) -> list[Column]:
     return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
 
 
-def _spread(rows: DataFrame, large: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """rows (x, a written table, so that a task that runs again spreads them alike) joined with a row per large group (y), which stands at every salt."""
+def _held(rows: DataFrame, some: DataFrame, n: int, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows (x, a written table, so that a task that runs again spreads them alike) joined with what is known of large groups (y, n rows). Few such rows are broadcast, and nothing is
+    shuffled or sorted; of many each stands at every salt.
+    """
+    if n <= FEW:
+        return rows.alias("x").join(F.broadcast(some.alias("y")), same("x", "y", keys), how)
     x = rows.withColumn("_salt", F.floor(F.rand(11) * SALTS)).alias("x")
-    y = large.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)]))).alias("y")
+    y = some.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)]))).alias("y")
     return x.join(y, same("x", "y", [*keys, "_salt"]), how)
 
 
@@ -32,7 +38,8 @@ def at_ranks(rows: DataFrame, wanted: DataFrame, keys: list[str], value: str, bo
     Ranks of groups of at most `bound` rows are read off their sorted rows. For a larger group a mergeable sketch gives bounds of equal shares; the two that should enclose the rank are
     taken, and the rows below, at, between and above them are counted exactly, all groups in one pass. Either one of the two is the value, or the rows of one open range go on: fewer in
     any case, since the bounds are values of the group. So the sketch's error bears on the number of rounds alone, and many equal values end a rank at once. Sketches are of doubles, so
-    those of integers are of what each is above the least; where even this has no exact double, the next round starts from a nearer least.
+    those of integers are of what each is above the least; where even this has no exact double, the next round starts from a nearer least. All ranks of a group share its rows and its
+    sketch in the first round. Rows of large groups are only read, not shuffled, as long as what is known of these groups has few rows: a group has over `bound` rows.
 
     Nulls in value take no part; NaN is the largest; null keys are a group of their own; repeated wanted ranks count once. The value is a double, float or integer; others raise.
     """
@@ -48,27 +55,26 @@ def at_ranks(rows: DataFrame, wanted: DataFrame, keys: list[str], value: str, bo
     ks = [f"_k{i}" for i in range(len(keys))]
     ids = [c(k).alias(n) for k, n in zip(keys, ks)]
     group = [*ks, "_rank"]
-    v = kept(rows.where(c(value).isNotNull()).select(*ids, c(value).alias("v")), "ranks")
-    w = wanted.select(*ids, c("rank").cast("long").alias("_rank")).distinct()
-    sizes, seen = watched(v.groupBy(*ks).agg(F.count("*").alias("n")), "ranks", large=F.count_if(c("n") > bound))
-    of = sizes.where(c("n") > bound)
-    small = _spread(v, of, ks, "left_anti").select(*ks, "v") if seen["large"] else v
-    found = [_sorted(small.alias("x").join(w.alias("y"), same("x", "y", ks)).select(*[c(f"x.{k}").alias(k) for k in ks], "y._rank", c("y._rank").alias("r"), "x.v"), group)]
-    live = None
-    if seen["large"]:
-        asked = of.alias("x").join(w.alias("y"), same("x", "y", ks)).where("y._rank >= 0 AND y._rank < x.n").select(*[c(f"x.{k}").alias(k) for k in ks], "y._rank")
-        live = kept(_spread(v, asked, ks).select(*[c(f"x.{k}").alias(k) for k in ks], "y._rank", c("y._rank").alias("r"), "x.v"), "ranks")
-    while live is not None:
-        sizes, seen = watched(live.groupBy(*group).agg(F.max("r").alias("r"), F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")), "ranks", large=F.count_if(c("n") > bound))
-        of = sizes.where(c("n") > bound).select(*group, "n", "least", "most")
-        found.append(_sorted(_spread(live, of, group, "left_anti").select(*group, "r", "v"), group))
-        if not seen["large"]:
+    live, of = kept(rows.where(c(value).isNotNull()).select(*ids, c(value).alias("v")), "ranks"), ks
+    asked, seen = watched(wanted.select(*ids, c("rank").cast("long").alias("_rank")).distinct().withColumn("r", c("_rank")), "ranks", n=F.count("*"))
+    found, ranks = [], seen["n"]
+    # Rows have their group's keys, of later rounds their rank's as well; what is asked of them (the rank wanted, and which it is among the rows left) stands beside them.
+    while True:
+        sizes, seen = watched(live.groupBy(*of).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")), "ranks", small=F.count_if(c("n") <= bound), large=F.count_if(c("n") > bound))
+        large, many = sizes.where(c("n") > bound), seen["large"]
+        if seen["small"] or not many:
+            small = _held(live, large, many, of, "left_anti") if many else live
+            few = F.broadcast(asked) if ranks <= FEW else asked
+            found.append(_sorted(small.alias("x").join(few.alias("y"), same("x", "y", of)).select(*[c(f"x.{k}").alias(k) for k in of], *[c(f"y.{k}") for k in group if k not in of], "y.r", "x.v"), group))
+        if not many:
             break
-        many = _spread(live, of, group).select("x.*", "y.n", "y.least", "y.most")
-        step = F.floor(F.max("r") / F.max("n") * STEPS).cast("int")
-        shares = many.groupBy(*group).agg(step.alias("step"), F.max("least").alias("least"), F.max("most").alias("most"), F.percentile_approx(as_bound, [i / STEPS for i in range(STEPS + 1)], 20 * STEPS).alias("s"))
-        bounds = kept(shares.select(*group, from_bound(F.get("s", F.greatest(c("step") - 1, F.lit(0)))).alias("lo"), from_bound(F.get("s", F.least(c("step") + 2, F.lit(STEPS)))).alias("hi")), "ranks")
-        counts = _spread(live, bounds, group).select("x.*", "y.lo", "y.hi").groupBy(*group).agg(
+        shares = _held(live, large, many, of).select("x.*", "y.least", "y.most").groupBy(*of).agg(
+            F.count("*").alias("n"), F.max("least").alias("least"), F.max("most").alias("most"), F.percentile_approx(as_bound, [i / STEPS for i in range(STEPS + 1)], 20 * STEPS).alias("s")
+        )
+        step = F.floor(c("r") / c("n") * STEPS).cast("int")
+        of_share = shares.alias("x").join(asked.alias("y"), same("x", "y", of)).where("y.r >= 0 AND y.r < x.n").select("x.*", *[c(f"y.{k}") for k in group if k not in of], "y.r").withColumn("step", step)
+        bounds, seen = watched(of_share.select(*group, "r", from_bound(F.get("s", F.greatest(c("step") - 1, F.lit(0)))).alias("lo"), from_bound(F.get("s", F.least(c("step") + 2, F.lit(STEPS)))).alias("hi")), "ranks", n=F.count("*"))
+        counts = _held(live, bounds, seen["n"], of).select("x.v", *[c(f"y.{k}") for k in group], "y.r", "y.lo", "y.hi").groupBy(*group).agg(
             F.max("r").alias("r"), F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.count_if(c("v") < c("lo")).alias("below"), F.count_if(c("v") == c("lo")).alias("at_lo"),
             F.count_if((c("v") > c("lo")) & (c("v") < c("hi"))).alias("inside"), F.count_if((c("v") == c("hi")) & (c("hi") > c("lo"))).alias("at_hi"),
         )
@@ -77,11 +83,15 @@ def at_ranks(rows: DataFrame, wanted: DataFrame, keys: list[str], value: str, bo
         to_hi = to_lo + c("inside") + c("at_hi")
         part = F.when(c("r") < c("below"), "below").when(c("r") < to_lo, "lo").when(c("r") < to_lo + c("inside"), "inside").when(c("r") < to_hi, "hi").otherwise("above")
         before = F.when(part == "below", 0).when(part == "inside", to_lo).otherwise(to_hi)
-        chosen = kept(counts.select(*group, "lo", "hi", part.alias("part"), (c("r") - before).alias("left")), "ranks")
-        found.append(chosen.where("part IN ('lo', 'hi')").select(*group, F.when(c("part") == "lo", c("lo")).otherwise(c("hi")).alias("v")))
-        goes = _spread(live, chosen.where("part NOT IN ('lo', 'hi')"), group).where("CASE y.part WHEN 'below' THEN x.v < y.lo WHEN 'inside' THEN x.v > y.lo AND x.v < y.hi ELSE x.v > y.hi END")
+        on = ~c("part").isin("lo", "hi")
+        chosen, seen = watched(counts.select(*group, "lo", "hi", part.alias("part"), (c("r") - before).alias("r")), "ranks", on=F.count_if(on))
+        found.append(chosen.where(~on).select(*group, F.when(c("part") == "lo", c("lo")).otherwise(c("hi")).alias("v")))
+        if not seen["on"]:
+            break
+        asked, ranks = chosen.where(on), seen["on"]
+        goes = _held(live, asked, ranks, of).where("CASE y.part WHEN 'below' THEN x.v < y.lo WHEN 'inside' THEN x.v > y.lo AND x.v < y.hi ELSE x.v > y.hi END")
         before_these = live
-        live = kept(goes.select(*[c(f"x.{k}").alias(k) for k in group], c("y.left").alias("r"), "x.v"), "ranks")
+        live, of = kept(goes.select(*[c(f"y.{k}").alias(k) for k in group], "x.v"), "ranks"), group
         discard(before_these, bounds)
     out = found[0]
     for f in found[1:]:

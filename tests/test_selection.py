@@ -6,6 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from ferrule.operators import selection
 from ferrule.operators.selection import at_ranks, medians
 
 
@@ -47,3 +48,39 @@ def test_large_numbers(spark):
         assert at_ranks(rows, asked, ["g"], "x", 50).first().x == first + 499 * step
     with pytest.raises(TypeError):
         at_ranks(rows.withColumn("x", F.col("x").cast("string")), asked, ["g"], "x")
+
+
+def test_rows_of_large_groups_are_not_shuffled(spark, monkeypatch):
+    """What is known of a few large groups goes to the rows: these are neither dealt nor sorted for it, and two ranks of a group share its rows. Only what is left in the end is sorted."""
+    plans = []
+    noted = lambda f: lambda df, *a, **b: (plans.append(df._jdf.queryExecution().executedPlan().toString()), f(df, *a, **b))[1]
+    monkeypatch.setattr(selection, "kept", noted(selection.kept))
+    monkeypatch.setattr(selection, "watched", noted(selection.watched))
+    # One group has most of the rows.
+    rows = spark.range(4000).select(F.when(F.col("id") % 10 == 0, "few").otherwise("hot").alias("g"), ((F.col("id") * 7919) % 4001).cast("double").alias("x"))
+    want = {g: sorted(float((i * 7919) % 4001) for i in range(4000) if (i % 10 == 0) == (g == "few")) for g in ("few", "hot")}
+    got = {r.g: r.median for r in medians(rows, ["g"], "x", 50).collect()}
+    assert got == {g: statistics.median(v) for g, v in want.items()}
+    assert not [p for p in plans if "_salt" in p] and sum("BroadcastHashJoin" in p for p in plans) >= 3
+    joins = [p for p in plans if "SortMergeJoin" in p]
+    assert all("percentile_approx" in p for p in joins)  # a row per group and rank
+
+
+@pytest.mark.parametrize("few", [0, 4096])
+def test_many_large_groups_are_dealt_with_their_rows(spark, monkeypatch, few):
+    """Null keys, null and repeated values, NaN, a group without values, ranks that aren't there or are asked for twice: alike whether groups are few or many."""
+    monkeypatch.setattr(selection, "FEW", few)
+    r = random.Random(3)
+    of = {(None, 1): [r.gauss(0, 1) for _ in range(700)], (None, None): [5.0] * 300, ("a", None): [float(r.randint(0, 3)) for _ in range(500)] + [float("nan")] * 200, ("a", 2): [1.0, 2.0], ("b", 0): [r.random() for _ in range(901)] * 2}
+    rows = [(*k, x) for k, v in of.items() for x in v] + [("a", 2, None), ("none", None, None)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, h int, x double").repartition(5)
+    plain = lambda x: "nan" if x != x else x
+    ordered = {k: sorted(v, key=lambda x: (x != x, x)) for k, v in of.items()}
+    ranks = [(*k, i) for k, v in of.items() for i in {0, len(v) // 3, len(v) - 1}]
+    asked = spark.createDataFrame([*ranks, *ranks[:2], ("a", 2, 2), ("b", 0, -1), ("b", 0, None), ("none", None, 0)], "g string, h int, rank int")
+    got = at_ranks(df, asked, ["g", "h"], "x", 40).collect()
+    assert sorted(map(str, ((x.g, x.h, x["rank"], plain(x.x)) for x in got))) == sorted(map(str, ((g, h, i, plain(ordered[g, h][i])) for g, h, i in ranks)))
+    found = {(x.g, x.h): (x.n, plain(x.median)) for x in medians(df, ["g", "h"], "x", 40).collect()}
+    middle = lambda v: (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+    assert found == {k: (len(v), plain(middle(v))) for k, v in ordered.items()}
