@@ -557,7 +557,7 @@ def sarif_results(spark, d):
     raw = read_reports(generated.sarif_reports(t(spark, d, "lineitem")), ("sarif",))
     # The orders of a document's results, in a list for each document: rows stay where their document was read.
     keys = t(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("doc"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").alias("x")).repartition("doc")
-    keys = keys.groupBy("doc").agg(F.sort_array(F.collect_list("x")).alias("xs")).select("doc", F.col("xs.l_orderkey").alias("items"))
+    keys = keys.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("x.l_orderkey"))).alias("xs")).select("doc", F.col("xs.l_orderkey").alias("items"))
     out = raw.join(keys.hint("shuffle_hash"), "doc").select(
         "doc", F.get("items", F.col("ord")).alias("item"), "problem", "rule_id", F.col("sink.uri").alias("uri"), F.col("sink.base").alias("base"), F.col("sink.line").cast("long").alias("line"), F.size("flow").alias("steps"), "level", F.col("security_severity").alias("score"), joined("cwe_sources").alias("cwe")
     )

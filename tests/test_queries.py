@@ -72,3 +72,13 @@ def test_results_stay_where_their_documents_are(spark):
     """sarif_results deals lines and keys to documents, and nothing after that: neither results nor their groups are shuffled again, and only SARIF is read."""
     plan = queries.QUERIES["sarif_results"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("REPARTITION_BY_COL") == 2 and "Union" not in plan and "ArrowEvalPython" not in plan
+
+
+def sarif_plan(spark):
+    return queries.QUERIES["sarif_results"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+@needs_data
+def test_documents_get_the_orders_alone(spark):
+    """The lists of orders beside the documents are made of the order and nothing else, already when they are read."""
+    assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint>" in sarif_plan(spark)
