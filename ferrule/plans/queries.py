@@ -561,7 +561,10 @@ def sarif_results(spark, d):
     out = raw.join(keys.hint("shuffle_hash"), "doc").select(
         "doc", F.get("items", F.col("ord")).alias("item"), "problem", "rule_id", F.col("sink.uri").alias("uri"), F.col("sink.base").alias("base"), F.col("sink.line").cast("long").alias("line"), F.size("flow").alias("steps"), "level", F.col("security_severity").alias("score"), joined("cwe_sources").alias("cwe")
     )
-    return out.groupBy(*out.columns).agg(F.count("*").alias("n"))
+    # Results that are alike are counted in one sort, which can go to disk in part; summing by all columns would hold all results twice, as its two halves share a task.
+    alike = Window.partitionBy(*out.columns)
+    nth = out.select("*", F.row_number().over(alike.orderBy("doc")).alias("nth"))
+    return nth.select("*", F.count("*").over(alike).alias("n")).where("nth = 1").drop("nth")
 
 
 @query(generated.SEMGREP_SQL)

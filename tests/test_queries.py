@@ -1,6 +1,7 @@
 """Every query of the findings engine against its SQL in DuckDB, and the entry points without the optional parts."""
 
 import os
+import re
 import shutil
 import subprocess
 import sys
@@ -82,3 +83,29 @@ def sarif_plan(spark):
 def test_documents_get_the_orders_alone(spark):
     """The lists of orders beside the documents are made of the order and nothing else, already when they are read."""
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint>" in sarif_plan(spark)
+
+
+@needs_data
+def test_results_that_are_alike_are_counted_in_one_sort(spark):
+    plan = sarif_plan(spark)
+    assert not re.search(r"(?<!Object)HashAggregate\(", plan) and plan.count("Window [") == 2 and plan.count("- Sort [") == 1
+
+
+@needs_data
+def test_results_of_repeated_and_incomplete_lines(spark, db, tmp_path):
+    """Lines that come twice and three times count as often; one without an order, a part or a flag is a result as well, one without a supplier is in no document."""
+    db.execute(f"COPY (SELECT l.* FROM (SELECT * FROM lineitem LIMIT 300) l, range(CAST(2 + l.l_linenumber % 2 AS BIGINT))) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    rows = lambda t: sorted((tuple(plain(v) for _, v in sorted(r.items())) for r in t.to_pylist()), key=repr)
+    other = duckdb.connect()
+    other.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got = queries.QUERIES["sarif_results"](spark, str(tmp_path)).toArrow()
+    assert rows(got) == rows(other.execute(queries.SQL["sarif_results"]).to_arrow_table()) and {r["n"] for r in got.to_pylist()} == {2, 3}
+    odd = tmp_path / "odd"
+    odd.mkdir()
+    columns = "CASE WHEN i = 0 THEN NULL ELSE l_orderkey END AS l_orderkey, CASE WHEN i = 1 THEN NULL ELSE l_partkey END AS l_partkey, CASE WHEN i = 2 THEN NULL ELSE l_returnflag END AS l_returnflag, CASE WHEN i = 3 THEN NULL ELSE l_suppkey END AS l_suppkey"
+    other.execute(f"COPY (SELECT * REPLACE ({columns}) FROM (SELECT * FROM lineitem WHERE l_linenumber IN (1, 2) LIMIT 80), range(4) r(i)) TO '{odd}/lineitem.parquet' (FORMAT parquet)".replace("* REPLACE", "* EXCLUDE (i) REPLACE"))
+    got = queries.QUERIES["sarif_results"](spark, str(odd)).toArrow().to_pylist()
+    count = lambda q: dict(other.execute(f"SELECT l_suppkey, count(*) FROM '{odd}/lineitem.parquet' WHERE l_suppkey IS NOT NULL AND {q} GROUP BY 1").fetchall())
+    summed = lambda some: {k: sum(r["n"] for r in got if r["doc"] == k and some(r)) for k in {r["doc"] for r in got if some(r)}}
+    assert summed(lambda r: True) == count("true") and summed(lambda r: r["item"] is None) == count("l_orderkey IS NULL")
+    assert len({tuple(sorted((k, repr(v)) for k, v in r.items() if k != "n")) for r in got}) == len(got)
