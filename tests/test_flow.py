@@ -125,3 +125,29 @@ def test_empty(spark):
     assert reaching_definitions(none, spark.createDataFrame([(0, "x", 1)], "fn int, var string, site int")).count() == 0
     assert dominators(none, spark.createDataFrame([(0, 0)], "fn int, node int")).count() == 0
     assert proved(none, spark.createDataFrame([(0, 0)], "fn int, node int"), spark.createDataFrame([], "fn int, src int, dst int, guard string")).count() == 0
+
+
+def test_what_no_step_leads_to_is_taken_off_first(spark, monkeypatch):
+    """Halves and thirds of numbers, with stops and without: all is taken from the front, and no round holds its facts against all others. With a circle at the end and a long way into it rounds are left with those."""
+    made = []
+    monkeypatch.setattr("ferrule.operators.flow.SMALL", 0)
+    monkeypatch.setattr("ferrule.operators.flow.kept", lambda df, what: (made.append(what), state.kept(df, what))[1])
+    halves = {(k, k // f) for k in range(1, 300) for f in (2, 3)}
+    circle = {(0, -1), (-1, -2), (-2, 0)}
+    way = {(1000 + i, 1001 + i) for i in range(400)} | {(1400, 0)}
+    for fn, (edges, rounds) in enumerate([(halves, False), (halves | circle, True), (halves | way, True), (halves | way | circle, True)]):
+        steps = spark.createDataFrame([(fn, a, b) for a, b in edges] * 2 + [(fn, None, 1), (None, 1, 2)], "fn int, src int, dst int")
+        made.clear()
+        defs = [(fn, v, s) for v, s in (("x", 299), ("x", 17), ("y", 150), ("y", 1), ("z", 1), ("z", 200))] + [(fn, f"v{i}", 256) for i in range(70)]
+        got = reaching_definitions(steps, spark.createDataFrame(defs, "fn int, var string, site int")).collect()
+        want = set()
+        for _, v, s in defs:
+            todo, seen, sites = [b for a, b in edges if a == s], set(), {x for _, w, x in defs if w == v}
+            while todo:
+                at = todo.pop()
+                if at not in seen:
+                    seen.add(at)
+                    todo += [b for a, b in edges if a == at] if at not in sites else []
+            want |= {(fn, v, s, at) for at in seen}
+        assert {tuple(x) for x in got} == want and len(got) == len(want)
+        assert "fronts" in made and ("known" in made) == rounds
